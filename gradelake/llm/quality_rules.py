@@ -112,3 +112,36 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     q = quality_rules(docs)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return q.select("doc_id", *(F.col(f"quality.{k}").alias(k) for k in names))
+
+
+def _fails_sql(rules) -> str:
+    tests = []
+    for r in rules:
+        under = r.denominator or "1"
+        tests += [f"{r.numerator} < {r.low} * {under}"] if r.low is not None else []
+        tests += [f"{r.numerator} > {r.high} * {under}"] if r.high is not None else []
+    return " OR ".join(tests)
+
+
+OP7_SQL = rf"""
+WITH w AS (
+    SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), grams AS (
+    SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), again AS (
+    SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), covered AS (
+    SELECT doc_id, count(DISTINCT i + d) AS n FROM again, (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id
+), m AS (
+    SELECT doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars,
+        length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(x) - length(replace(x, '!', '')) AS n_exclamations,
+        len(list_filter(w, lambda y: list_contains(['{"', '".join(dict.fromkeys(STOP_WORDS))}'], y))) AS n_stop_words,
+        len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM w LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    ({_fails_sql(BASE_RULES)}) AS base_failed, NOT ({_fails_sql((*BASE_RULES, *METHOD_RULES))}) AS kept
+FROM m
+"""

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from gradelake.llm.chat_format import OP1_SQL, op1_chat_format
 from gradelake.llm.decontamination import OP3_SQL, op3_decontamination
+from gradelake.llm.html_extract import op6_html_extract
+from gradelake.llm.license_scan import op5_license_scan
 from gradelake.llm.line_dedup import OP10_SQL, op10_line_dedup
 from gradelake.llm.packing import op8_best_fit_packing
 from gradelake.llm.quality_rules import OP7_SQL, op7_quality_rules
 from gradelake.llm.sharding import OP4_SQL, op4_sharding
 from gradelake.llm.simhash import op2_simhash
+from gradelake.llm.token_counts import op9_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_decontamination, op4_sharding, op7_quality_rules, op8_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_decontamination, op4_sharding, op5_license_scan, op6_html_extract, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

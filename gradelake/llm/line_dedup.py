@@ -18,44 +18,48 @@ from gradelake.llm.shared import staged
 
 #: Places to remove that are sent to all executors at most; beyond, documents are shuffled to them.
 MOST_SENT = 1_000_000
+_COVERED = "array_distinct(flatten(transform({}, j -> array(j, j + 1, j + 2))))"
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _t, first_lines): for each document with repeats, the places of window starts among its non-blank lines; _t hashes the text."""
+    """(doc_id, _t, starts, n): for each document with repeats, the places of its repeated windows among its n non-blank lines; _t hashes the text."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_t"), F.expr(_filled(text_col)).alias("l")).where("size(l) >= 3")
     one = "named_struct('j', j, 'h1', xxhash64(l[j], l[j + 1], l[j + 2]), 'h2', xxhash64(1, l[j + 2], l[j + 1], l[j]))"
-    found = staged(rows.select("doc_id", "_t", F.explode(F.expr(f"transform(sequence(0, size(l) - 3), j -> {one})")).alias("w")).select("doc_id", "_t", "w.*"), "lines")
+    found = staged(rows.select("doc_id", "_t", F.size("l").alias("n"), F.explode(F.expr(f"transform(sequence(0, size(l) - 3), j -> {one})")).alias("w")).select("doc_id", "_t", "n", "w.*"), "lines")
     place = F.struct("doc_id", "_t", "j")
-    many = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    many = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
     later = found.join(many, ["h1", "h2"]).where("not (named_struct('doc_id', doc_id, '_t', _t, 'j', j) <=> first)")
-    return later.groupBy("doc_id", "_t").agg(F.collect_set("j").alias("starts"))
+    return later.groupBy("doc_id", "_t").agg(F.collect_set("j").alias("starts"), F.max("n").alias("n"))
 
 
 def _filled(text_col: str) -> str:
     return f"filter(split(cast(`{text_col}` as string), '\\n', -1), x -> x rlike r'[^\\x20\\x09-\\x0D]')"
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: str | None = None) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: str | None = None, drop_emptied: bool = False) -> DataFrame:
     """All rows of df with repeated lines taken out of the text; other columns are untouched.
 
-    ``report`` names a struct column (n_lines, n_removed) to add. Blank lines stay. A null text stays null,
+    ``report`` names a struct column (n_lines, n_removed) to add; drop_emptied leaves out documents that lose
+    all their non-blank lines. Blank lines stay. A null text stays null,
     and a text of fewer than three non-blank lines as it is. Rows that repeat id and text are one
     document: they lose the same lines. Null ids come first in order. Columns named _ld* are reserved.
     """
-    places = staged(repeated_lines(df, id_col, text_col).select(F.col("doc_id").alias("_ld_id"), F.col("_t").alias("_ld_t"), F.col("starts").alias("_ld_s")), "places")
+    places = staged(repeated_lines(df, id_col, text_col).select(F.col("doc_id").alias("_ld_id"), F.col("_t").alias("_ld_t"), F.col("starts").alias("_ld_s"), F.expr(f"size({_COVERED.format('starts')}) = n").alias("_ld_e")), "places")
     size = places.agg(F.sum(F.size("_ld_s") + 4)).first()[0] or 0
     if size <= MOST_SENT:
         places = F.broadcast(places)
     out = df.join(places, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_ld_t")), "left")
+    if drop_emptied:  # a stored column: a filter on the new text would be inlined over and over by the optimizer
+        out = out.where("not (_ld_e <=> true)")
     # Numbers of non-blank lines run along the split lines; covered ones go.
-    marks = "array_distinct(flatten(transform(_ld_s, j -> array(j, j + 1, j + 2))))"
+    marks = _COVERED.format("_ld_s")
     out = out.withColumn("_ld_l", F.split(F.col(text_col).cast("string"), "\n", -1))
     out = out.withColumn("_ld_f", F.expr("filter(sequence(0, size(_ld_l) - 1), i -> _ld_l[i] rlike r'[^\\x20\\x09-\\x0D]')"))
     out = out.withColumn("_ld_m", F.expr(f"if(_ld_s is null, null, array_except(sequence(0, size(_ld_l) - 1), transform({marks}, j -> _ld_f[j])))"))
     if report:
         out = out.withColumn(report, F.expr("named_struct('n_lines', bigint(greatest(size(_ld_l), 0)), 'n_removed', bigint(if(_ld_s is null, 0, size(_ld_l) - size(_ld_m))))"))
     out = out.withColumn(text_col, F.expr(f"if(_ld_s is null, `{text_col}`, array_join(transform(_ld_m, i -> _ld_l[i]), '\\n'))"))
-    return out.drop("_ld_id", "_ld_t", "_ld_s", "_ld_l", "_ld_f", "_ld_m")
+    return out.drop("_ld_id", "_ld_t", "_ld_s", "_ld_e", "_ld_l", "_ld_f", "_ld_m")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Quality rules: a threshold table compiled into one projection.
+"""Quality rules: a threshold table compiled into one expression.
 
 Every statistic is a column expression over the row's own text, so the operator is a narrow map: no
 shuffle, no user function, and no state that grows with the table.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Frequent function words of English, German, French and Spanish.
@@ -33,18 +33,12 @@ class Rule:
     low: float | None = None
     high: float | None = None
 
-    def fails(self) -> Column:
-        """Cross-multiplied, so that no ratio is rounded and a denominator of zero never divides."""
-        top, under = F.col(self.numerator), F.col(self.denominator) if self.denominator else F.lit(1)
-        tests = []
-        if self.low is not None:
-            tests.append(top < F.lit(self.low) * under)
-        if self.high is not None:
-            tests.append(top > F.lit(self.high) * under)
-        out = tests[0]
-        for x in tests[1:]:
-            out = out | x
-        return F.coalesce(out, F.lit(False))
+    def fails(self, of: str = "") -> str:
+        """SQL; cross-multiplied, so that no ratio is rounded and a denominator of zero never divides."""
+        top, under = of + self.numerator, of + self.denominator if self.denominator else "1"
+        tests = [f"{top} < {self.low} * {under}"] if self.low is not None else []
+        tests += [f"{top} > {self.high} * {under}"] if self.high is not None else []
+        return " or ".join(tests)
 
 
 #: The first two are the base rules.
@@ -60,51 +54,54 @@ METHOD_RULES = (
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
-_SPACE = r"[\x20\x09-\x0D]+"
-_METRICS = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+_PAIRS = "array<struct<h:bigint,i:int>>"
 
 
-def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add a struct column _qr with the statistics of each text; rows and other columns stay as they are."""
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that binds a value to a name once. Columns would be inlined at each use when a filter on the verdict is pushed down."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _metrics() -> dict[str, str]:
+    """SQL of each statistic over x (text), w (words), l (lines with a word), p (places of repeated windows, in order)."""
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
-    df = df.withColumn("_qr_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumn("_qr_w", F.array_remove(F.split("_qr_text", _SPACE, -1), ""))
-    df = df.withColumn("_qr_n", F.size("_qr_w")).withColumn("_qr_l", F.expr(f"filter(split(_qr_text, '\\n', -1), x -> x rlike r'[^\\x20\\x09-\\x0D]')"))
-    df = df.withColumn("_qr_h", F.expr("if(_qr_n >= 3, transform(sequence(0, _qr_n - 3), i -> xxhash64(_qr_w[i], _qr_w[i + 1], _qr_w[i + 2])), cast(array() as array<bigint>))"))
-    # Sorted (hash, place) pairs put equal windows side by side; most texts have none and skip the sort.
-    df = df.withColumn("_qr_s", F.expr("if(size(array_distinct(_qr_h)) = size(_qr_h), cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(_qr_h, (h, i) -> named_struct('h', h, 'i', i))))"))
-    df = df.withColumn("_qr_p", F.expr("sort_array(transform(filter(_qr_s, (x, k) -> (k > 0 and _qr_s[greatest(k - 1, 0)].h = x.h) or (k < size(_qr_s) - 1 and _qr_s[least(k + 1, size(_qr_s) - 1)].h = x.h)), x -> x.i))"))
-    covered = "aggregate(_qr_p, named_struct('n', 0L, 'e', 0), (a, p) -> named_struct('n', a.n + (p + 3 - greatest(a.e, p)), 'e', p + 3), a -> a.n)"
-    as_long = {
-        "n_words": "_qr_n",
-        "word_chars": "length(array_join(_qr_w, ''))",
-        "n_symbols": "length(_qr_text) - length(regexp_replace(_qr_text, '[#*$%&|<>]+', ''))",
-        "n_exclamations": "length(_qr_text) - length(replace(_qr_text, '!', ''))",
-        "n_stop_words": f"size(filter(_qr_w, x -> x in ({stop})))",
-        "n_lines": "size(_qr_l)",
-        "n_dup_lines": "size(_qr_l) - size(array_distinct(_qr_l))",
-        "n_repeat_words": covered,
+    return {
+        "n_words": "size(w)",
+        "word_chars": "length(array_join(w, ''))",
+        "n_symbols": "length(x) - length(regexp_replace(x, '[#*$%&|<>]+', ''))",
+        "n_exclamations": "length(x) - length(replace(x, '!', ''))",
+        "n_stop_words": f"size(filter(w, y -> y in ({stop})))",
+        "n_lines": "size(l)",
+        "n_dup_lines": "size(l) - size(array_distinct(l))",
+        "n_repeat_words": "aggregate(p, named_struct('n', 0L, 'e', 0), (a, k) -> named_struct('n', a.n + (k + 3 - greatest(a.e, k)), 'e', k + 3), a -> a.n)",
     }
-    df = df.withColumn("_qr", F.struct(*(F.expr(f"cast({as_long[k]} as bigint)").alias(k) for k in _METRICS)))
-    return df.drop("_qr_text", "_qr_w", "_qr_n", "_qr_l", "_qr_h", "_qr_s", "_qr_p")
+
+
+def measured(text: str, then: str) -> str:
+    """SQL: the statistics of a text as struct q, in the expression ``then``."""
+    q = "named_struct(" + ", ".join(f"'{k}', bigint({v})" for k, v in _metrics().items()) + ")"
+    # Sorted (hash, place) pairs put equal windows side by side; most texts have none and skip the sort.
+    repeated = "(k > 0 and s[greatest(k - 1, 0)].h = y.h) or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].h = y.h)"
+    out = _let(q, "q", then)
+    out = _let(f"sort_array(transform(filter(s, (y, k) -> {repeated}), y -> y.i))", "p", out)
+    out = _let(f"if(size(array_distinct(h)) = size(h), cast(array() as {_PAIRS}), sort_array(transform(h, (y, i) -> named_struct('h', y, 'i', i))))", "s", out)
+    out = _let("if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])), cast(array() as array<bigint>))", "h", out)
+    out = _let(r"filter(split(x, '\n', -1), y -> y rlike r'[^\x20\x09-\x0D]')", "l", out)
+    out = _let(r"array_remove(split(x, r'[\x20\x09-\x0D]+', -1), '')", "w", out)
+    return _let(text, "x", out)
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", base=BASE_RULES, method=METHOD_RULES, out: str = "quality") -> DataFrame:
     """Add a struct column ``out``: the statistics, base_failed, kept, and failed (names of the rules that failed).
 
-    One row out for each row in, other columns untouched; an existing column named ``out`` is replaced, and
-    columns named _qr* are reserved. A null or empty text has no words, so it fails ``too_short``. Repeated
-    rows each get the same verdict. The text may be of any length: work is n log n in its words.
+    One row out for each row in, other columns untouched; an existing column named ``out`` is replaced. A
+    null or empty text has no words, so it fails ``too_short``. Repeated rows each get the same verdict. The
+    text may be of any length: work is n log n in its words.
     """
-
-    def failed(rules) -> Column:
-        names = F.array(*(F.when(Rule(r.name, f"_qr.{r.numerator}", r.denominator and f"_qr.{r.denominator}", r.low, r.high).fails(), F.lit(r.name)) for r in rules))
-        return F.array_compact(names)
-
-    df = measured(df, text_col).withColumn("_qr_base", failed(base)).withColumn("_qr_method", failed(method))
-    bad, worse = F.size("_qr_base") > 0, F.size("_qr_method") > 0
-    df = df.withColumn(out, F.struct("_qr.*", bad.alias("base_failed"), (~bad & ~worse).alias("kept"), F.concat("_qr_base", "_qr_method").alias("failed")))
-    return df.drop("_qr", "_qr_base", "_qr_method")
+    names = lambda rules: "array_compact(array(" + ", ".join(f"if({r.fails('q.')}, '{r.name}', null)" for r in rules) + "))"
+    verdict = "named_struct(" + ", ".join(f"'{k}', q.{k}" for k in _metrics()) + ", 'base_failed', size(b) > 0, 'kept', size(b) = 0 and size(m) = 0, 'failed', concat(b, m))"
+    then = _let(names(base), "b", _let(names(method), "m", verdict))
+    return df.withColumn(out, F.expr(measured(f"coalesce(cast(`{text_col}` as string), '')", then)))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -115,12 +112,7 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _fails_sql(rules) -> str:
-    tests = []
-    for r in rules:
-        under = r.denominator or "1"
-        tests += [f"{r.numerator} < {r.low} * {under}"] if r.low is not None else []
-        tests += [f"{r.numerator} > {r.high} * {under}"] if r.high is not None else []
-    return " OR ".join(tests)
+    return " OR ".join(r.fails() for r in rules)
 
 
 OP7_SQL = rf"""

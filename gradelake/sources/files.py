@@ -170,7 +170,7 @@ def tag_sets(text):
         F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^      [A-Za-z0-9_-]+:[ \t]*(.+?)[ \t]*\r?$"), F.lit(1)), unquote).alias("v"),
     )
     last = lambda p: F.aggregate(p, F.expr("cast(map() as map<string,string>)"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
-    return F.transform(_block(text, "    tags:", r"    \S"), lambda b: last(F.transform(pairs(b), lambda z: F.struct(z["0"].alias("k"), z["1"].alias("v")))))
+    return F.transform(_block(text, "    tags:", r"    \S"), lambda b: last(pairs(b)))
 
 
 def suites(files: DataFrame) -> DataFrame:

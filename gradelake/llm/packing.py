@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.shared import staged
 
-#: Rows per chunk that ranks are counted in, about.
-CHUNK_ROWS = 20_000
+#: Pieces of one length per chunk that ranks are counted in, about.
+CHUNK_ROWS = 500
 _PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 _encoders: dict[str, object] = {}
 
@@ -151,11 +151,10 @@ def packed(pieces: DataFrame, size: int) -> DataFrame:
     spark = pieces.sparkSession
     # At most `size` rows come to the driver.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
     runs = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in slots(plan(counts, size)).items()})
-    chunks = max(1, -(-total // CHUNK_ROWS))
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    chunks = ", ".join(f"{max(1, -(-counts.get(k, 0) // CHUNK_ROWS))}L" for k in range(1, size + 1))
+    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.expr(f"element_at(array({chunks}), int(length))")))
     per = dealt.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_chunk").orderBy(*order)) - 1)

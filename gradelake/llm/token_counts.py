@@ -92,6 +92,7 @@ class Counter:
         return pieces, total
 
 
+#: One counter per worker, kept from task to task.
 _counters: dict[int, Counter] = {}
 
 
@@ -101,11 +102,12 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
     Null and empty texts have 0 tokens and score 0. Null and repeated ids are kept; other columns are
     ignored. A text may be of any length; memory is linear in its longest run without a space.
     """
-    vocabulary = df.sparkSession.sparkContext.broadcast(unigram_vocabulary(model_file))  # as large as the file
+    pieces = unigram_vocabulary(model_file)
+    key = hash(tuple(pieces))
+    vocabulary = df.sparkSession.sparkContext.broadcast(pieces)  # as large as the file
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches):
-        key = vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary)
         if key not in _counters:
             _counters.clear()
             _counters[key] = Counter(vocabulary.value)

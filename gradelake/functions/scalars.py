@@ -182,3 +182,25 @@ def typed_field(variant, path: str, kind: str, required: bool = False) -> Column
     absent = raw.isNull() | (shape == "VOID")
     bad = F.raise_error(F.lit(f"{path} must be a {kind}")).cast(target)
     return F.when(absent, bad if required else F.lit(None).cast(target)).when(fits, F.try_variant_get(_c(variant), path, target)).otherwise(bad)
+
+
+def safe_path(x) -> Column:
+    """Only letters, digits and ``._/-``, relative, and not leaving the root once normalized."""
+    p = normalize_path(x)
+    return _c(x).rlike(r"^[A-Za-z0-9._/-]+$") & ~p.startswith("/") & ~p.rlike(r"^\.\.(/|$)")
+
+
+def insert_after(text, anchor: str, addition: str) -> Column:
+    """The text with an addition behind the first match of an anchor (multi-line); unchanged without one."""
+    at = F.regexp_instr(_c(text), F.lit(f"(?m){anchor}"))
+    end = at - 1 + F.length(F.regexp_extract(_c(text), f"(?m){anchor}", 0))
+    return F.when(at == 0, _c(text)).otherwise(F.concat(_c(text).substr(F.lit(1), end), F.lit(addition), _c(text).substr(end + 1, F.length(_c(text)))))
+
+
+def distinct_values(x) -> Column:
+    return F.array_distinct(filter_values(x))
+
+
+def composite_key(*columns) -> Column:
+    """A key of several columns; parts can't run into each other as in joined text."""
+    return F.struct(*columns)

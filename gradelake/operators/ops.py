@@ -204,3 +204,13 @@ def upsert_versions(current: DataFrame, changes: DataFrame, key: str, version: s
     takes = there & (~here | F.col("_v").eqNullSafe(F.col(version)))
     raised = F.when(takes, F.coalesce(F.col(version), F.lit(0)) + 1).otherwise(F.col(version)).alias(version)
     return both.select(key, raised, *(F.when(takes, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in rest), (there & ~takes).alias("conflict"))
+
+
+def of_kind(df: DataFrame, discriminator: str, kind: str) -> DataFrame:
+    return df.where(F.col(discriminator) == kind)
+
+
+def refreshed(cached: DataFrame, fresh: DataFrame, sentinels: Column, keys: list[str], values: list[str]) -> DataFrame:
+    """All fresh settings if one of the sentinels is new or changed, else the cached ones."""
+    moved = not changed_settings(cached.where(sentinels), fresh.where(sentinels), keys, values).isEmpty()
+    return fresh if moved else cached

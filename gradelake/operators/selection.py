@@ -121,3 +121,36 @@ def shard_matrix(groups: DataFrame, variants: Variants, variant: str = "all") ->
     if out.isEmpty():
         raise ValueError("The selected evaluations do not support the requested variant.")
     return out.select("language", "variant", "evaluations", F.struct("ord", "variant_ord").alias("ord"))
+
+
+def matches_columns(filters: list[TagFilter]) -> Column:
+    """The same AND of ORs over plain columns, in a form that is pushed down to the scan."""
+    out = F.lit(True)
+    for f in filters:
+        out = out & (F.coalesce(F.col(f.key).isin(*f.values), F.lit(False)) if f.values else F.lit(False))
+    return out
+
+
+def scenarios(services: DataFrame, names: list[str] | None = None, service: str | None = None, language: str | None = None) -> DataFrame:
+    """(scenario, service, language) rows of a selector: all, some names, or one service; and one language if given. In name order."""
+    out = services
+    if names is not None:
+        out = out.where(F.col("scenario").isin(*names))
+    if service is not None:
+        out = out.where(F.col("service") == service)
+    if language is not None:
+        out = out.where(F.col("language") == language)
+    return out.orderBy(F.expr("scenario COLLATE UNICODE"))
+
+
+def matrix_json(matrix: DataFrame) -> str:
+    """{"include": [...]} of a shard matrix in its order, for the tools that start the shards."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "language", "variant", "evaluations"))), lambda x: F.struct(x["language"].alias("language"), x["variant"].alias("variant"), x["evaluations"].alias("evaluations")))
+    return matrix.agg(F.to_json(F.struct(rows.alias("include"))).alias("j")).first().j
+
+
+def expected_matrix(spark, text: str) -> DataFrame:
+    """The inverse: (language, variant, evaluations, ord) from such a text; bad JSON is an error."""
+    kind = "include array<struct<language:string,variant:string,evaluations:bigint>>"
+    one = spark.createDataFrame([(text,)], "j string").select(F.from_json("j", kind, {"mode": "FAILFAST"}).alias("m"))
+    return one.select(F.posexplode("m.include").alias("ord", "x")).select("x.language", "x.variant", "x.evaluations", "ord")

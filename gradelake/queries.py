@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gradelake.functions import scalars as S
 from gradelake.operators import fanin, ops, oracle
 from gradelake.operators.gradetree import first_criteria, nodes, run_commands
-from gradelake.operators.selection import TagFilter, Variants, any_set_matches, group_by_language, matches_all, shard_matrix
+from gradelake.operators.selection import TagFilter, Variants, any_set_matches, group_by_language, matches_columns, shard_matrix
 from gradelake.streaming import streams
 
 QUERIES: dict = {}
@@ -183,8 +183,7 @@ def feedback_split(spark, d):
 def tag_filter_and_or(spark, d):
     part = table(spark, d, "part").where("p_type is not null")
     brands = [r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").limit(3).collect()]
-    tags = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
-    return part.where(matches_all(tags, [TagFilter("brand", tuple(brands)), TagFilter("size", ("1", "5", "10", "20"))])).select("p_partkey")
+    return part.where(matches_columns([TagFilter("p_brand", tuple(brands)), TagFilter("p_size", (1, 5, 10, 20))])).select("p_partkey")
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R' AND l_linestatus IN ('F', 'O') AND l_linenumber IN (1, 2))")
@@ -415,6 +414,20 @@ def scenario_matrix(spark, d):
     return oracle.language_matrix(rows.select(F.col("r_name").alias("language")))
 
 
+@query(
+    """SELECT o_orderkey, o_orderpriority AS key, 'P' || substr(o_orderpriority, 1, 1) || '!' || substr(o_orderpriority, 2) AS marked, o_orderpriority NOT LIKE '%SPEC%' AS named FROM orders"""
+)
+def text_edits(spark, d):
+    p = F.col("o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", p.alias("key"), F.concat(F.lit("P"), S.insert_after(p, "^.", "!")).alias("marked"), (~p.contains("SPEC")).alias("named"))
+
+
+@query("SELECT page_id, NOT contains(substr(url, 9), '..') AND regexp_matches(replace(substr(url, 9), '?', ''), '^[A-Za-z0-9._/-]+$') AS safe FROM pages")
+def safe_paths(spark, d):
+    rest = F.replace(F.expr("substr(url, 9)"), F.lit("?"), F.lit(""))
+    return table(spark, d, "pages").select("page_id", S.safe_path(rest).alias("safe"))
+
+
 # -- trees (R1-R3) ----------------------------------------------------------------------------------
 
 

@@ -220,3 +220,15 @@ def pruned(files: DataFrame, excluded: list[str], marker: str) -> DataFrame:
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     inside = kept.select("path", F.explode(above).alias("rim")).join(rims, "rim", "left_semi").select("path")
     return kept.join(inside, "path", "left_anti")
+
+
+def under(listing: DataFrame, prefix: str) -> DataFrame:
+    """(path, name): files below a prefix, and their names without it."""
+    return listing.where(F.col("path").startswith(prefix)).select("path", F.expr(f"substring(path, {len(prefix) + 1})").alias("name"))
+
+
+def json_lines(text: str) -> list:
+    """The values of a command's output, one per line that isn't blank; a malformed line is an error."""
+    if not isinstance(text, str):
+        raise ValueError("The command gave no standard output")
+    return [strict_json(x) for x in text.replace("\r\n", "\n").split("\n") if x.strip()]

@@ -141,3 +141,18 @@ def test_sessions_are_in_order_over_batches(spark, folder):
     streams.session_sequences(streams.read_events(spark, f"{folder}/in", EVENTS, 1), "kind", "event_id", f"{folder}/q", f"{folder}/cp3")
     rows = spark.read.parquet(f"{folder}/q/rows")
     assert rows.count() == 30 and {tuple(r) for r in rows.groupBy("kind").agg(F.countDistinct("sequence"), F.max("sequence")).collect()} == {("a", 10, 10), ("b", 10, 10), ("z", 10, 10)}
+
+
+def test_small_sources_and_settings(spark):
+    df = spark.createDataFrame([("r/x/a",), ("r/y",)], "path string")
+    assert [r.name for r in files.under(df, "r/x/").collect()] == ["a"]
+    assert files.json_lines('{"a":1}\r\n\n2') == [{"a": 1}, 2]
+    for bad in ("{", "NaN", None):
+        with pytest.raises(ValueError):
+            files.json_lines(bad)
+    old = spark.createDataFrame([("s", "1"), ("a", "x")], "key string, etag string")
+    new = spark.createDataFrame([("s", "1"), ("a", "y")], "key string, etag string")
+    assert ops.refreshed(old, new, F.col("key") == "s", ["key"], ["etag"]).where("key = 'a'").first().etag == "x"
+    moved = new.replace("1", "2")
+    assert ops.refreshed(old, moved, F.col("key") == "s", ["key"], ["etag"]).where("key = 'a'").first().etag == "y"
+    assert ops.of_kind(old, "key", "a").count() == 1

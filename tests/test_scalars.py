@@ -89,3 +89,14 @@ def test_small_texts(spark):
     assert one(spark, S.first_group(F.lit("x: 1\nname:  foo \n"), r"^name:\s*(\S+)\s*$")) == "foo"
     assert one(spark, S.supported_answer(F.array(F.lit(1)), F.lit(" unsupported: no"))) is False
     assert one(spark, S.context_text(F.array(F.lit("a"), F.lit("b")))) == "a\n\nb"
+
+
+@pytest.mark.parametrize("text,want", [("a/b.txt", True), ("../a", False), ("a/../../b", False), ("/a", False), ("a b", False), ("a/../b", True), ("..", False)])
+def test_safe_path(spark, text, want):
+    assert one(spark, S.safe_path("t"), t=text) is want
+
+
+def test_insert_after(spark):
+    assert one(spark, S.insert_after("t", "^stimuli:$", "\n  - x"), t="a: 1\nstimuli:\n  - y") == "a: 1\nstimuli:\n  - x\n  - y"
+    assert one(spark, S.insert_after("t", "^none$", "x"), t="a") == "a"
+    assert one(spark, S.distinct_values("t"), t="b, a,,b") == ["b", "a"]

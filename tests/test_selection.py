@@ -89,3 +89,16 @@ def test_matrix(catalog, suites):
     assert rows[:3] == [("python", "base", 2), ("python", "plus", 2), ("python", "full", 2)] and ("go", "full", 1) not in rows and len(rows) == 11
     with pytest.raises(ValueError, match="do not support"):
         shard_matrix(groups.where("language = 'go'"), VARIANTS, "full")
+
+
+def test_matrix_text_goes_both_ways(catalog, spark):
+    from gradelake.operators.selection import expected_matrix, matrix_json, scenarios
+
+    matrix = shard_matrix(group_by_language(catalog), VARIANTS, "plus")
+    back = [tuple(r) for r in expected_matrix(spark, matrix_json(matrix)).orderBy("ord").collect()]
+    assert [r[:3] for r in back] == [("python", "plus", 2), ("java", "plus", 1), ("typescript", "plus", 1), ("go", "plus", 1)]
+    with pytest.raises(Exception):
+        expected_matrix(spark, "{").collect()
+    df = spark.createDataFrame([("b", "s", "go"), ("a", "s", "go"), ("c", "t", "go")], "scenario string, service string, language string")
+    assert [r.scenario for r in scenarios(df, service="s", language="go").collect()] == ["a", "b"]
+    assert [r.scenario for r in scenarios(df, names=["c"]).collect()] == ["c"]

@@ -243,10 +243,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = components(links(staged(distinct.select("fp"), "distinct")))
-    of = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
+    linked = components(links(staged(distinct.select("fp"), "distinct")))
+    members = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
+    firsts = members.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written first, so that both sides of the join are plain exchanges and a hot component can be split.
+    named = members.join(staged(firsts, "roots"), "root").select("node", "component_id")
+    named = distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

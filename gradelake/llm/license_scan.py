@@ -128,4 +128,35 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _template_rows() -> str:
+    index, rows = Index(), []
+    for i, (label, words, phrase, least) in enumerate(index.templates):
+        listed = lambda xs: "[" + ", ".join(f"'{x.decode()}'" for x in xs) + "]"
+        idf = ", ".join(f"{index.idf[w]!r}::DOUBLE" for w in words)
+        rows.append(f"('{label}', {listed(words)}, {listed(phrase)}, {index.phrase_at[i]}, {least}::DOUBLE, [{idf}], {index.weight[i]!r}::DOUBLE, {str(i < index.n_base).lower()})")
+    return ", ".join(rows)
+
+
+#: The templates as rows; a phrase is looked for at every word, without the index.
+OP5_SQL = rf"""
+WITH t(label, words, phrase, off, need, idf, weight, base) AS (VALUES {_template_rows()}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+m AS (
+    SELECT doc_id, label, base, need, p - 1 - off AS start,
+        list_sum(list_transform(range(1, len(words) + 1), lambda j: CASE WHEN p - off + j - 1 >= 1 AND w[p - off + j - 1] = words[j] THEN idf[j] ELSE 0 END)) / weight AS found
+    FROM p JOIN t ON w[p] = phrase[1] AND list_slice(w, p, p + len(phrase) - 1) = phrase
+),
+ok AS (SELECT * FROM m WHERE found >= need - 1e-9),
+g AS (
+    SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(least(found, 1)) AS score
+    FROM ok GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from gradelake.llm.chat_format import OP1_SQL, op1_chat_format
 from gradelake.llm.decontamination import OP3_SQL, op3_decontamination
 from gradelake.llm.html_extract import op6_html_extract
-from gradelake.llm.license_scan import op5_license_scan
+from gradelake.llm.license_scan import OP5_SQL, op5_license_scan
 from gradelake.llm.line_dedup import OP10_SQL, op10_line_dedup
 from gradelake.llm.packing import op8_best_fit_packing
 from gradelake.llm.quality_rules import OP7_SQL, op7_quality_rules
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_sharding": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_sharding": OP4_SQL, "op5_license_scan": OP5_SQL, "op7_quality_rules": OP7_SQL, "op10_line_dedup": OP10_SQL}

@@ -77,15 +77,26 @@ def _hits(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _joined_hits(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """As _hits, for a benchmark too large to send: the windows of all texts are dealt by their hash."""
-    docs = docs.withColumn("_w", F.expr(words("_text"))).withColumn("_n", F.size("_w")).withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    """As _hits, for a benchmark too large to send: block hashes of all texts meet those of the items in a shuffled join, then the windows of the texts that are left do, as text."""
+    docs = docs.withColumn("_f", F.expr(f"array_remove(split(lower(coalesce(_text, '')), {_SPLIT}, -1), '')")).withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
     lengths = [r["len"] for r in table.select("len").distinct().orderBy("len").collect()]
     none = "cast(array() as array<struct<pos:int,len:int,gram:string>>)"
-    grams = ", ".join(f"transform({_spans('_n', n)}, i -> named_struct('pos', i, 'len', {n}, 'gram', array_join(slice(_w, i + 1, {n}), ' ')))" for n in lengths)
-    every = docs.dropDuplicates(["_digest"]).select("_digest", F.explode(F.expr(f"flatten(array({grams}))" if lengths else none)).alias("x"))
-    real = every.select("_digest", "x", F.col("x.gram").alias("gram")).join(table.select("gram"), "gram", "left_semi")
-    per = real.groupBy("_digest").agg(F.collect_list("x").alias("_hits"))
-    return docs.drop("_w").join(per, "_digest", "left").withColumn("_hits", F.coalesce("_hits", F.expr(none))).drop("_digest")
+    if not lengths:
+        return docs.select("*", F.size("_f").alias("_n"), F.expr(none).alias("_hits")).drop("_f", "_digest")
+    split = table.withColumn("f", F.split(F.lower("gram"), " "))
+    theirs, mine = None, []
+    for n in lengths:
+        g = (n + 1) // 2
+        one = split.where(F.col("len") == n).select(F.lit(n).alias("len"), F.explode(F.expr(f"transform(sequence(0, {g - 1}), i -> {_hash('f', 'i', g)})")).alias("h"))
+        theirs = one if theirs is None else theirs.union(one)
+        mine.append(f"transform(if(size(_f) >= {g}, sequence(0, size(_f) div {g} - 1), cast(array() as array<bigint>)), k -> named_struct('len', {n}, 'h', {_hash('_f', f'int(k * {g})', g)}))")
+    blocks = docs.select("_digest", F.explode(F.expr(f"array_distinct(flatten(array({', '.join(mine)})))")).alias("x")).select("_digest", "x.len", "x.h")
+    near = blocks.join(theirs.distinct(), ["len", "h"], "left_semi").select("_digest").distinct()
+    left = docs.select("_digest", "_text").join(near, "_digest", "left_semi").dropDuplicates(["_digest"]).withColumn("_w", F.expr(words("_text")))
+    grams = ", ".join(f"transform({_spans('size(_w)', n)}, i -> named_struct('pos', i, 'len', {n}, 'gram', array_join(slice(_w, i + 1, {n}), ' ')))" for n in lengths)
+    every = left.select("_digest", F.explode(F.expr(f"flatten(array({grams}))")).alias("x")).select("_digest", "x", F.col("x.gram").alias("gram"))
+    per = every.join(table.select("gram"), "gram", "left_semi").groupBy("_digest").agg(F.collect_list("x").alias("_hits"))
+    return docs.withColumn("_n", F.size("_f")).drop("_f").join(per, "_digest", "left").withColumn("_hits", F.coalesce("_hits", F.expr(none))).drop("_digest")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = 20, most_hashes: int = MOST_HASHES) -> DataFrame:

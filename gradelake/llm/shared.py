@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradelake-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gradelake_path = path
@@ -41,6 +43,19 @@ def dropped(df: DataFrame) -> None:
     """Delete the files behind a staged table that no later plan reads."""
     path = getattr(df, "_gradelake_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this driver has staged, once the results that read them are written. Returns how many."""
+    n = len(_made)
+    for path in list(_made):
+        _delete(spark, path)
+    return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)

@@ -119,3 +119,11 @@ def test_shards_of_identical_rows(spark):
     df = spark.range(500).select(F.lit(1).alias("doc_id"), F.lit("x" * 100).alias("text"))
     sums = sharded(df, limit=1000).groupBy("shard").agg(F.sum("bytes").alias("b")).collect()
     assert sum(r.b for r in sums) == 50_000 and max(r.b for r in sums) <= 1000
+
+
+def test_release(spark):
+    from gradelake.llm.shared import release, staged
+
+    release(spark)
+    table = staged(spark.range(3), "x")
+    assert table.count() == 3 and release(spark) == 1 and release(spark) == 0

@@ -108,9 +108,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words have no window; null ids are kept (a null item id is left out of items). Repeated rows and copies
     are looked up once and returned as often as they stand. Empty tables give no rows, or no hits.
     """
-    table = staged(windows(benchmark.select("item_id", "text"), window), "windows")
+    table = windows(benchmark.select("item_id", "text"), window)
     # (window + 1) div 2 blocks and one window for each gram at most.
     small = table.count() * ((window + 1) // 2 + 1) <= most_hashes
+    table = staged(table.coalesce(8) if small else table, "windows")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     rows = (_hits if small else _joined_hits)(rows, table)
     rows = rows.select("doc_id", F.col("_n").cast("bigint").alias("n_words"), F.expr("if(size(_hits) > 0, sha2(_text, 256), null)").alias("digest"), "_hits")

@@ -108,11 +108,11 @@ def rollout_percentile(flag, user) -> Column:
     return (F.pmod(F.conv(_bucket_word(flag, user), 16, 10).cast("decimal(20,0)"), F.lit(10000)).cast("double")) / 100
 
 
-def feature_percentage(conditions, names: tuple[str, ...] = ("Microsoft.Percentage",)) -> Column:
-    """parameters.Value of the first client filter with one of the names, in a JSON text."""
+def feature_percentage(conditions, name: str = "Percentage") -> Column:
+    """parameters.Value of the first client filter of that name, with or without a vendor before a dot, in a JSON text."""
     kind = "struct<conditions:struct<client_filters:array<struct<name:string,parameters:struct<Value:double>>>>>"
     filters = F.from_json(_c(conditions), kind)["conditions"]["client_filters"]
-    return F.try_element_at(F.filter(filters, lambda f: f["name"].isin(*names)), F.lit(1))["parameters"]["Value"]
+    return F.try_element_at(F.filter(filters, lambda f: F.element_at(F.split(f["name"], r"\."), -1) == name), F.lit(1))["parameters"]["Value"]
 
 
 def feature_enabled(flag, user, percent) -> Column:

@@ -7,6 +7,7 @@ rounds them, so that values can be compared.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -394,12 +395,12 @@ def url_parts(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 0 THEN 'negative price' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'invalid status' END,
-        CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'late' END], lambda x: x IS NOT NULL) AS errors FROM orders"""
+    """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice < 0 THEN 'negative price' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'invalid status' END,
+        CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'late' END], lambda x: x IS NOT NULL), '; ') AS errors FROM orders"""
 )
 def row_validation(spark, d):
     rules = F.array(F.when(F.col("o_totalprice") < 0, "negative price"), F.when(~F.col("o_orderstatus").isin("F", "O"), "invalid status"), F.when(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp"), "late"))
-    return table(spark, d, "orders").select("o_orderkey", F.array_compact(rules).alias("errors"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_compact(rules), "; ").alias("errors"))
 
 
 @query("SELECT l_orderkey, count(*) AS lines, count(*) FILTER (l_linenumber = 1) AS firsts FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber = 1) <> 1")
@@ -462,7 +463,7 @@ def _stream(spark, d):
 
 def _work(spark) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    return f"{named.rstrip('/')}/stream-{tempfile.mktemp(prefix='', dir='')}" if named else tempfile.mkdtemp(prefix="gradelake-stream-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gradelake-stream-")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

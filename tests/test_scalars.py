@@ -45,7 +45,7 @@ def test_rollout_buckets(spark):
 
 
 def test_feature_percentage(spark):
-    text = '{"conditions": {"client_filters": [{"name": "Other"}, {"name": "Microsoft.Percentage", "parameters": {"Value": 25}}]}}'
+    text = '{"conditions": {"client_filters": [{"name": "Other"}, {"name": "Vendor.Percentage", "parameters": {"Value": 25}}]}}'
     assert one(spark, S.feature_percentage("t"), t=text) == 25.0
     assert one(spark, S.feature_percentage("t"), t="{}") is None
 

@@ -10,7 +10,7 @@ VARIANTS = Variants(("base", "plus", "full"), {"go": ("base", "plus")})
 @pytest.fixture(scope="module")
 def root(tmp_path_factory):
     root = tmp_path_factory.mktemp("catalog")
-    specs = [("python", "identity"), ("python", "cosmos-db"), ("java", "identity"), ("go", "cosmos-db"), ("typescript", "cosmos-db")]
+    specs = [("python", "identity"), ("python", "tables"), ("java", "identity"), ("go", "tables"), ("typescript", "tables")]
     for language in ("python", "java", "typescript", "go"):
         mine = [s for s in specs if s[0] == language]
         (root / "experiments" / language).mkdir(parents=True)
@@ -43,7 +43,7 @@ def picked(catalog, suites, **want):
 def test_scans(catalog, suites, spark, root):
     assert catalog.count() == 5
     sets = catalog.where("language = 'go'").first().tag_sets
-    assert sets == [{"service": "cosmos-db", "language": "go"}, {"service": "other", "plane": "data"}]
+    assert sets == [{"service": "tables", "language": "go"}, {"service": "other", "plane": "data"}]
     got = {(r.suite, r.repo_path) for r in suites.collect()}
     assert got == {("smoke", "scenarios/identity-python/eval.yaml"), ("smoke", "scenarios/identity-java/eval.yaml"), ("empty", None), ("bad", "scenarios/none/eval.yaml")}
     # the dimension takes the first service as it stands, quotes included
@@ -52,7 +52,7 @@ def test_scans(catalog, suites, spark, root):
 
 def test_clauses_are_anded_and_values_ored(catalog, suites):
     assert [x for x, _ in picked(catalog, suites, mode="tags", tags="service=identity;language=python")] == ["python"]
-    assert [x for x, _ in picked(catalog, suites, mode="tags", tags="language=python,typescript;service=cosmos-db")] == ["python", "typescript"]
+    assert [x for x, _ in picked(catalog, suites, mode="tags", tags="language=python,typescript;service=tables")] == ["python", "typescript"]
     # order is declared, not asked for
     assert [x for x, _ in picked(catalog, suites, mode="tags", tags="language=go,java")] == ["java", "go"]
 

@@ -53,10 +53,25 @@ def encoder(vocabulary: bytes):
         ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         import public_tokenizers
 
-        _encoders[key] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _encoders[key] = lambda text: _encoded(text, fast, vocabulary)
     return _encoders[key]
 
 
+def _encoded(text: str, fast, vocabulary: bytes) -> list[int]:
+    try:
+        return fast(text)
+    except BaseException as e:
+        # Hundreds of thousands of blanks in a row overflow the stack of its regular expressions.
+        if type(e).__name__ != "PanicException":
+            raise
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocabulary.decode())
+    tokenizer.encode_special_tokens = True
+    return tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def tokenized(df: DataFrame, vocabulary: str, size: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32 and, if with_ids, ids."""
     with open(vocabulary, "rb") as f:  # the file is small and on the driver; executors get its content

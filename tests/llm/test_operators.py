@@ -303,6 +303,8 @@ def test_encoder_equals_the_library():
     for _ in range(3000):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert mine(x) == tok.encode(x, add_special_tokens=False).ids
+    blank = "a" + " " * 1_000_000 + "b"
+    assert mine(blank) == tok.encode(blank, add_special_tokens=False).ids
 
 
 def test_token_counts(spark, texts):

@@ -151,11 +151,11 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def _block(x, header: str, ends: str):
     """SQL regular expression pieces: the lines after a header line until one that ``ends`` matches."""
-    return F.regexp_extract_all(x, F.lit(rf"(?m)^{header}[ \t]*\r?$((?:\n(?!{ends}).*)*)"), F.lit(1))
+    return F.regexp_extract_all(x, F.lit(rf"(?md)^{header}[ \t]*\r?$((?:\n(?!{ends})[^\n]*)*+)"), F.lit(1))
 
 
 def _items(x, indent: str):
-    return F.transform(F.regexp_extract_all(x, F.lit(rf"(?m)^{indent}-[ \t]+(.+?)[ \t]*\r?$"), F.lit(1)), unquote)
+    return F.transform(F.regexp_extract_all(x, F.lit(rf"(?md)^{indent}-[ \t]+(.+?)[ \t]*\r?$"), F.lit(1)), unquote)
 
 
 def experiment_evals(text):
@@ -166,8 +166,8 @@ def experiment_evals(text):
 def tag_sets(text):
     """The maps under each four-space ``tags:``, as an array column; of equal keys the last counts."""
     pairs = lambda b: F.arrays_zip(
-        F.regexp_extract_all(b, F.lit(r"(?m)^      ([A-Za-z0-9_-]+):[ \t]*.+?[ \t]*\r?$"), F.lit(1)).alias("k"),
-        F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^      [A-Za-z0-9_-]+:[ \t]*(.+?)[ \t]*\r?$"), F.lit(1)), unquote).alias("v"),
+        F.regexp_extract_all(b, F.lit(r"(?md)^      ([A-Za-z0-9_-]+):[ \t]*.+?[ \t]*\r?$"), F.lit(1)).alias("k"),
+        F.transform(F.regexp_extract_all(b, F.lit(r"(?md)^      [A-Za-z0-9_-]+:[ \t]*(.+?)[ \t]*\r?$"), F.lit(1)), unquote).alias("v"),
     )
     last = lambda p: F.aggregate(p, F.expr("cast(map() as map<string,string>)"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
     return F.transform(_block(text, "    tags:", r"    \S"), lambda b: last(pairs(b)))

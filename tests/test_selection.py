@@ -102,3 +102,15 @@ def test_matrix_text_goes_both_ways(catalog, spark):
     df = spark.createDataFrame([("b", "s", "go"), ("a", "s", "go"), ("c", "t", "go")], "scenario string, service string, language string")
     assert [r.scenario for r in scenarios(df, service="s", language="go").collect()] == ["a", "b"]
     assert [r.scenario for r in scenarios(df, names=["c"]).collect()] == ["c"]
+
+
+def test_long_files_and_line_ends(spark):
+    lines = ["suites:", "  big:", "    evals:", *(f"      - a/{i}.yaml" for i in range(20_000)), "  small:", "    evals:", "      - 'x/./y.yaml'", "end: 1"]
+    for sep in ("\n", "\r\n"):
+        df = spark.createDataFrame([("p", sep.join(lines))], "path string, value string")
+        rows = files.suites(df)
+        assert rows.where("suite = 'big'").count() == 20_000 and [r.repo_path for r in rows.where("suite = 'small'").collect()] == ["x/y.yaml"]
+        spec = sep.join(["stimuli:", "  - name: a", "    tags:", "      k: v", "      k: 'w'", "    other: 1", "      z: 1"])
+        assert spark.createDataFrame([(spec,)], "t string").select(files.tag_sets(F.col("t"))).first()[0] == [{"k": "w"}]
+        evals = sep.join(["evals:", "  - a", "  - 'b'", "vary:", "  - c"])
+        assert spark.createDataFrame([(evals,)], "t string").select(files.experiment_evals(F.col("t"))).first()[0] == ["a", "b"]

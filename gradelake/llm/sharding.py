@@ -35,18 +35,20 @@ def _directory(sums: DataFrame, depth: int, least: int, limit: int) -> DataFrame
     return up.join(fit, "prefix").groupBy("fine").agg(F.min_by("prefix", "d").alias("shard"))
 
 
-def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
+def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, bytes, shard, depth) for each row: bytes of the text in UTF-8, shard a string of 0 and 1.
 
+    ``keep`` names columns to carry along, which are then written down with the sizes.
+
     Every shard holds at most ``limit`` bytes, but for single documents that are larger by themselves. The
     hash is MD5 of id and text, so rows that repeat an id spread; rows that repeat both share all these
     bits, and bits of a number given to each row follow. Null texts hold 0 bytes and null ids hash as
     empty. Other columns are ignored; an empty table gives no rows.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x"))
-    rows = rows.select("doc_id", F.octet_length("x").cast("bigint").alias("bytes"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "x")).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x"), F.struct(*keep).alias("_keep") if keep else F.lit(0).alias("_keep"))
+    rows = rows.select("doc_id", "_keep", F.octet_length("x").cast("bigint").alias("bytes"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "x")).alias("h"), F.monotonically_increasing_id().alias("row"))
     # The number of a row is fixed by writing it down.
-    rows = staged(rows, "sizes").select("doc_id", "bytes", F.expr(_bits("concat(h, md5(cast(row as string)))")).alias("bits"))
+    rows = staged(rows, "sizes").select("doc_id", "_keep", "bytes", F.expr(_bits("concat(h, md5(cast(row as string)))")).alias("bits"))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     least, depth = 0, max(4, math.ceil(math.log2(total / limit)) + 4 if total else 0)
     parts, left = [], rows
@@ -54,7 +56,7 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
         cut = left.withColumn("fine", F.substring("bits", 1, depth))
         sums = cut.groupBy("fine").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
         book = staged(sums.join(_directory(sums, depth, least, limit), "fine", "left"), "directory").select("fine", "shard")
-        parts.append(cut.join(book.where("shard is not null"), "fine").select("doc_id", "bytes", "shard"))
+        parts.append(cut.join(book.where("shard is not null"), "fine").select("doc_id", "_keep", "bytes", "shard"))
         large = book.where("shard is null")
         if large.isEmpty():
             break
@@ -63,7 +65,14 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
-    return out.withColumn("depth", F.length("shard"))
+    return out.select("doc_id", *(F.col(f"_keep.`{c}`") for c in keep), "bytes", "shard", F.length("shard").alias("depth"))
+
+
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
+    """Write all columns as Parquet, one folder and one file for each shard: path/shard=<bits>/. A shard fits its limit, and so one task."""
+    rest = tuple(c for c in df.columns if c not in (id_col, "bytes", "shard", "depth"))
+    out = sharded(df, id_col, text_col, limit, rest).drop("bytes", "depth").withColumnRenamed("doc_id", id_col)
+    out.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

@@ -127,3 +127,13 @@ def test_release(spark):
     release(spark)
     table = staged(spark.range(3), "x")
     assert table.count() == 3 and release(spark) == 1 and release(spark) == 0
+
+
+def test_written_shards(spark, tmp_path):
+    from gradelake.llm.sharding import write_shards
+
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    write_shards(df, str(tmp_path / "s"), limit=1000)
+    back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "s"))
+    assert back.columns == df.columns and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "s").glob("shard=*"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.scalars import criterion_kind
 from gradelake.sources import files
+from gradelake.sources.staging import written
 
 #: The program checks that each language must report.
 REQUIRED_CHECKS = {
@@ -97,19 +98,22 @@ def fan_in(spark: SparkSession, root: str, expected: DataFrame, services: DataFr
     shards = all_shards.where("nth = 1").drop("nth")
     paired = expected.join(shards, ["language", "variant"], "full_outer").withColumn("key", key)
 
-    lines = files.numbered_lines(files.found_files(spark, root, "results.jsonl"))
-    parsed = files.trials(lines.withColumnRenamed("path", "file"))
-    # A file belongs to the manifests of any folder above it: its folders meet theirs in an equi-join.
+    found = files.found_files(spark, root, "results.jsonl")
+    # A file belongs to the manifests of any folder above it: its folders meet theirs in an equi-join, before lines are read.
     parts = F.split("file", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    owned = parsed.withColumn("dir", F.explode(above)).join(shards.withColumnRenamed("variant", "shard_variant"), "dir").withColumn("key", F.concat_ws("/", "language", "shard_variant"))
-    owned = owned.withColumn("row", F.format_string("%s %010d", "file", "line"))
+    owners = found.select(F.col("path").alias("file")).withColumn("dir", F.explode(above)).join(shards.withColumnRenamed("variant", "shard_variant"), "dir").drop("dir")
+    parsed = files.trials(files.numbered_lines(found).withColumnRenamed("path", "file"))
+    owned = parsed.join(owners, "file").withColumn("key", F.concat_ws("/", "language", "shard_variant"))
+    # Parsed once: counts, totals and problems all read this table.
+    owned = written(owned.withColumn("row", F.format_string("%s %010d", "file", "line")), "trials")
     good = owned.where("message is null")
     counts = good.groupBy("key").agg(F.count(F.lit(1)).alias("found"))
     ranked = first_wins(good, ["variant", "eval_name"], ["path", "file", "line"])
-    rows = ranked.where("nth = 1").drop("nth").withColumn("id", F.xxhash64("path", "file", "line"))
+    rows = ranked.where("nth = 1").drop("nth").withColumn("id", F.struct("path", "file", "line"))
     rows = rows.withColumnRenamed("service", "own").join(services, "eval_name", "left").withColumn("known", F.coalesce("own", "service")).withColumn("service", F.coalesce("own", "service", F.lit("unknown")))
-    checks = check_counts(rows, required_checks(spark, required))
+    rows = written(rows, "rows")
+    checks = written(check_counts(rows, required_checks(spark, required)), "checks")
     counted = trial_counts(rows, checks)
 
     name = F.concat_ws("/", "variant", "eval_name")

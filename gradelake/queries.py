@@ -6,7 +6,6 @@ rounds them, so that values can be compared.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from gradelake.functions import scalars as S
 from gradelake.operators import fanin, ops, oracle
 from gradelake.operators.gradetree import first_criteria, nodes, run_commands
 from gradelake.operators.selection import TagFilter, Variants, any_set_matches, group_by_language, matches_columns, shard_matrix
+from gradelake.sources.staging import shared_dir
 from gradelake.streaming import streams
 
 QUERIES: dict = {}
@@ -462,8 +462,7 @@ def _stream(spark, d):
 
 
 def _work(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gradelake-stream-")
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

@@ -15,7 +15,8 @@ from gradelake.functions import scalars as S
 from gradelake.operators import fanin, ops, oracle
 from gradelake.operators.gradetree import first_criteria, nodes, run_commands
 from gradelake.operators.selection import TagFilter, Variants, any_set_matches, group_by_language, matches_columns, shard_matrix
-from gradelake.sources.staging import shared_dir
+from gradelake.sources import files
+from gradelake.sources.staging import shared_dir, written
 from gradelake.streaming import streams
 
 QUERIES: dict = {}
@@ -448,6 +449,28 @@ def grade_tree(spark, d):
     return commands.join(first_criteria(walked).select("id", F.size("criteria").cast("long").alias("n_criteria")), "id")
 
 
+# -- fan-in of result lines (S8, R1, R2, J5, A1-A5) ---------------------------------------------------
+
+
+@query(
+    """WITH t AS (SELECT lang AS language, 'svc' || (doc_id % 3) AS service, source AS variant, quality = 1 AS p, toxic = 0 AS l, n_chars > 1000 AS c FROM documents JOIN labels USING (doc_id))
+    SELECT CASE WHEN grouping(language) = 0 THEN 'shard' WHEN grouping(service) = 0 THEN 'service' ELSE 'variant' END AS level, language, service, variant, count(*) AS trials,
+        count(*) FILTER (p) AS prompt_passed, count(*) AS prompt_total, count(*) FILTER (l) AS language_passed, count(*) AS language_total, count(*) AS other_passed, count(*) AS other_total,
+        count(*) FILTER (c) AS program_passed, count(*) AS program_total
+    FROM t GROUP BY GROUPING SETS ((language, variant), (variant), (service, variant))"""
+)
+def trial_totals(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    criterion = lambda name, ok: F.struct(F.lit(name).alias("name"), ok.alias("passed"))
+    criteria = F.array(criterion("prompt/q", F.col("quality") == 1), criterion("language/t", F.col("toxic") == 0), criterion("x", F.lit(True)))
+    command = F.struct(F.lit("run-command").alias("graderType"), F.lit("program/c").alias("name"), (F.col("n_chars") > 1000).alias("passed"))
+    panel = F.struct(F.struct(criteria.alias("criteria")).alias("metadata"), F.array(command).alias("details"))
+    line = F.struct(F.col("doc_id").cast("string").alias("evalName"), F.col("source").alias("variant"), F.lit("success").alias("status"), F.concat(F.lit("svc"), (F.col("doc_id") % 3).cast("string")).alias("service"), F.struct(F.array(panel).alias("details")).alias("gradeResult"))
+    trials = written(files.trials(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.to_json(line).alias("text"))), "trials")
+    checks = fanin.check_counts(trials, fanin.required_checks(spark, {k: ("program/c",) for k in ("en", "de", "fr", "es")}))
+    return fanin.totals(fanin.trial_counts(trials, checks))
+
+
 # -- streams (T1s-T9s) ------------------------------------------------------------------------------
 
 _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"

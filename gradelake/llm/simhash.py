@@ -242,15 +242,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives no rows. A text may be of any length.
     """
     rows = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    linked = components(links(staged(rows.select("fp").distinct(), "codes")))
+    return grouped(rows, linked).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def grouped(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, doc_id, component_id) for each row (doc_id, fp), given the components (node, root) of the different fp."""
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = components(links(distinct.select("fp")))
     members = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     firsts = members.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("component_id"))
     # Written first, so that both sides of the join are plain exchanges and a hot component can be split.
     named = members.join(staged(firsts, "roots"), "root").select("node", "component_id")
     named = distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     # A fingerprint that many documents share is hot here: again a join of two plain exchanges.
-    return rows.join(staged(named, "named"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(staged(named, "named"), "fp")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from gradelake.llm.shared import staged
 #: Pieces of one length per chunk that ranks are counted in, about.
 CHUNK_ROWS = 500
 _PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[int, bool], object] = {}
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -37,15 +38,16 @@ def _byte_of_char() -> dict[str, int]:
     return out
 
 
-def encoder(vocabulary: bytes):
+def encoder(vocabulary: bytes, added: bool = False):
     """encode(text) -> list of ids, for the content of a byte-level BPE file of the tokenizers library.
 
     tiktoken merges by rank; in such a file a token's id is its rank, so both give the same ids, and
-    tiktoken takes a fifth of the time. Strings of special tokens in a text are ordinary text.
+    tiktoken takes a fifth of the time. Strings of added tokens in a text are ordinary text, or with ``added``
+    their ids, as the library has it by default; texts that hold one then go to the library.
     """
     import tiktoken
 
-    key = zlib.crc32(vocabulary)
+    key = zlib.crc32(vocabulary), added
     if key not in _encoders:
         table = _byte_of_char()
         model = json.loads(vocabulary)
@@ -54,22 +56,28 @@ def encoder(vocabulary: bytes):
         import public_tokenizers
 
         fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _encoders[key] = lambda text: _encoded(text, fast, vocabulary)
+        _encoders[key] = lambda text: _encoded(text, fast, vocabulary, special if added else None)
     return _encoders[key]
 
 
-def _encoded(text: str, fast, vocabulary: bytes) -> list[int]:
+def _encoded(text: str, fast, vocabulary: bytes, added: set[str] | None) -> list[int]:
     try:
-        return fast(text)
+        if not (added and any(x in text for x in added)):
+            return fast(text)
     except BaseException as e:
         # Hundreds of thousands of blanks in a row overflow the stack of its regular expressions.
         if type(e).__name__ != "PanicException":
             raise
+    return _library(vocabulary, added is None).encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=4)
+def _library(vocabulary: bytes, ordinary: bool):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary.decode())
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text, add_special_tokens=False).ids
+    tokenizer.encode_special_tokens = ordinary
+    return tokenizer
 
 
 def tokenized(df: DataFrame, vocabulary: str, size: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
@@ -80,7 +88,7 @@ def tokenized(df: DataFrame, vocabulary: str, size: int, end_id: int, id_col: st
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        encode = encoder(content.value)
+        encode = encoder(content.value, added=True)
         for batch in batches:
             kept, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text")):

@@ -50,14 +50,14 @@ def _hits(docs: DataFrame, table: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     lengths = [r["len"] for r in table.select("len").distinct().orderBy("len").collect()]  # at most `window` rows
     none = "cast(array() as array<struct<pos:int,len:int,gram:string>>)"
-    docs = docs.withColumn("_f", F.expr(f"array_remove(split(lower(coalesce(_text, '')), {_SPLIT}, -1), '')"))
+    docs = docs.withColumn("_f", F.expr(words("_text")))
     near, found = [], []
-    split = table.withColumn("w", F.split("gram", " ")).withColumn("f", F.split(F.lower("gram"), " "))
+    split = table.withColumn("w", F.split("gram", " "))
     hashes = []
     for n in lengths:
         g = (n + 1) // 2
         one = split.where(F.col("len") == n)
-        hashes.append(one.select(F.lit(n).alias("len"), F.lit(True).alias("block"), F.explode(F.expr(f"transform(sequence(0, {g - 1}), i -> {_hash('f', 'i', g)})")).alias("h")))
+        hashes.append(one.select(F.lit(n).alias("len"), F.lit(True).alias("block"), F.explode(F.expr(f"transform(sequence(0, {g - 1}), i -> {_hash('w', 'i', g)})")).alias("h")))
         hashes.append(one.select(F.lit(n).alias("len"), F.lit(False).alias("block"), F.expr(_hash("w", "0", n)).alias("h")))
     sets: dict[tuple[int, bool], list[int]] = {}
     for part in hashes:
@@ -71,19 +71,19 @@ def _hits(docs: DataFrame, table: DataFrame) -> DataFrame:
     if not lengths:
         return docs.select("*", F.size("_f").alias("_n"), F.expr(none).alias("_hits")).drop("_f")
     docs = docs.withColumn("_near", F.expr(" or ".join(near)))
-    docs = docs.withColumn("_w", F.expr(f"if(_near, {words('_text')}, cast(null as array<string>))"))
+    docs = docs.withColumn("_w", F.expr("if(_near, _f, null)"))
     docs = docs.withColumn("_hits", F.expr(f"if(_near, flatten(array({', '.join(found)})), {none})"))
     return docs.withColumn("_n", F.size("_f")).drop("_f", "_w", "_near")
 
 
 def _joined_hits(docs: DataFrame, table: DataFrame) -> DataFrame:
     """As _hits, for a benchmark too large to send: block hashes of all texts meet those of the items in a shuffled join, then the windows of the texts that are left do, as text."""
-    docs = docs.withColumn("_f", F.expr(f"array_remove(split(lower(coalesce(_text, '')), {_SPLIT}, -1), '')")).withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    docs = docs.withColumn("_f", F.expr(words("_text"))).withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
     lengths = [r["len"] for r in table.select("len").distinct().orderBy("len").collect()]
     none = "cast(array() as array<struct<pos:int,len:int,gram:string>>)"
     if not lengths:
         return docs.select("*", F.size("_f").alias("_n"), F.expr(none).alias("_hits")).drop("_f", "_digest")
-    split = table.withColumn("f", F.split(F.lower("gram"), " "))
+    split = table.withColumn("f", F.split("gram", " "))
     theirs, mine = None, []
     for n in lengths:
         g = (n + 1) // 2

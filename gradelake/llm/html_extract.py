@@ -58,7 +58,7 @@ class _Node:
 def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     around = name in ASIDE or name == "header" and not in_article
     within = False
-    if attributes and name not in ("html", "body", "article", "main"):
+    if attributes and name not in ("html", "body", "main"):
         for key, value in _MARK.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -124,18 +124,38 @@ def blocks(page: str) -> list[tuple[str, _Node, int, bool]]:
                 if node.name in CLOSES.get(name, ()):
                     node = node.parent
             around, within = _marks(name, m[3], node.article)
-            if name in ("article", "main"):  # what holds the article isn't around it
-                up = node
-                while up:
-                    up.around = False
-                    up = up.parent
             node = _Node(name, node, around, within)
     joined = " ".join(_html.unescape("".join(text)).split())
     if joined:
         out.append((joined, node, min(linked, len(joined)), False))
+    _clear(out)
     return out
 
 
+def _clear(found: list) -> None:
+    """What holds the page's main article isn't around it: an article or main with at least half of the words that no part inside it marks as around."""
+    for own in (True, False):  # an article's own marks are ignored only where no article is without
+        total, inside = 0, {}
+        for text, node, _, _ in found:
+            n, free = text.count(" ") + 1, True
+            up = node
+            while up and free and up.name not in ("article", "main"):
+                free, up = not up.around, up.parent
+            if not free:
+                continue
+            total += n
+            while up and not (up.name in ("article", "main") and own and up.around):
+                if up.name in ("article", "main"):
+                    inside[id(up)] = (inside.get(id(up), (0, up))[0] + n, up)
+                up = up.parent
+        if inside:
+            break
+    for n, node in inside.values():
+        while node and 2 * n >= total:
+            node.around = False
+            node = node.parent
+
+
 def _state(node: _Node, seen: dict) -> tuple[bool, bool]:
     """Whether the container is around the article, and whether marked as within it."""
     if node is None:
@@ -155,18 +175,23 @@ def _state(node: _Node, seen: dict) -> tuple[bool, bool]:
 
 def scores(found: list, weights: dict = WEIGHTS) -> list[float]:
     """The classifier's score of each block: above 0 for content."""
-    has_article = any(b[1].article for b in found)
     seen: dict = {}
+    # The part of the words that stand in an article or main bounds what that counts: all from one half on.
+    mass = [0, 0]
+    for text, node, _, _ in found:
+        if not _state(node, seen)[0]:
+            mass[node.article] += text.count(" ") + 1
+    sure = min(1.0, 2 * mass[1] / max(1, sum(mass)))
     out = []
     for text, node, linked, heading in found:
         n = text.count(" ") + 1
         around, within = _state(node, seen)
         s = weights["bias"] + weights["word"] * min(n, weights["most_words"]) + weights["links"] * linked / len(text)
         s += weights["heading"] * heading + weights["around"] * around
-        if has_article:
-            s += weights["article"] if node.article else weights["outside"]
+        if node.article:
+            s += weights["article"] * sure
         else:
-            s += weights["within"] * within + (weights["short"] if n < 5 and not heading else 0.0)
+            s += weights["outside"] * sure + weights["within"] * within + (weights["short"] if n < 5 and not heading else 0.0)
         out.append(s)
     return out
 
@@ -175,7 +200,7 @@ def edges(found: list, smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in page order, and neighbours among the blocks of one parent. None cross the rim of a part around the article."""
     out, last = [], {}
     seen: dict = {}
-    rim = [(_state(b[1], seen)[0], b[1].article) for b in found]
+    rim = [_state(b[1], seen)[0] for b in found]
     for k in range(1, len(found)):
         if rim[k] == rim[k - 1]:
             a, b, d = found[k - 1][1], found[k][1], 0

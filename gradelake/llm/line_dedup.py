@@ -5,8 +5,9 @@ comes first (by document id, then text hash, then line) and covers three lines t
 overlapping windows cover their union. Windows are told apart by two 64-bit hashes of their lines.
 
 Only the hashes are shuffled. First occurrences come from a min aggregate, which is combined before the
-shuffle, so a passage that a third of all documents share sends one row per task; the join that finds the
-other occurrences is a plain equi-join, which adaptive execution splits where one window is hot.
+shuffle, so a passage that a third of all documents share sends one row per task. The repeated windows are
+written before the join that finds their other occurrences, so that both its sides are plain exchanges, which
+adaptive execution splits where one window is hot.
 """
 
 from __future__ import annotations
@@ -18,48 +19,58 @@ from gradelake.llm.shared import staged
 
 #: Places to remove that are sent to all executors at most; beyond, documents are shuffled to them.
 MOST_SENT = 1_000_000
-_COVERED = "array_distinct(flatten(transform({}, j -> array(j, j + 1, j + 2))))"
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _t, starts, n): for each document with repeats, the places of its repeated windows among its n non-blank lines; _t hashes the text."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_t"), F.expr(_filled(text_col)).alias("l")).where("size(l) >= 3")
-    one = "named_struct('j', j, 'h1', xxhash64(l[j], l[j + 1], l[j + 2]), 'h2', xxhash64(1, l[j + 2], l[j + 1], l[j]))"
-    found = staged(rows.select("doc_id", "_t", F.size("l").alias("n"), F.explode(F.expr(f"transform(sequence(0, size(l) - 3), j -> {one})")).alias("w")).select("doc_id", "_t", "n", "w.*"), "lines")
-    place = F.struct("doc_id", "_t", "j")
-    many = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
-    later = found.join(many, ["h1", "h2"]).where("not (named_struct('doc_id', doc_id, '_t', _t, 'j', j) <=> first)")
-    return later.groupBy("doc_id", "_t").agg(F.collect_set("j").alias("starts"), F.max("n").alias("n"))
-
-
-def _filled(text_col: str) -> str:
-    return f"filter(split(cast(`{text_col}` as string), '\\n', -1), x -> x rlike r'[^\\x20\\x09-\\x0D]')"
+    """(doc_id, _t, gone, emptied): for each document with repeats, the places of the lines to remove among all its lines, and whether only blank ones are left; _t hashes the text."""
+    text = f"cast(`{text_col}` as string)"
+    filled = r"filter(transform(l, (x, i) -> named_struct('x', x, 'i', i)), y -> y.x rlike r'[^\x20\x09-\x0D]')"
+    one = "named_struct('a', f[j].i, 'b', f[j + 1].i, 'c', f[j + 2].i, 'h1', xxhash64(f[j].x, f[j + 1].x, f[j + 2].x), 'h2', xxhash64(1, f[j + 2].x, f[j + 1].x, f[j].x), 'n', size(f))"
+    every = _let(f"split({text}, '\\n', -1)", "l", _let(filled, "f", f"if(size(f) >= 3, transform(sequence(0, size(f) - 3), j -> {one}), null)"))
+    # The text is hashed before the rows are exploded, else it would be once for each of them.
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.expr(text)).alias("_t"), F.expr(every).alias("w")).select("doc_id", "_t", F.explode("w").alias("w"))
+    found = staged(rows.select("doc_id", "_t", "w.*"), "lines")
+    many = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "_t", "a")).alias("first")).where("m > 1").drop("m")
+    # Written first, so that both sides of the join are plain exchanges and a hot window can be split.
+    later = found.join(staged(many, "many"), ["h1", "h2"]).where("not (named_struct('doc_id', doc_id, '_t', _t, 'a', a) <=> first)")
+    per = later.groupBy("doc_id", "_t").agg(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b", "c")))).alias("gone"), F.max("n").alias("n"))
+    return per.select("doc_id", "_t", "gone", (F.size("gone") == F.col("n")).alias("emptied"))
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that binds a value to a name once; a column would be made anew at each place of an inner function."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: str | None = None, drop_emptied: bool = False) -> DataFrame:
-    """All rows of df with repeated lines taken out of the text; other columns are untouched.
+    """All rows of df with repeated lines taken out of the text; other columns are untouched, whatever their names.
 
-    ``report`` names a struct column (n_lines, n_removed) to add; drop_emptied leaves out documents that lose
-    all their non-blank lines. Blank lines stay. A null text stays null,
-    and a text of fewer than three non-blank lines as it is. Rows that repeat id and text are one
-    document: they lose the same lines. Null ids come first in order. Columns named _ld* are reserved.
+    ``report`` names a struct column (n_lines, n_removed) to add; one of that name is replaced. drop_emptied
+    leaves out documents that lose all their non-blank lines. Blank lines stay. A null text stays null, and a
+    text of fewer than three non-blank lines as it is. Rows that repeat id and text are one document: they
+    lose the same lines. Null ids come first in order. An empty table gives no rows. Texts may have any
+    number of lines; work is linear in them.
     """
-    places = staged(repeated_lines(df, id_col, text_col).select(F.col("doc_id").alias("_ld_id"), F.col("_t").alias("_ld_t"), F.col("starts").alias("_ld_s"), F.expr(f"size({_COVERED.format('starts')}) = n").alias("_ld_e")), "places")
-    size = places.agg(F.sum(F.size("_ld_s") + 4)).first()[0] or 0
+    out = cleaned(df, id_col, text_col, drop_emptied)
+    n_lines = F.expr(f"bigint(greatest(size(split(cast(row.`{text_col}` as string), '\\n', -1)), 0))")
+    counts = [F.struct(n_lines.alias("n_lines"), F.col("removed").alias("n_removed")).alias(report)] if report else []
+    kept = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns if c != report]
+    return out.select(*kept, *counts)
+
+
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """(row, text, removed): each row of df as a struct, its new text and the number of lines removed."""
+    text = f"cast(row.`{text_col}` as string)"
+    places = staged(repeated_lines(df, id_col, text_col), "places")
+    size = places.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
     if size <= MOST_SENT:
         places = F.broadcast(places)
-    out = df.join(places, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_ld_t")), "left")
-    if drop_emptied:  # a stored column: a filter on the new text would be inlined over and over by the optimizer
-        out = out.where("not (_ld_e <=> true)")
-    # Numbers of non-blank lines run along the split lines; covered ones go.
-    marks = _COVERED.format("_ld_s")
-    out = out.withColumn("_ld_l", F.split(F.col(text_col).cast("string"), "\n", -1))
-    out = out.withColumn("_ld_f", F.expr("filter(sequence(0, size(_ld_l) - 1), i -> _ld_l[i] rlike r'[^\\x20\\x09-\\x0D]')"))
-    out = out.withColumn("_ld_m", F.expr(f"if(_ld_s is null, null, array_except(sequence(0, size(_ld_l) - 1), transform({marks}, j -> _ld_f[j])))"))
-    if report:
-        out = out.withColumn(report, F.expr("named_struct('n_lines', bigint(greatest(size(_ld_l), 0)), 'n_removed', bigint(if(_ld_s is null, 0, size(_ld_l) - size(_ld_m))))"))
-    out = out.withColumn(text_col, F.expr(f"if(_ld_s is null, `{text_col}`, array_join(transform(_ld_m, i -> _ld_l[i]), '\\n'))"))
-    return out.drop("_ld_id", "_ld_t", "_ld_s", "_ld_e", "_ld_l", "_ld_f", "_ld_m")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    out = rows.join(places, F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.expr(text)) == F.col("_t")), "left")
+    if drop_emptied:  # a stored column: a filter on the new text would be inlined by the optimizer
+        out = out.where("not (emptied <=> true)")
+    left = _let(f"split({text}, '\\n', -1)", "l", "array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\\n')")
+    return out.select("row", F.expr(f"if(gone is null, row.`{text_col}`, {left})").alias("text"), F.expr("bigint(coalesce(size(gone), 0))").alias("removed"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

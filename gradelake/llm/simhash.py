@@ -3,14 +3,16 @@
 Fingerprints within ``distance`` = 3 differing bits link, and documents in one connected component of links
 are one group. The index has two kinds of level.
 
-* Upper nodes are dealt over the cluster. The 64 bits form six blocks; two fingerprints that differ in at
-  most three bits agree on some three whole blocks, so a node for each of the 20 choices of three blocks and
-  each pattern on them meets every link. A node with more than ``NODE_ROWS`` fingerprints is factored once
-  more, on its remaining bits, into 20 smaller ones; those agree on about 48 bits, so none can hold more than
-  2^17 different fingerprints, however large a group of near copies is. Nothing is capped.
+* Upper nodes are dealt over the cluster. Four blocks of w bits are laid out over the 64; two fingerprints that
+  differ in at most three bits agree on a whole block, so the nodes (block, pattern on it) meet every link. w
+  follows from the count of fingerprints, so that a node holds about ``NODE_ROWS`` of them at any size. A node
+  with more than ``LARGE`` is factored again on its remaining bits, by the 20 choices of three of six blocks,
+  and what is still too large once more; after that 15 bits at most are left, so no node can hold more than
+  2^15 different fingerprints, however large a group of near copies is. Nothing is capped.
 * Inside a node, fingerprints are sorted by Gray rank. Each group of eight consecutive codes becomes a tree
   node holding the bits that all share, groups of groups likewise. A search adds up differences on newly
-  fixed bits from the root down and drops a whole group once they exceed three.
+  fixed bits from the root down and drops a whole group once they exceed three, and also where all of the
+  group is already known to be connected with the query. Every link is found by such a search.
 
 Each node returns only a spanning forest of its links. Components are then found by rounds of large-star and
 small-star steps on aggregates, whose tables are written to the shared folder.
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.shared import dropped, staged
 
-BITS, DISTANCE, BLOCKS = 64, 3, 6
-#: Fingerprints in an upper node before it is factored again.
-NODE_ROWS = 2_000
+BITS, DISTANCE = 64, 3
+#: Fingerprints in an upper node, about, and those beyond which it is factored again.
+NODE_ROWS, LARGE = 2_000, 30_000
 FANOUT = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -89,8 +91,21 @@ class GrayIndex:
             pattern, shared = pattern[at], up
         self.levels = levels[::-1]
 
-    def search(self, queries: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query number, place in codes) within the distance, for a few queries at a time."""
+    def ranges(self, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The least and greatest label below each node, by level from the root."""
+        low, high = label, label
+        out = [(low, high)]
+        for pattern, _ in self.levels[-2::-1]:
+            at = np.arange(0, len(low), FANOUT)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            out.append((low, high))
+        return out[::-1]
+
+    def search(self, queries: np.ndarray, distance: int = DISTANCE, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query number, place in codes) within the distance, for a few queries at a time.
+
+        known: (labels of the queries, ranges of the codes' labels); what has the label of the query is left out.
+        """
         pattern, own = self.levels[0]
         q, node = np.divmod(np.arange(len(queries) * len(pattern)), len(pattern))
         acc = np.zeros(len(q), np.uint8)
@@ -103,31 +118,32 @@ class GrayIndex:
                 q, acc, node = q[inside], acc[inside], node[inside]
             acc = acc + np.bitwise_count((queries[q] ^ pattern[node]) & own[node])
             near = acc <= distance
+            if known is not None:
+                mine, (low, high) = known[0][q], known[1][depth]
+                near &= (low[node] != mine) | (high[node] != mine)
             q, node, acc = q[near], node[near], acc[near]
         return q, node
 
 
 def forest(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) for every code that links, directly or through others here, to a smaller root."""
-    if len(codes) <= FANOUT:
-        index_codes = codes
-        a, b = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= distance)
-        label = _merged(np.arange(len(codes)), a, b)
-    else:
-        index = GrayIndex(codes)
-        index_codes, label = index.codes, np.arange(len(codes))
-        step = 64
-        for at in range(0, len(codes), step):
-            q, found = index.search(index_codes[at : at + step], distance)
-            label = _merged(label, q + at, found)
+    index = GrayIndex(codes)
+    label = np.arange(len(codes))
+    for at in range(0, len(codes), STEP):
+        q, found = index.search(index.codes[at : at + STEP], distance, (label[at : at + STEP], index.ranges(label)))
+        label = _merged(label, q + at, found)
     smallest = np.full(len(label), np.iinfo(np.int64).max)
-    signed = index_codes.view(np.int64)
+    signed = index.codes.view(np.int64)
     np.minimum.at(smallest, label, signed)
     root = smallest[label]
     own = root != signed
     return signed[own], root[own]
 
 
+#: Queries that go down the tree together.
+STEP = 64
+
+
 def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while True:
         x, y = label[a], label[b]
@@ -142,12 +158,18 @@ def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _masks(bits: list[int], blocks: int = BLOCKS, erased: int = DISTANCE) -> list[int]:
+def _masks(bits: list[int], blocks: int = 6, erased: int = DISTANCE) -> list[int]:
     """Masks that keep all blocks of the given bits but ``erased`` of them, for each such choice."""
     parts = [[int(b) for b in x] for x in np.array_split(np.array(bits), blocks)]
     return [sum(1 << b for part in keep for b in part) for keep in combinations(parts, blocks - erased)]
 
 
+def _top_masks(n: int) -> list[int]:
+    """One mask for each of four blocks of so many bits that n codes make nodes of about NODE_ROWS; one empty mask for few codes."""
+    w = min(BITS // 4, max(0, (max(1, n // NODE_ROWS) - 1).bit_length()))
+    return [((1 << w) - 1) << (BITS // 4 * k) for k in range(DISTANCE + 1)] if w else [0]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -191,46 +213,55 @@ def _searched(nodes: DataFrame) -> DataFrame:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) pairs of fingerprints whose components are those of all links among the distinct fingerprints fp."""
-    top = list(enumerate(_masks(list(range(BITS)))))
-    nodes = _nodes(distinct, top)
-    large = staged(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_ROWS).select("node"), "large")
-    if large.isEmpty():
-        return _searched(nodes)
-    out = _searched(nodes.join(large, "node", "left_anti"))
-    # The rows of a large node, and the mask that made it, give its smaller nodes.
-    parts = []
-    for k, mask in top:
-        rest = [b for b in range(BITS) if not mask >> b & 1]
-        finer = [((k + 1) * 100 + i, mask | m) for i, m in enumerate(_masks(rest))]
-        mine = distinct.select(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("node"), "fp").join(large, "node", "left_semi")
-        parts.append(_nodes(mine, finer))
-    again = parts[0]
-    for x in parts[1:]:
-        again = again.union(x)
-    return out.union(_searched(again))
-
-
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(a, b) pairs of fingerprints whose components are those of all links among the distinct fingerprints fp, read more than once."""
+    choices = list(enumerate(_top_masks(distinct.count())))
+    out, rows = None, distinct
+    while True:
+        nodes = _nodes(rows, choices)
+        last = choices[0][1].bit_count() >= BITS - 15
+        large = None if last else staged(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("node"), "large")
+        if last or large.isEmpty():
+            found = _searched(nodes)
+            return found if out is None else out.union(found)
+        found = _searched(nodes.join(F.broadcast(large) if large.count() <= MOST_SENT else large, "node", "left_anti"))
+        out = found if out is None else out.union(found)
+        # The rows of a large node, and the mask that made it, give its smaller nodes. A mask can come up twice by two ways; that costs time only.
+        parts = [rows.select(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("node"), "fp") for k, m in choices]
+        mine = parts[0]
+        for x in parts[1:]:
+            mine = mine.union(x)
+        mine = mine.join(F.broadcast(large) if large.count() <= MOST_SENT else large, "node", "left_semi")
+        used = [r.k for r in mine.select("k").distinct().collect()]  # as many as masks at most
+        finer = [(k, mask | m) for k, mask in choices if k in used for m in _masks([b for b in range(BITS) if not mask >> b & 1])]
+        choices = [(1000 + i, m) for i, m in enumerate(dict.fromkeys(m for _, m in finer))]
+        rows = staged(mine.select("fp").distinct(), "codes")
+
+
+#: Large nodes that are sent to all executors at most; beyond, nodes are shuffled to them.
+MOST_SENT = 100_000
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) that isn't the smallest of its component. Rounds end when nothing changes."""
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         sides = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima are written before they are joined, so that both sides are plain exchanges and a hot root can be split.
+        low = staged(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         # Large star: larger neighbours go to the smallest one.
-        large = sides.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = staged(sides.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: a node's smaller neighbours and itself go to the smallest one.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         new = staged(small, "edges")
         mark = tuple(new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(b as decimal(38,0)))")).first())
-        dropped(now)
+        for x in (now, low, large, least):
+            dropped(x)
         now = new
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
-    raise RuntimeError("the components did not settle")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

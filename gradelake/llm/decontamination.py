@@ -33,6 +33,11 @@ def _hash(array: str, at: str, n: int) -> str:
     return f"xxhash64({', '.join(f'{array}[{at} + {k}]' for k in range(n))})"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that binds a value to a name once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _spans(n: str, k: int) -> str:
     return f"if({n} >= {k}, sequence(0, {n} - {k}), cast(array() as array<int>))"
 
@@ -91,11 +96,12 @@ def _joined_hits(docs: DataFrame, table: DataFrame) -> DataFrame:
         theirs = one if theirs is None else theirs.union(one)
         mine.append(f"transform(if(size(_f) >= {g}, sequence(0, size(_f) div {g} - 1), cast(array() as array<bigint>)), k -> named_struct('len', {n}, 'h', {_hash('_f', f'int(k * {g})', g)}))")
     blocks = docs.select("_digest", F.explode(F.expr(f"array_distinct(flatten(array({', '.join(mine)})))")).alias("x")).select("_digest", "x.len", "x.h")
-    near = blocks.join(theirs.distinct(), ["len", "h"], "left_semi").select("_digest").distinct()
+    # Right sides are written first: then both sides of a join are plain exchanges, and a digest or block that many texts share can be split.
+    near = staged(blocks.join(staged(theirs.distinct(), "blocks"), ["len", "h"], "left_semi").select("_digest").distinct(), "near")
     left = docs.select("_digest", "_text").join(near, "_digest", "left_semi").dropDuplicates(["_digest"]).withColumn("_w", F.expr(words("_text")))
     grams = ", ".join(f"transform({_spans('size(_w)', n)}, i -> named_struct('pos', i, 'len', {n}, 'gram', array_join(slice(_w, i + 1, {n}), ' ')))" for n in lengths)
     every = left.select("_digest", F.explode(F.expr(f"flatten(array({grams}))")).alias("x")).select("_digest", "x", F.col("x.gram").alias("gram"))
-    per = every.join(table.select("gram"), "gram", "left_semi").groupBy("_digest").agg(F.collect_list("x").alias("_hits"))
+    per = staged(every.join(table.select("gram"), "gram", "left_semi").groupBy("_digest").agg(F.collect_list("x").alias("_hits")), "places")
     return docs.withColumn("_n", F.size("_f")).drop("_f").join(per, "_digest", "left").withColumn("_hits", F.coalesce("_hits", F.expr(none))).drop("_digest")
 
 
@@ -119,9 +125,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = rows.where("digest is not null")
     places = hit.select("digest", "_hits").dropDuplicates(["digest"]).select("digest", F.explode("_hits").alias("x")).select("digest", "x.pos", "x.len", "x.gram")
     real = places.join(F.broadcast(table.drop("len")) if small else table.drop("len"), "gram")
-    merged = "aggregate(_s, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).e >= x.s, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))), concat(a, array(x))))"
-    per = real.groupBy("digest").agg(F.sort_array(F.collect_set(F.expr("named_struct('s', pos, 'e', pos + len)"))).alias("_s"), F.expr("array_sort(array_distinct(flatten(collect_set(items))))").alias("items"))
-    per = per.select("digest", "items", F.expr(merged).alias("spans")).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.e - x.s))"))
+    # Hit words in order; a span starts at one whose predecessor isn't hit, and ends before one that isn't.
+    ends = "transform(filter(sequence(0, size(w) - 1), i -> i = {}), i -> w[i]{})"
+    starts, stops = ends.format("0 or w[i - 1] <> w[i] - 1", ""), ends.format("size(w) - 1 or w[i + 1] <> w[i] + 1", " + 1")
+    zipped = "zip_with({}, {}, (s, e) -> named_struct('s', s, 'e', e))"
+    covered = "array_sort(array_distinct(flatten(transform(_s, x -> sequence(x.s, x.s + x.n - 1)))))"
+    per = real.groupBy("digest").agg(F.collect_set(F.expr("named_struct('s', pos, 'n', len)")).alias("_s"), F.expr("array_sort(array_distinct(flatten(collect_set(items))))").alias("items"))
+    per = per.select("digest", "items", F.expr(_let(covered, "w", f"named_struct('n', bigint(size(w)), 'spans', {zipped.format(starts, stops)})")).alias("_c")).select("digest", "items", F.col("_c.spans").alias("spans"), F.col("_c.n").alias("n_hit"))
+    per = staged(per, "per")
     found = hit.drop("_hits").join(per, "digest", "left")
     clean = rows.where("digest is null").select("doc_id", "n_words", F.lit(None).cast("string").alias("digest"))
     out = found.unionByName(clean, allowMissingColumns=True)
@@ -139,25 +150,41 @@ MOST_SENT = 200_000
 
 
 def _by_digest(found: DataFrame, *columns: str) -> DataFrame:
-    table = staged(found.select(F.col("digest").alias("_digest"), *columns).dropDuplicates(["_digest"]), "digests")
+    table = staged(found.select("digest", *columns).dropDuplicates(["digest"]), "digests")
     return F.broadcast(table) if table.count() <= MOST_SENT else table
 
 
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """Each row as a struct beside its text and the digest of that, so that no column can meet one of these."""
+    text = F.col(f"row.`{text_col}`").cast("string")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", text.alias("text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("mine"))
+
+
 def without_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    found = contamination(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
-    bad = _by_digest(found.where("contaminated"))
-    return docs.join(bad, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256) == bad["_digest"], "left_anti")
+    """The rows of docs that aren't contaminated, with all their columns, whatever their names.
+
+    Null and empty texts have no words and stay; rows of equal texts stay or go together; empty tables give
+    no rows, or leave all.
+    """
+    rows = _rows(docs, text_col)
+    bad = _by_digest(contamination(rows.select(F.lit(0).alias("doc_id"), "text"), benchmark, **options).where("contaminated"))
+    return rows.join(bad, F.col("mine") == F.col("digest"), "left_anti").select("row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """All rows of docs; in contaminated texts, hit words go, each with the separators after it."""
-    found = contamination(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
-    bad = _by_digest(found.where("contaminated"), F.col("spans").alias("_spans"))
-    out = docs.join(bad, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256) == bad["_digest"], "left")
+    """All rows of docs; in contaminated texts, hit words go, each with the separators after it. Work is linear in words and spans.
+
+    Null and empty texts stay as they are; rows of equal texts are cut alike; other columns are untouched,
+    whatever their names; empty tables give no rows, or leave all.
+    """
+    rows = _rows(docs, text_col)
+    bad = _by_digest(contamination(rows.select(F.lit(0).alias("doc_id"), "text"), benchmark, **options).where("contaminated"), "spans")
+    out = rows.join(bad, F.col("mine") == F.col("digest"), "left")
     sep, word = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-    cut = f"concat(regexp_extract(`{text_col}`, '^{sep}*', 0), array_join(filter(regexp_extract_all(`{text_col}`, '{word}+{sep}*', 0), (p, i) -> not exists(_spans, m -> i >= m.s and i < m.e)), ''))"
-    return out.withColumn(text_col, F.expr(f"if(_digest is null, `{text_col}`, {cut})")).select(*docs.columns)
+    hit = "flatten(transform(spans, m -> sequence(m.s, m.e - 1)))"
+    left = _let(f"regexp_extract_all(text, '{word}+{sep}*', 0)", "p", f"array_join(transform(array_except(sequence(0, size(p) - 1), {hit}), i -> p[i]), '')")
+    cut = F.expr(f"if(spans is null, row.`{text_col}`, concat(regexp_extract(text, '^{sep}*', 0), {left}))")
+    return out.select(*(cut.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

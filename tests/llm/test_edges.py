@@ -129,11 +129,13 @@ def test_release(spark):
     assert table.count() == 3 and release(spark) == 1 and release(spark) == 0
 
 
-def test_written_shards(spark, tmp_path):
+@pytest.mark.parametrize("more", [["lang"], ["bytes", "depth", "row", "fine", "a.b"], ["shard", "Shard_1", "doc_id"]])
+def test_written_shards(spark, tmp_path, more):
     from gradelake.llm.sharding import write_shards
 
-    df = spark.createDataFrame(ROWS, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
-    write_shards(df, str(tmp_path / "s"), limit=1000)
+    df = spark.createDataFrame(ROWS, "key bigint, text string").select("*", *(F.lit(c + "!").alias(c) for c in more))
+    name = write_shards(df, str(tmp_path / "s"), "key", limit=1000)
     back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "s"))
     assert back.columns == df.columns and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
-    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "s").glob("shard=*"))
+    assert name == ("shard_2" if "shard" in more else "shard")
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "s").glob(f"{name}=*"))

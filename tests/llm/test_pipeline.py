@@ -6,10 +6,13 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gradelake.llm.packing import encoder, public_vocabulary
 from gradelake.llm.quality_rules import STOP_WORDS
-from test_operators import plain_contamination, plain_fingerprint, united
+from test_jaccard import plain as five_word_groups
+from test_operators import plain_contamination
 
 SF = "/root/testdata/sf0.001"
 WORD = "[^\x20\x09-\x0d]"
@@ -48,12 +51,7 @@ def test_pipeline(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     quality = {k: x for k, x in texts.items() if kept_by_quality(x)}
     lines = lines_deduped(quality)
-    fps = {k: plain_fingerprint(x) for k, x in lines.items()}
-    root = united(set(fps.values()))
-    first = {}
-    for k in sorted(fps):
-        first.setdefault(root[fps[k]], k)
-    unique = {k: lines[k] for k in first.values()}
+    unique = {k: lines[k] for k in set(five_word_groups(lines).values())}
     judged = plain_contamination(unique, items)
     clean = {k: x for k, x in unique.items() if not judged[k][3]}
 
@@ -85,3 +83,25 @@ def test_repeated_rows_leave_one(spark):
     twice = docs.unionByName(docs)
     out = corpus_pipeline.one_of_each(spark, twice, SF)
     assert out.count() == corpus_pipeline.one_of_each(spark, docs, SF).count()
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    clashing = ["quality", "_quality", "row", "t", "a.b", "gone", "removed", "_t", "digest", "_digest", "_lines", "id", "h", "emptied"]
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(clashing)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = stage(spark, docs, SF), stage(spark, wide, SF)
+        assert more.columns == wide.columns
+        rows = more.collect()
+        assert {r.doc_id: r.text for r in rows} == {r.doc_id: r.text for r in plain.collect()}
+        assert {tuple(r)[-len(clashing) :] for r in rows} == {tuple(range(len(clashing)))}
+
+
+def test_nulls_and_no_rows(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, None, None, None, None), (None, "", None, None, 0), (2, None, "en", None, None), (2, None, "en", None, None)]
+    for given in (rows, []):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, spark.createDataFrame(given, schema), SF).collect()
+            want = {"quality rules": 0, "line dedup": 4, "SimHash near-dedup": 1, "benchmark decontamination": 4, "best-fit packing": 4}[name]
+            assert len(out) == (want if given else 0), name

@@ -1,14 +1,18 @@
 """License scan with a positional index of rare words.
 
-Templates are short notices; the index maps each template's rarest words, by their inverse document
-frequency over all templates, to (template, place). A text's words that are in the index are looked up; each
-posting proposes the template at one place of the text (text place less template place). There the template's
-other words are compared at their relative positions, and its mandatory phrase must stand word for word.
-All places are looked up, in whole texts.
+Templates are names of licenses, short notices and whole texts. The rarest words of each, by inverse document
+frequency over the scanned files, are indexed as word -> (template, place). A file's words are looked up from the
+rarest on; their postings are intersected by relative position, text place less template place, within the slack
+that a template allows. Where they meet, the template's mandatory phrases must stand word for word, and the
+weight of its rare words found near their places decides. All places are looked up, in whole texts.
+
+Only words without which a template can't reach its weight propose places, so nothing is lost; the frequencies
+are counted in a pass of their own, over words of templates only, so they are few however many files there are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -25,77 +29,173 @@ _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 class Template:
     label: str
     text: str
-    #: Words of the text that must all be found as they stand.
-    phrase: str
-    #: Part of the weight of all words that must be found.
-    least: float = 0.6
+    #: Phrases of the text that must be found as they stand, one or two; none stands for the whole text.
+    phrases: tuple[str, ...] = ()
+    #: Part of the weight of the rare words that must be found near their places.
+    least: float = 1.0
+    #: Words by which these places, and that of the second phrase, may be off.
+    slack: int = 0
+
+
+def split_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 #: Phrases that a base label stands for.
-BASE = (
-    Template("cc-by", "cc by", "cc by", 1.0),
-    Template("gpl", "general public license", "general public license", 1.0),
-    Template("reserved", "all rights reserved", "all rights reserved", 1.0),
-)
-#: Usual short notices.
-NOTICES = (
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("bsd", "released under the bsd license", "bsd license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    Template("cc0", "licensed under cc0 1 0 universal", "cc0 1 0"),
-    Template("public-domain", "released into the public domain", "into the public domain"),
+BASE = (Template("cc-by", "cc by"), Template("gpl", "general public license"), Template("reserved", "all rights reserved"))
+#: Names that licenses go by.
+NAMES = (
+    Template("mit", "mit license"),
+    Template("apache-2.0", "apache license version 2 0"),
+    Template("apache-2.0", "apache license 2 0"),
+    Template("gpl-3.0", "gnu general public license version 3"),
+    Template("gpl-2.0", "gnu general public license version 2"),
+    Template("lgpl", "lesser general public license"),
+    Template("agpl", "affero general public license"),
+    Template("mpl-2.0", "mozilla public license"),
+    Template("bsd", "bsd license"),
+    Template("isc", "isc license"),
+    Template("bsl-1.0", "boost software license"),
+    Template("epl", "eclipse public license"),
+    Template("cc-by-nc", "cc by nc"),
+    Template("cc-by-sa", "cc by sa"),
+    Template("cc-by-nd", "cc by nd"),
+    Template("cc0", "cc0 1 0"),
+    Template("public-domain", "into the public domain"),
 )
-#: Index words of each template.
-ANCHORS = 1
+#: Texts of licenses and the notices that go into files.
+TEXTS = (
+    Template(
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+        ("permission is hereby granted free of charge", "without restriction"), 0.5, 8,
+    ),
+    Template(
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        ("redistribution and use in source and binary forms",), 0.5, 8,
+    ),
+    Template(
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        ("with or without fee is hereby granted",), 0.5, 8,
+    ),
+    Template(
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        ("you may not use this file except in compliance with the license",), 0.5, 8,
+    ),
+    Template(
+        "gpl-notice",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+        ("as published by the free software foundation", "any later version"), 0.5, 8,
+    ),
+    Template(
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        ("this source code form is subject to the terms",), 0.5, 8,
+    ),
+    Template(
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
+        ("permission is granted to anyone to use this software for any purpose",), 0.5, 8,
+    ),
+    Template(
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ("free and unencumbered software released into the public domain",), 0.5, 8,
+    ),
+    Template(
+        "bsl-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.""",
+        ("permission is hereby granted free of charge", "use reproduce display distribute execute and transmit"), 0.5, 8,
+    ),
+    Template(
+        "cc-by",
+        """This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons.""",
+        ("creative commons attribution 4 0 international",), 0.4, 8,
+    ),
+)
+NOTICES = (*NAMES, *TEXTS)
+#: Rare words of a template that are indexed; names have fewer.
+RARE = 12
+
+
+def _find(words: list, phrase: list) -> int:
+    return next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
 
 
 class Index:
-    def __init__(self, base=BASE, notices=NOTICES, anchors: int = ANCHORS):
-        self.n_base = len(base)
-        self.templates = [(t.label, t.text.encode().split(), t.phrase.encode().split(), t.least) for t in (*base, *notices)]
-        n = len(self.templates)
-        df = Counter(w for _, words, _, _ in self.templates for w in set(words))
-        self.idf = {w: math.log(1 + n / k) for w, k in df.items()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.phrase_at, self.weight = [], []
-        for i, (_, words, phrase, _) in enumerate(self.templates):
-            at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
-            self.phrase_at.append(at)
-            self.weight.append(sum(self.idf[w] for w in words))
-            # Words of the mandatory phrase, so that no match can lack them.
-            rare = sorted(range(at, at + len(phrase)), key=lambda k: (-self.idf[words[k]], k))[:anchors]
-            for k in rare:
-                self.postings.setdefault(words[k], []).append((i, k))
+    """Templates with places of their phrases, and postings of their rare words under given document frequencies."""
+
+    def __init__(self, base=BASE, notices=NOTICES, frequency: dict[bytes, int] | None = None, n_files: int = 0):
+        self.n_base, df = len(base), frequency or {}
+        self.templates = []
+        #: word -> (template, rare word, place in the template, whether it proposes places)
+        self.postings: dict[bytes, list[tuple[int, int, int, bool]]] = {}
+        for i, t in enumerate((*base, *notices)):
+            words = split_words(t.text)
+            phrases = [split_words(x) for x in t.phrases or (t.text,)]
+            order = sorted(range(len(words)), key=lambda k: (df.get(words[k], 0), hashlib.md5(words[k] + b" %d" % k).hexdigest()))[:RARE]  # noqa: B023
+            weight = [1 + math.log((n_files + 1) / (df.get(words[k], 0) + 1)) for k in order]
+            total, over = sum(weight), 0.0
+            for r, (k, w) in enumerate(zip(order, weight)):
+                # Without any of the rarest words, the weight of the rest falls short.
+                self.postings.setdefault(words[k], []).append((i, r, k, over <= (1 - t.least) * total + 1e-9))
+                over += w
+            self.templates.append((t.label, phrases, [_find(words, p) for p in phrases], order, weight, total, t.least, t.slack))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[str, float]]:
         """Base places (start, template) and the best score of each label found."""
-        places, scores = set(), {}
-        if self.postings.keys().isdisjoint(words):
-            return [], scores
+        found, scores = [], {}
+        postings = self.postings
+        if postings.keys().isdisjoint(words):
+            return found, scores
+        # Postings by template: places of each rare word, and the relative positions that the rarest propose.
+        near: dict[int, dict[int, set[int]]] = {}
+        proposed: dict[int, set[int]] = {}
         for p, w in enumerate(words):
-            for i, k in self.postings.get(w, ()):
-                label, mine, phrase, least = self.templates[i]
-                at = p - k
-                first = at + self.phrase_at[i]
-                if first < 0 or words[first : first + len(phrase)] != phrase:
+            for i, r, k, proposes in postings.get(w, ()):
+                near.setdefault(i, {}).setdefault(r, set()).add(p - k)
+                if proposes:
+                    proposed.setdefault(i, set()).add(p - k)
+        for i, starts in proposed.items():
+            label, phrases, at, _, weight, total, least, slack = self.templates[i]
+            mine = near[i]
+            if sum(weight[r] for r in mine) < least * total - 1e-9:
+                continue
+            # The first phrase fixes the place; relative positions of rare words lie around it.
+            for start in {s + d for s in starts for d in range(-slack, slack + 1)} if slack else starts:
+                if not self._stands(words, start + at[0], phrases[0]):
                     continue
-                found = sum(self.idf[x] for j, x in enumerate(mine) if 0 <= at + j < len(words) and words[at + j] == x) / self.weight[i]
-                if found < least - 1e-9:
+                if len(phrases) > 1 and not any(self._stands(words, start + at[1] + d, phrases[1]) for d in range(-slack, slack + 1)):
                     continue
-                scores[label] = max(scores.get(label, 0.0), min(1.0, found))
-                if i < self.n_base:
-                    places.add((at, i))
-        return sorted(places), scores
+                part = sum(weight[r] for r, where in mine.items() if any(start + d in where for d in range(-slack, slack + 1))) / total
+                if part >= least - 1e-9:
+                    scores[label] = max(scores.get(label, 0.0), min(1.0, part))
+                    if i < self.n_base:
+                        found.append((start, i))
+        return sorted(found), scores
+
+    @staticmethod
+    def _stands(words: list[bytes], at: int, phrase: list[bytes]) -> bool:
+        return at >= 0 and words[at : at + len(phrase)] == phrase
+
+
+def frequencies(texts: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
+    """In how many rows of (text) each word of the vocabulary stands, and the number of rows. Counts are summed in each task first; one row for each word is collected."""
+
+    def each(batches):
+        counts, n = Counter(), 0
+        for batch in batches:
+            n += batch.num_rows
+            for x in batch.column("text"):
+                counts.update(vocabulary.intersection(split_words(x.as_py() or "")))
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts] + [""], pa.string()), pa.array([*counts.values(), n], pa.int64())], names=["word", "n"])
+
+    found = {r["word"]: r["n"] for r in texts.mapInArrow(each, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    n = found.pop("", 0)
+    return {w.encode(): k for w, k in found.items()}, n
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, notices=NOTICES) -> DataFrame:
@@ -103,16 +203,17 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n_base counts all places of base phrases, first_word and last_word are the smallest and largest of their
     starts (null if none), labels are distinct, sorted and comma-joined, score is the best match from 0 to 1.
-    Null and empty texts have no words and no labels. Repeated rows and null ids are kept; other columns are
-    ignored.
+    Null and empty texts have no words and no labels. Repeated rows and null ids are kept, and each row counts
+    in the frequencies; words of equal frequency are ordered by a digest. Other columns are ignored; an empty
+    table gives no rows. A text may be of any length: work is linear in its words and the places proposed.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    index = Index(base, notices)
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    index = Index(base, notices, *frequencies(rows.select("text"), {w for t in (*base, *notices) for w in split_words(t.text)}))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def one(text: str) -> tuple:
-        words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+        words = split_words(text)
         places, scores = index.scan(words)
         starts = [p for p, _ in places]
         base_labels = ",".join(sorted({index.templates[i][0] for _, i in places}))
@@ -133,30 +234,38 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _template_rows() -> str:
-    index, rows = Index(), []
-    for i, (label, words, phrase, least) in enumerate(index.templates):
-        listed = lambda xs: "[" + ", ".join(f"'{x.decode()}'" for x in xs) + "]"
-        idf = ", ".join(f"{index.idf[w]!r}::DOUBLE" for w in words)
-        rows.append(f"('{label}', {listed(words)}, {listed(phrase)}, {index.phrase_at[i]}, {least}::DOUBLE, [{idf}], {index.weight[i]!r}::DOUBLE, {str(i < index.n_base).lower()})")
+    listed = lambda xs: "[" + ", ".join(f"'{x.decode()}'" for x in xs) + "]"
+    rows = []
+    for i, t in enumerate((*BASE, *NOTICES)):
+        words, phrases = split_words(t.text), [split_words(x) for x in t.phrases or (t.text,)]
+        off = [_find(words, p) for p in phrases] + [0]
+        more = listed(phrases[1]) if len(phrases) > 1 else "CAST([] AS VARCHAR[])"
+        rows.append(f"({i}, '{t.label}', {listed(words)}, {listed(phrases[0])}, {off[0]}, {more}, {off[1]}, {t.least}::DOUBLE, {t.slack}, {str(i < len(BASE)).lower()})")
     return ", ".join(rows)
 
 
-#: The templates as rows; a phrase is looked for at every word, without the index.
+#: The templates as rows; the first phrase is looked for at every word, without the index.
 OP5_SQL = rf"""
-WITH t(label, words, phrase, off, need, idf, weight, base) AS (VALUES {_template_rows()}),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
-m AS (
-    SELECT doc_id, label, base, need, p - 1 - off AS start,
-        list_sum(list_transform(range(1, len(words) + 1), lambda j: CASE WHEN p - off + j - 1 >= 1 AND w[p - off + j - 1] = words[j] THEN idf[j] ELSE 0 END)) / weight AS found
-    FROM p JOIN t ON w[p] = phrase[1] AND list_slice(w, p, p + len(phrase) - 1) = phrase
+WITH t(id, label, words, phrase, off, more, off2, need, slack, base) AS (VALUES {_template_rows()}),
+d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+v AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM t),
+f AS (SELECT word, count(*) AS df FROM (SELECT k, unnest(list_distinct(w)) AS word FROM d) SEMI JOIN v USING (word) GROUP BY word),
+r AS (SELECT id, word, pos, 1 + ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1)) AS idf FROM v LEFT JOIN f USING (word)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(df, 0), md5(word || ' ' || pos)) <= {RARE}),
+rare AS (SELECT id, list(word ORDER BY pos) AS rw, list(pos ORDER BY pos) AS rp, list(idf ORDER BY pos) AS ri, sum(idf) AS total FROM r GROUP BY id),
+p AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+m AS (SELECT t.*, rw, rp, ri, total, k, w, p - off AS s FROM p JOIN t ON w[p] = phrase[1] AND list_slice(w, p, p + len(phrase) - 1) = phrase JOIN rare USING (id)),
+found AS (
+    SELECT k, label, base, need, s - 1 AS start,
+        list_sum(list_transform(range(1, len(rw) + 1), lambda j: CASE WHEN s + rp[j] + slack >= 1 AND list_contains(list_slice(w, greatest(s + rp[j] - slack, 1), s + rp[j] + slack), rw[j]) THEN ri[j] ELSE 0 END)) / total AS part
+    FROM m WHERE len(more) = 0 OR len(list_filter(range(-slack, slack + 1), lambda x: s + off2 + x >= 1 AND list_slice(w, s + off2 + x, s + off2 + x + len(more) - 1) = more)) > 0
 ),
-ok AS (SELECT * FROM m WHERE found >= need - 1e-9),
+ok AS (SELECT * FROM found WHERE part >= need - 1e-9),
 g AS (
-    SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
-        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(least(found, 1)) AS score
-    FROM ok GROUP BY doc_id
+    SELECT k, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(least(part, 1)) AS score
+    FROM ok GROUP BY k
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score
-FROM d LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (k)
 """

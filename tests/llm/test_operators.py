@@ -196,10 +196,43 @@ def test_license(spark, texts):
 
 
 def test_license_method_labels(spark):
+    from gradelake.llm.license_scan import TEXTS, license_scan
+
+    mit, bsd = (next(t.text for t in TEXTS if t.label == k) for k in ("mit", "bsd"))
+    given = {
+        "Released under the MIT License.": "mit", "the word mit alone": "", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "CC BY-NC 4.0, cc by": "cc-by,cc-by-nc", "subject to the Mozilla Public License": "mpl-2.0", "# MIT License": "mit",
+        "x " * 70 + mit.replace("publish", "publicise").replace("THE SOFTWARE IS", "Copyright 2020 by me. The software is"): "mit",
+        bsd.replace("1.", "*").replace("2.", "*").replace("this list of", "the list of"): "bsd", "Permission is hereby granted, free of charge, to sit here": "", mit[:200]: "",
+    }
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id bigint, text string")
+    assert [r["labels"] for r in license_scan(df).orderBy("doc_id").collect()] == list(given.values())
+
+
+def test_license_against_sql_on_notices(spark):
+    """The index and the SQL, which knows none, on cut, changed and mixed texts."""
+    from gradelake.llm.license_scan import NOTICES, OP5_SQL
+
+    rng, rows = random.Random(9), []
+    for k in range(200):
+        w = []
+        for t in rng.sample(NOTICES, rng.randint(1, 3)):
+            x = t.text.split()
+            for _ in range(rng.randint(0, 12)):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice([[], ["other"], ["the", "license"], [x[at], x[at]]])
+                x = x or ["none"]
+            w += ["the"] * rng.randint(0, 9) + x[rng.choice([0, 0, 3]) :]
+        rows.append((k % 190, " ".join(w)))
+    rows += [(500, None), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
     from gradelake.llm.license_scan import license_scan
 
-    df = spark.createDataFrame([(1, "Released under the MIT License."), (2, "the word mit alone"), (3, "Licensed under the Apache License, Version 2.0."), (4, "CC BY-NC 4.0, cc by")], "doc_id bigint, text string")
-    assert [r["labels"] for r in license_scan(df).orderBy("doc_id").collect()] == ["mit", "", "apache-2.0", "cc-by,cc-by-nc"]
+    want = con.execute(OP5_SQL).fetchall()
+    got = [tuple(r) for r in license_scan(df).withColumn("score", F.round("score", 6)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[6] for r in got}) > 20
 
 
 def test_pages(spark):

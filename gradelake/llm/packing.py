@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.shared import staged
 
-#: Pieces of one length per chunk that ranks are counted in, about.
-CHUNK_ROWS = 500
+#: Pieces of one length per chunk that ranks are counted in, about, and chunks of one length at most: their counts are summed up in one task.
+CHUNK_ROWS, MOST_CHUNKS = 500, 4096
 _PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 _encoders: dict[tuple[int, bool], object] = {}
 
@@ -176,7 +176,7 @@ def packed(pieces: DataFrame, size: int) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in slots(plan(counts, size)).items()})
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    chunks = ", ".join(f"{max(1, -(-counts.get(k, 0) // CHUNK_ROWS))}L" for k in range(1, size + 1))
+    chunks = ", ".join(f"{min(MOST_CHUNKS, max(1, -(-counts.get(k, 0) // CHUNK_ROWS)))}L" for k in range(1, size + 1))
     dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.expr(f"element_at(array({chunks}), int(length))")))
     per = dealt.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -1,13 +1,15 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is read once into blocks: the text between block-level tags, with its open containers. A linear
-classifier scores each block; a positive score is its capacity from the content terminal, a negative one its
-capacity to the boilerplate terminal. Neighbours in page order, and neighbours among the blocks of one
-container, are joined by smoothness edges that weaken with their distance in the tree. The minimum cut parts
-content from boilerplate.
+A page is read once into blocks: the text between block-level tags, with its open containers. A logistic
+classifier scores each block by its words, links, tags and class names; a positive score is its capacity from
+the content terminal, a negative one its capacity to the boilerplate terminal. Neighbours in page order, and
+neighbours among the blocks of one container, are joined by smoothness edges that weaken with their distance in
+the tree, also across the rims of articles and of parts marked as around them. The minimum cut parts content from
+boilerplate. Only what is certainly no text of the article (hidden parts, menus, forms) has a fixed score.
 
 Blocks whose own capacity outweighs all their edges keep their side in some minimum cut; they are settled
-first, over and over, and only what stays open goes to max-flow.
+first, over and over, and only what stays open goes to max-flow. The classifier is trained on pages that
+``page_layouts`` makes by rule.
 """
 
 from __future__ import annotations
@@ -15,66 +17,93 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import deque
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names of HTML by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption legend search".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select math canvas audio video head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select canvas audio video annotation annotation-xml".split())
+#: Of these, those that nothing but their own end tag ends.
+OPEN_ENDED = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-ASIDE = frozenset("nav aside footer form menu dialog button fieldset search".split())
+CERTAIN = frozenset("nav form menu dialog button fieldset search".split())
+ASIDE = frozenset("aside footer".split())
 #: Elements that a new one of the same group closes.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 #: Words in a class, id or role that mark parts around the article.
 AROUND = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored promo promotion promoted banner banners "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar topnav mainnav subnav sidenav colophon copyright legal "
-    "comment comments commentlist disqus respond reply replies discussion ugc "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay disclaimer "
-    "share sharing social follow subscribe subscription newsletter signup login signin register form search "
-    "related recommended recommendations popular trending widget widgets pagination pager skip complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored promo banner banners "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar toolbar topnav mainnav subnav sidenav colophon "
+    "comment comments commentlist disqus cookie cookies consent gdpr popup modal newsletter subscribe subscription "
+    "share sharing social signup login signin related recommended recommendations widget widgets pagination pager skip complementary contentinfo".split()
 )
+#: Words that often do, and as often stand in the article's own class names.
+PERHAPS = frozenset("aside promotion promoted copyright legal discussion respond reply replies ugc notice notices notification alert overlay disclaimer follow register form search popular trending teaser meta toc".split())
 #: Words in a class or id that mark the article.
 WITHIN = frozenset("article content post story entry main body text".split())
-WEIGHTS = {"article": 6.0, "outside": -4.0, "around": -16.0, "within": 2.0, "word": 0.1, "most_words": 40, "links": -4.0, "heading": 0.5, "short": -1.5, "bias": -0.5}
-SMOOTH = 1.5
+FEATURES = ("bias", "article", "outside", "around", "perhaps", "within", "words", "links", "heading", "short")
+#: Score of what is certainly no text of the article.
+NEVER = -50.0
+SMOOTH = 2.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)/?>|</?[a-zA-Z][^<>]*>?|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|</?[a-zA-Z][^<>]*>?|[^<]+|<", re.S)
 _MARK = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Node:
-    __slots__ = ("name", "around", "within", "parent", "depth", "article")
+    """An open container: what it says of itself, and of all that is in it (marks add up from the root)."""
 
-    def __init__(self, name, parent, around=False, within=False):
-        self.name, self.parent, self.around, self.within = name, parent, around, within
+    __slots__ = ("name", "parent", "depth", "own", "marks", "article", "words")
+
+    def __init__(self, name, parent, own=frozenset()):
+        self.name, self.parent, self.own = name, parent, own
         self.depth = parent.depth + 1 if parent else 0
-        self.article = name in ("article", "main") or bool(parent and parent.article)
+        self.marks, self.article, self.words = own, False, 0
 
 
-def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    around = name in ASIDE or name == "header" and not in_article
-    within = False
+def _marks(name: str, attributes: str, in_article: bool) -> frozenset:
+    out = {"never"} if name in CERTAIN else {"around"} if name in ASIDE else set()
+    words: set[str] = set()
     if attributes and name not in ("html", "body", "main"):
         for key, value in _MARK.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                around = True
+                out.add("never")
             elif key in ("class", "id", "role"):
-                words = {x.lower() for x in _PART.findall(value)}
-                around = around or not words.isdisjoint(AROUND)
-                within = within or not words.isdisjoint(WITHIN)
-    return around, within
+                words |= {x.lower() for x in _PART.findall(value)}
+        for mark, of in (("around", AROUND), ("perhaps", PERHAPS), ("within", WITHIN)):
+            if not words.isdisjoint(of):
+                out.add(mark)
+    # The header of a page goes, that of an entry stays.
+    if name == "header" and not in_article and "within" not in out:
+        out.add("around")
+    return frozenset(out)
 
 
 def blocks(page: str) -> list[tuple[str, _Node, int, bool]]:
-    """(text, container, characters inside links, heading) in page order, without empty ones."""
+    """(text, container, characters inside links, heading) in page order, without empty ones. Work is linear in the page."""
     out, text, linked = [], [], 0
     node, in_link = _Node("", None), False
+    nodes, opened, unclosed = [node], {}, set()
+    articles = 0  # how many are open
     at, end = 0, len(page)
+
+    def flush(heading: bool) -> None:
+        joined = " ".join(_html.unescape("".join(text)).split())
+        if joined:
+            out.append((joined, node, min(linked, len(joined)), heading))
+
+    def up(n):
+        nonlocal articles
+        opened[n.name] -= 1
+        articles -= n.name in ("article", "main")
+        return n.parent
+
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -87,15 +116,22 @@ def blocks(page: str) -> list[tuple[str, _Node, int, bool]]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        block = name in BLOCKS or name in CERTAIN
         if m[1]:
             if name == "a":
                 in_link = False
-            if name not in BLOCKS and name not in ASIDE:
+            if not block:
+                continue
+        elif name in RAW:
+            # Raw content ends at its own end tag, or with the page; one without content has none.
+            if m[3].endswith("/") and name not in OPEN_ENDED:
                 continue
-        elif name in RAW and name != "head":
-            # Raw content ends at its own end tag, or with the page.
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if name in ("script", "style", "textarea", "title") else at)
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(name)
+                at = end if name in OPEN_ENDED else at
             continue
         elif name == "a":
             in_link = True
@@ -104,115 +140,124 @@ def blocks(page: str) -> list[tuple[str, _Node, int, bool]]:
             if name == "br":
                 text.append(" ")
             continue
-        elif name not in BLOCKS and name not in ASIDE:
+        elif not block:
             continue
-        joined = " ".join(_html.unescape("".join(text)).split())
-        if joined:
-            out.append((joined, node, min(linked, len(joined)), node.name[:1] == "h" and node.name[1:].isdigit()))
+        flush(node.name[:1] == "h" and node.name[1:].isdigit())
         text, linked = [], 0
         if m[1]:
-            up = node
-            while up.parent and up.name != name:
-                up = up.parent
-            if up.parent:
-                node, in_link = up.parent, False
+            if opened.get(name):  # each container is closed once
+                while node.name != name:
+                    node = up(node)
+                node, in_link = up(node), False
         elif name != "hr":
             in_link = False
             if node.name == "p":  # a block ends an open paragraph
-                node = node.parent
+                node = up(node)
             for _ in range(3):
                 if node.name in CLOSES.get(name, ()):
-                    node = node.parent
-            around, within = _marks(name, m[3], node.article)
-            node = _Node(name, node, around, within)
-    joined = " ".join(_html.unescape("".join(text)).split())
-    if joined:
-        out.append((joined, node, min(linked, len(joined)), False))
-    _clear(out)
+                    node = up(node)
+            node = _Node(name, node, _marks(name, m[3], articles > 0))
+            nodes.append(node)
+            opened[name] = opened.get(name, 0) + 1
+            articles += name in ("article", "main")
+    flush(False)
+    _settle_marks(nodes, out)
     return out
 
 
-def _clear(found: list) -> None:
-    """What holds the page's main article isn't around it: an article or main with at least half of the words that no part inside it marks as around."""
-    for own in (True, False):  # an article's own marks are ignored only where no article is without
-        total, inside = 0, {}
-        for text, node, _, _ in found:
-            n, free = text.count(" ") + 1, True
-            up = node
-            while up and free and up.name not in ("article", "main"):
-                free, up = not up.around, up.parent
-            if not free:
-                continue
-            total += n
-            while up and not (up.name in ("article", "main") and own and up.around):
-                if up.name in ("article", "main"):
-                    inside[id(up)] = (inside.get(id(up), (0, up))[0] + n, up)
-                up = up.parent
-        if inside:
-            break
-    for n, node in inside.values():
-        while node and 2 * n >= total:
-            node.around = False
-            node = node.parent
-
-
-def _state(node: _Node, seen: dict) -> tuple[bool, bool]:
-    """Whether the container is around the article, and whether marked as within it."""
-    if node is None:
-        return False, False
-    key = id(node)
-    if key not in seen:
-        chain = []
-        while node is not None and id(node) not in seen:
-            chain.append(node)
+def _settle_marks(nodes: list[_Node], found: list) -> None:
+    """Hand marks down the tree. What holds the page's main article isn't around it: an article or main with at least half of the words that stand in no marked part inside it."""
+    for n in nodes:
+        n.words = 0
+    total = 0
+    for text, node, _, _ in found:
+        node.words += text.count(" ") + 1
+    # Words of a container that no part inside it marks as around, from the leaves up; articles gather them past their own marks.
+    bad = frozenset(("around", "never"))
+    inside = {}
+    for n in reversed(nodes):
+        total_here = n.words
+        if n.name in ("article", "main"):
+            inside[id(n)] = (total_here, n)
+        if n.parent is not None and (n.own.isdisjoint(bad) or n.name in ("article", "main")):
+            n.parent.words += total_here
+    total = nodes[0].words
+    # An article's own marks are ignored only where no article is without.
+    plain = [x for x in inside.values() if x[1].own.isdisjoint(bad)]
+    clear = set()
+    for n, node in plain or inside.values():
+        whole = max(total, n)
+        while node is not None and 2 * n >= whole and id(node) not in clear:
+            clear.add(id(node))
             node = node.parent
-        around, within = seen[id(node)] if node is not None else (False, False)
-        for x in reversed(chain):
-            around, within = around or x.around, within or x.within
-            seen[id(x)] = around, within
-    return seen[key]
+    for n in nodes:
+        own = n.own - bad if id(n) in clear else n.own
+        n.marks = own if n.parent is None else own | n.parent.marks
+        n.article = n.name in ("article", "main") or bool(n.parent and n.parent.article)
 
 
-def scores(found: list, weights: dict = WEIGHTS) -> list[float]:
-    """The classifier's score of each block: above 0 for content."""
-    seen: dict = {}
+def features(found: list) -> np.ndarray:
+    """A row for each block, by FEATURES."""
     # The part of the words that stand in an article or main bounds what that counts: all from one half on.
     mass = [0, 0]
     for text, node, _, _ in found:
-        if not _state(node, seen)[0]:
+        if node.marks.isdisjoint(("around", "never")):
             mass[node.article] += text.count(" ") + 1
     sure = min(1.0, 2 * mass[1] / max(1, sum(mass)))
-    out = []
+    rows = []
     for text, node, linked, heading in found:
-        n = text.count(" ") + 1
-        around, within = _state(node, seen)
-        s = weights["bias"] + weights["word"] * min(n, weights["most_words"]) + weights["links"] * linked / len(text)
-        s += weights["heading"] * heading + weights["around"] * around
-        if node.article:
-            s += weights["article"] * sure
-        else:
-            s += weights["outside"] * sure + weights["within"] * within + (weights["short"] if n < 5 and not heading else 0.0)
-        out.append(s)
-    return out
+        n, m = text.count(" ") + 1, node.marks
+        inside = node.article
+        rows.append((1.0, sure * inside, sure * (not inside), "around" in m, "perhaps" in m, "within" in m, min(n, 40) / 10, linked / len(text), heading, n < 5 and not heading))
+    return np.array(rows, dtype=float).reshape(len(rows), len(FEATURES))
+
+
+def trained(pages: list[tuple[str, set[str]]], rounds: int = 400, keep: float = 1e-3) -> np.ndarray:
+    """Weights of the logistic classifier, by Newton steps on blocks of pages given with the texts of their content blocks."""
+    xs, ys = [], []
+    for page, content in pages:
+        found = blocks(page)
+        free = [k for k, b in enumerate(found) if "never" not in b[1].marks]
+        xs.append(features(found)[free])
+        ys += [float(found[k][0] in content) for k in free]
+    x, y = np.concatenate(xs), np.array(ys)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep * len(y) * np.eye(len(w)), x.T @ (y - p) - keep * len(y) * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+@lru_cache(maxsize=1)
+def weights() -> np.ndarray:
+    from gradelake.llm.page_layouts import training_pages
+
+    return trained(training_pages())
+
+
+def scores(found: list, w: np.ndarray | None = None) -> list[float]:
+    """The classifier's score of each block: above 0 for content."""
+    out = features(found) @ (weights() if w is None else w)
+    return [NEVER if "never" in b[1].marks else float(s) for b, s in zip(found, out)]
 
 
 def edges(found: list, smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours in page order, and neighbours among the blocks of one parent. None cross the rim of a part around the article."""
+    """Smoothness edges: neighbours in page order, and neighbours among the blocks of one parent."""
     out, last = [], {}
-    seen: dict = {}
-    rim = [_state(b[1], seen)[0] for b in found]
     for k in range(1, len(found)):
-        if rim[k] == rim[k - 1]:
-            a, b, d = found[k - 1][1], found[k][1], 0
-            while a is not b and d < 6:
-                a, b = (a.parent, b) if a.depth > b.depth else (a, b.parent) if b.depth > a.depth else (a.parent, b.parent)
-                d += 1
-            out.append((k - 1, k, smooth * 0.5**d))
+        a, b, d = found[k - 1][1], found[k][1], 0
+        while a is not b and d < 8:
+            a, b = (a.parent, b) if a.depth > b.depth else (a, b.parent) if b.depth > a.depth else (a.parent, b.parent)
+            d += 1
+        out.append((k - 1, k, smooth * 0.5**d))
     for k, b in enumerate(found):
         parent = id(b[1].parent)
         j = last.get(parent)
-        if j is not None and j < k - 1 and rim[j] == rim[k]:
-            out.append((j, k, smooth / 2))
+        if j is not None and j < k - 1:
+            out.append((j, k, smooth / 4))
         last[parent] = k
     return out
 
@@ -244,54 +289,71 @@ def min_cut(score: list[float], links: list[tuple[int, int, float]]) -> list[boo
 
 
 def _max_flow(score: list[float], around: list[dict[int, float]], rest: list[int]) -> set[int]:
-    """The source side of a minimum cut, by shortest augmenting paths."""
+    """The source side of a minimum cut: blocking flows along shortest paths, a level graph at a time."""
     left = {k: dict(around[k]) for k in rest}
     source = {k: score[k] for k in rest if score[k] > 0}
     sink = {k: -score[k] for k in rest if score[k] < 0}
+    tiny = 1e-12
     while True:
-        back = {k: None for k, c in source.items() if c > 1e-12}
-        queue, goal = deque(back), None
+        level = {k: 0 for k, c in source.items() if c > tiny}
+        queue, reached = deque(level), False
         while queue:
             k = queue.popleft()
-            if sink.get(k, 0.0) > 1e-12:
-                goal = k
-                break
+            if sink.get(k, 0.0) > tiny:
+                reached = True
+                continue
             for j, c in left[k].items():
-                if c > 1e-12 and j not in back:
-                    back[j] = k
+                if c > tiny and j not in level:
+                    level[j] = level[k] + 1
                     queue.append(j)
-        if goal is None:
-            return set(back)
-        path = [goal]
-        while back[path[-1]] is not None:
-            path.append(back[path[-1]])
-        push = min(sink[goal], source[path[-1]], *(left[b][a] for a, b in zip(path, path[1:])))
-        sink[goal] -= push
-        source[path[-1]] -= push
-        for a, b in zip(path, path[1:]):
-            left[b][a] -= push
-            left[a][b] = left[a].get(b, 0.0) + push
-
-
-def main_text(page: str | None) -> str:
+        if not reached:
+            return set(level)
+        ways = {k: [j for j in left[k] if level.get(j) == level[k] + 1] for k in level}
+        for start in [k for k in level if level[k] == 0]:
+            path = [start]
+            while path and source[start] > tiny:
+                k = path[-1]
+                if sink.get(k, 0.0) > tiny:
+                    push = min(sink[k], source[start], *(left[a][b] for a, b in zip(path, path[1:])))
+                    sink[k] -= push
+                    source[start] -= push
+                    for a, b in zip(path, path[1:]):
+                        left[a][b] -= push
+                        left[b][a] = left[b].get(a, 0.0) + push
+                    # Back to before the first edge that is full.
+                    path = path[: next((i + 1 for i, (a, b) in enumerate(zip(path, path[1:])) if left[a][b] <= tiny), len(path))]
+                    continue
+                while ways[k] and left[k][ways[k][-1]] <= tiny:
+                    ways[k].pop()
+                if ways[k]:
+                    path.append(ways[k][-1])
+                else:
+                    path.pop()
+                    if path:
+                        ways[path[-1]].pop()
+
+
+def main_text(page: str | None, w: np.ndarray | None = None) -> str:
     """The content blocks of a page in page order, one to a line; empty for a null or empty page."""
     found = blocks(page or "")
     if not found:
         return ""
-    label = min_cut(scores(found), edges(found))
+    label = min_cut(scores(found, w), edges(found))
     return "\n".join(b[0] for b, keep in zip(found, label) if keep)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row; text is empty for null, empty or textless pages.
 
-    Repeated rows and null ids are kept, other columns are ignored. A page may be of any length.
+    Repeated rows and null ids are kept, other columns are ignored; an empty table gives no rows. A page may be
+    of any length: reading is linear in it, and max-flow runs over the blocks that stay open only.
     """
-    rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    w = weights()
 
     def each(batches):
         for batch in batches:
-            text = [main_text(x.as_py()) for x in batch.column("html")]
+            text = [main_text(x.as_py(), w) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = rows.schema

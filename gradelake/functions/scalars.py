@@ -119,6 +119,9 @@ def feature_enabled(flag, user, percent) -> Column:
     return rollout_bucket(flag, user) < _c(percent)
 
 
+_SUBJECT = r"/containers/([^/]+)/blobs/(.+)$"
+
+
 def subject_container(subject) -> Column:
     return _subject(subject, 1)
 
@@ -129,8 +132,14 @@ def subject_blob(subject) -> Column:
 
 
 def _subject(subject, group: int) -> Column:
-    found = F.regexp_extract(_c(subject), r"/containers/([^/]+)/blobs/(.+)$", group)
-    return F.when(_c(subject).rlike(r"/containers/[^/]+/blobs/.+$"), found)
+    """A part of a subject; null of a malformed one."""
+    return F.when(_c(subject).rlike(_SUBJECT), F.regexp_extract(_c(subject), _SUBJECT, group))
+
+
+def checked_subject(subject) -> Column:
+    """(container, blob) of a subject; a malformed or null one is an error."""
+    bad = F.raise_error(F.concat(F.lit("Unexpected event subject: "), F.coalesce(_c(subject), F.lit("null")))).cast("struct<container:string,blob:string>")
+    return F.when(F.coalesce(_c(subject).rlike(_SUBJECT), F.lit(False)), F.struct(subject_container(subject).alias("container"), subject_blob(subject).alias("blob"))).otherwise(bad)
 
 
 def blob_url(signed_url, path) -> Column:

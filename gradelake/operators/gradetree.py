@@ -1,59 +1,63 @@
-"""Grading trees in VARIANT columns, walked with a recursive query.
+"""Grading trees in columns, of any depth, walked in one narrow pass.
 
-For trees that are already VARIANT in a table; lines of JSON are walked while they are parsed
-(gradelake.sources.files). Both go breadth first, over trees of any depth.
+A tree is VARIANT or JSON text; Spark's VARIANT holds 1,000 levels at most, text any number.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.sources import jsontext
 
-def nodes(trees: DataFrame, id_col: str = "id", tree_col: str = "tree", most_depth: int = 100) -> DataFrame:
-    """(id, path array<int>, node VARIANT) of every object node; ordering by (size(path), path) is breadth first."""
-    spark = trees.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(most_depth))
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(id, path, node) AS (
-            SELECT id, CAST(array() AS ARRAY<INT>), tree FROM {t}
-            UNION ALL
-            SELECT w.id, array_append(w.path, e.pos), e.value
-            FROM walk w, LATERAL variant_explode(CASE WHEN schema_of_variant(try_variant_get(w.node, '$.details', 'variant')) LIKE 'ARRAY<%' THEN try_variant_get(w.node, '$.details', 'variant') END) AS e
-        )
-        SELECT id, path, node FROM walk WHERE schema_of_variant(node) LIKE 'OBJECT<%'
-        """,
-        t=trees.select(F.col(id_col).alias("id"), F.col(tree_col).alias("tree")),
-    )
+
+def nodes(trees: DataFrame, id_col: str = "id", tree_col: str = "tree") -> DataFrame:
+    """(id, depth, number, node VARIANT, error) of every object node, without its list of details.
+
+    number counts a tree's nodes from the root, parents before children in order; by (depth, number) they are
+    breadth first. error: the node or one below it has status error. A null tree has no nodes; malformed text is an error.
+    """
+    text = F.col(tree_col) if trees.schema[tree_col].dataType.simpleString() == "string" else F.to_json(F.col(tree_col))
+    rows = trees.select(F.col(id_col).alias("id"), text.alias("tree"))
+
+    def each(batches):
+        for batch in batches:
+            at, depth, number, node, error = [], [], [], [], []
+            for i, x in enumerate(batch.column("tree")):
+                found = jsontext.walk(jsontext.strict_json(x.as_py())) if x.is_valid else []
+                at += [i] * len(found)
+                number += range(len(found))
+                depth += [d for _, d, _ in found]
+                node += [jsontext.written_json({k: v for k, v in n.items() if k != "details" or not isinstance(v, list)}) for n, _, _ in found]
+                error += jsontext.errors(found)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(depth, pa.int32()), pa.array(number, pa.int32()), pa.array(node, pa.string()), pa.array(error, pa.bool_())], names=["id", "depth", "number", "node", "error"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(each, f"id {kind}, depth int, number int, node string, error boolean").withColumn("node", F.parse_json("node"))
 
 
 def first_criteria(walked: DataFrame) -> DataFrame:
     """(id, criteria): the list of the first node, breadth first, that has one; an empty list ends the search too."""
     found = F.try_variant_get("node", "$.metadata.criteria", "variant")
     has = F.schema_of_variant(found).like("ARRAY<%")
-    firsts = walked.where(has).groupBy("id").agg(F.min_by(F.to_json(found), F.struct(F.size("path"), "path")).alias("j"))
+    firsts = walked.where(has).groupBy("id").agg(F.min_by(F.to_json(found), F.struct("depth", "number")).alias("j"))
     return firsts.select("id", F.from_json("j", "array<struct<name:string,passed:boolean>>").alias("criteria"))
 
 
 def run_commands(walked: DataFrame) -> DataFrame:
-    """(id, path, name, passed, error) of command nodes; error if the node or one below has status error."""
+    """(id, number, name, passed, error) of command nodes; error if the node or one below has status error."""
     get = lambda k, t="string": F.try_variant_get("node", f"$.{k}", t)
-    commands = walked.where(get("graderType") == "run-command").select("id", "path", get("name").alias("name"), F.coalesce(get("passed", "boolean"), F.lit(False)).alias("passed"))
-    failed = walked.where(get("status") == "error")
-    # An error counts for every node above it, which are the prefixes of its path.
-    above = failed.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice(F.col("path"), 1, n))).alias("path")).distinct().withColumn("error", F.lit(True))
-    return commands.join(above, ["id", "path"], "left").withColumn("error", F.coalesce("error", F.lit(False)))
+    return walked.where(get("graderType") == "run-command").select("id", "number", get("name").alias("name"), F.coalesce(get("passed", "boolean"), F.lit(False)).alias("passed"), "error")
 
 
 def oracle_leaves(walked: DataFrame) -> DataFrame:
-    """(id, path, category, name, passed, evidence): panel criteria by prefix of their criterion, and commands."""
+    """(id, number, category, name, passed, evidence): panel criteria by prefix of their criterion, and commands."""
     get = lambda k, t="string": F.try_variant_get("node", f"$.{k}", t)
     raw = F.try_variant_get("node", "$.metadata.criterion", "variant")
     criterion = F.when(F.schema_of_variant(raw) == "STRING", get("metadata.criterion"))
     panel = F.when(get("name").startswith("panel/criterion/"), criterion)
     kind = F.when(panel.startswith("prompt/"), "prompt").when(panel.startswith("language/"), "language")
-    base = walked.select("id", "path", F.coalesce(criterion, get("name")).alias("name"), F.coalesce(get("passed", "boolean"), F.lit(False)).alias("passed"), get("evidence").alias("evidence"), kind.alias("kind"), get("graderType").alias("grader"))
+    base = walked.select("id", "number", F.coalesce(criterion, get("name")).alias("name"), F.coalesce(get("passed", "boolean"), F.lit(False)).alias("passed"), get("evidence").alias("evidence"), kind.alias("kind"), get("graderType").alias("grader"))
     both = F.array_compact(F.array(F.col("kind"), F.when(F.col("grader") == "run-command", "program")))
-    return base.select("id", "path", F.explode(both).alias("category"), "name", "passed", "evidence")
+    return base.select("id", "number", F.explode(both).alias("category"), "name", "passed", "evidence")

@@ -99,6 +99,63 @@ def consecutive_failures(df: DataFrame, keys: list[str], order: str, failed: Col
     return runs.withColumn("streak", streak).withColumn("open", F.col("streak") >= threshold).drop("_f", "_run")
 
 
+def circuit(df: DataFrame, keys: list[str], at: str, transient: Column, other: Column, threshold: int = 3, seconds: int = 30) -> DataFrame:
+    """Add ``refused`` and ``streak`` to calls in the order of the timestamp ``at``: a circuit breaker for each key.
+
+    After ``threshold`` transient failures in a row the circuit is open: calls are refused until ``seconds`` have
+    passed since it opened, then counting starts anew. Success and ``other`` failures reset the count; a refused call
+    changes nothing, whatever its own outcome is. The fold is sequential by meaning; it streams over sorted rows.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", refused boolean, streak bigint"
+    rows = df.withColumn("_bad", F.coalesce(transient & ~F.coalesce(other, F.lit(False)), F.lit(False))).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+
+    def each(batches):
+        key, streak, opened = None, 0, None
+        for batch in batches:
+            refused, streaks = [], []
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for i, (bad, now) in enumerate(zip(batch.column("_bad").to_pylist(), batch.column("_us").to_pylist())):
+                mine = tuple(c[i] for c in columns)
+                if mine != key:
+                    key, streak, opened = mine, 0, None
+                if opened is not None and now - opened >= seconds * 1_000_000:
+                    streak, opened = 0, None
+                refused.append(opened is not None)
+                if opened is None:
+                    streak = streak + 1 if bad else 0
+                    opened = now if streak >= threshold else None
+                streaks.append(streak)
+            out = batch.drop_columns(["_bad", "_us"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(refused, pa.bool_()), pa.array(streaks, pa.int64())], names=[*out.schema.names, "refused", "streak"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_us").mapInArrow(each, schema)
+
+
+def assistant_texts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
+    """(conv, turn, pos, text): the texts that the assistant gave, in order; ``parts`` is a text or an array of texts, null ones are left out."""
+    listed = F.col(parts) if turns.schema[parts].dataType.typeName() == "array" else F.array(parts)
+    rows = turns.where(F.col(role) == "assistant").select(conv, turn, F.posexplode(listed).alias("pos", "text"))
+    return rows.where("text is not null").orderBy(conv, turn, "pos")
+
+
+def any_running(operations: DataFrame, keys: list[str], running: Column) -> DataFrame:
+    """(keys, running): whether one of a key's operations runs now; a state that is null doesn't."""
+    return operations.groupBy(*keys).agg(F.bool_or(F.coalesce(running, F.lit(False))).alias("running"))
+
+
+def total_charge(pages: DataFrame, keys: list[str], charge: Column, kind: str = "decimal(38,2)") -> DataFrame:
+    """(keys, pages, charge): the charges of all pages of a query, summed exactly."""
+    return pages.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.sum(charge.cast(kind)).alias("charge"))
+
+
+def broken_invariants(rows: DataFrame, keys: list[str], expected: dict[str, tuple[Column, int | None, int | None]]) -> DataFrame:
+    """(keys, rule, found) of keys whose number of rows that meet a rule's test is below its low or above its high bound."""
+    counts = rows.groupBy(*keys).agg(*(F.count_if(test).alias(f"_{i}") for i, (test, _, _) in enumerate(expected.values())))
+    listed = F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("found"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) for i, (rule, (_, low, high)) in enumerate(expected.items())))
+    out = counts.select(*keys, F.explode(listed).alias("x")).where("x.found < x.low or x.found > x.high")
+    return out.select(*keys, "x.rule", "x.found")
+
+
 def zip_by_position(left: Column, right: Column) -> Column:
     """Pairs of two arrays by place; the shorter is filled with nulls."""
     return F.arrays_zip(left.alias("left"), right.alias("right"))

@@ -23,7 +23,7 @@ def classify(outcomes: DataFrame) -> DataFrame:
     usable = F.coalesce(get("status") == "success", F.lit(False)) & F.coalesce(F.schema_of_variant(tree).like("OBJECT<%"), F.lit(False))
     head = outcomes.select("id", F.when(~usable, F.coalesce(get("error"), F.lit("Oracle did not return a grade result"))).alias("error"), F.when(usable, tree).alias("tree"))
     leaves = oracle_leaves(nodes(head.where("tree is not null")))
-    failures = F.transform(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct("path", "name", "evidence")))), lambda x: F.struct(x["name"].alias("name"), x["evidence"].alias("evidence")))
+    failures = F.transform(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct("number", "name", "evidence")))), lambda x: F.struct(x["name"].alias("name"), x["evidence"].alias("evidence")))
     per = leaves.groupBy("id", "category").agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"), failures.alias("failures"))
     out = head.drop("tree")
     empty = F.expr("named_struct('passed', 0L, 'total', 0L, 'failures', cast(array() as array<struct<name:string,evidence:string>>))")

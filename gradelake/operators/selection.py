@@ -99,6 +99,11 @@ def group_by_language(entries: DataFrame) -> DataFrame:
     return entries.groupBy("language", "experiment").agg(F.min("ord").alias("ord"), F.transform(rows, lambda x: x["filter"]).alias("filters"))
 
 
+def total_evaluations(groups: DataFrame) -> DataFrame:
+    """One row: how many evaluations the groups of ``group_by_language`` have together."""
+    return groups.agg(F.coalesce(F.sum(F.size("filters").cast("long")), F.lit(0)).alias("evaluations"))
+
+
 @dataclass(frozen=True)
 class Variants:
     """Run variants in order, and the only ones of some languages."""

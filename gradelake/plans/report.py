@@ -1,4 +1,4 @@
-"""Markdown reports. Totals are small (groups, not trials); failures and problems are streamed to the driver in order."""
+"""Markdown reports. Totals are small (groups, not trials); of failures and problems a stated number is listed, with the count of all."""
 
 from __future__ import annotations
 
@@ -9,6 +9,28 @@ from gradelake.operators.fanin import FanIn
 from gradelake.operators.oracle import OracleSummary
 
 
+#: Headings, table heads and sentences of the reports.
+VARIANT_HEAD = ["## Variant totals", "", "| Variant | Trials | Prompt | Language | Program |", "|---|---:|---:|---:|---:|"]
+SERVICE_HEAD = ["## Service totals", "", "| Service | Variant | Trials | Prompt | Language | Program |", "|---|---|---:|---:|---:|---:|"]
+SHARD_HEAD = ["## Shards", "", "| Language | Variant | Trials | Prompt | Language | Program |", "|---|---|---:|---:|---:|---:|"]
+ORACLE_HEAD = ["| Language | Scenarios | Prompt | Language | Program | Errors |", "|---|---:|---:|---:|---:|---:|"]
+FAILURE_HEAD = ["| Scenario | Category | Check | Evidence |", "|---|---|---|---|"]
+ALL_COLLECTED = "All expected shards and trial results were collected without integrity errors."
+ALL_ORACLES = "All expected oracle results were collected."
+#: Problems and failures that a report lists; it states how many more there are.
+MOST_LISTED = 10_000
+
+
+def _listed(df, *order: str) -> list:
+    """The first rows in order, by a top-k."""
+    return df.orderBy(*order).limit(MOST_LISTED).collect()
+
+
+def _more(n: int, df, what: str) -> list[str]:
+    rest = df.count() - n if n >= MOST_LISTED else 0
+    return [f"and {rest} more {what}"] if rest else []
+
+
 def _cell(kind: str):
     p, t = F.col(f"{kind}_passed"), F.col(f"{kind}_total")
     return F.concat(p.cast("string"), F.lit("/"), t.cast("string"), F.lit(" ("), percentage(p, t), F.lit(")"))
@@ -29,27 +51,29 @@ def fan_in_report(result: FanIn, order, title: str = "# Evaluation summary") ->
     shards = order.join(result.shards.select("language", "variant").distinct().withColumn("there", F.lit(1)), ["language", "variant"], "left")
     done = result.trials.count()
     n_shards, n_expected = result.shards.count(), result.expected.count()
-    lines = [title, "", f"Completed {done} trial(s) across {n_shards}/{n_expected} shard(s).", "", "## Variant totals", "", "| Variant | Trials | Prompt | Language | Program |", "|---|---:|---:|---:|---:|"]
+    lines = [title, "", f"Completed {done} trial(s) across {n_shards}/{n_expected} shard(s).", "", *VARIANT_HEAD]
     lines += _rows(variants.join(t.where("level = 'variant'").drop("language", "service"), "variant", "left").orderBy("ord"), "variant", trials, *pick())
-    lines += ["", "## Service totals", "", "| Service | Variant | Trials | Prompt | Language | Program |", "|---|---|---:|---:|---:|---:|"]
+    lines += ["", *SERVICE_HEAD]
     lines += _rows(t.where("level = 'service'").orderBy(F.expr("service COLLATE UNICODE"), F.expr("variant COLLATE UNICODE")), "service", "variant", trials, *pick())
-    lines += ["", "## Shards", "", "| Language | Variant | Trials | Prompt | Language | Program |", "|---|---|---:|---:|---:|---:|"]
+    lines += ["", *SHARD_HEAD]
     lines += _rows(shards.join(t.where("level = 'shard'").drop("service"), ["language", "variant"], "left").orderBy("ord"), "language", "variant", F.concat(trials, F.lit("/"), F.col("evaluations").cast("string")), *pick())
-    problems = [r[0] for r in result.problems.orderBy("ord").select("problem").toLocalIterator()]
+    problems = [r["problem"] for r in _listed(result.problems, "ord")]
+    problems += _more(len(problems), result.problems, "problems")
     lines += ["", "## Integrity", ""]
-    lines += [f"- {p}" for p in problems] or ["All expected shards and trial results were collected without integrity errors."]
+    lines += [f"- {p}" for p in problems] or [ALL_COLLECTED]
     t.unpersist()
     return "\n".join([*lines, ""]), problems
 
 
 def oracle_report(result: OracleSummary, expected: int, title: str = "# Oracle summary") -> tuple[str, list[str]]:
-    lines = [title, "", f"Collected {result.received}/{expected} scenario result(s).", "", "| Language | Scenarios | Prompt | Language | Program | Errors |", "|---|---:|---:|---:|---:|---:|"]
+    lines = [title, "", f"Collected {result.received}/{expected} scenario result(s).", "", *ORACLE_HEAD]
     lines += _rows(result.totals.orderBy(F.expr("language COLLATE UNICODE")), "language", F.col("scenarios").cast("string"), *(_cell(k) for k in ("prompt", "language", "program")), F.col("errors").cast("string"))
     lines += ["", "## Check and infrastructure failures", ""]
-    failed = _rows(result.failures.orderBy("n", "k"), "scenario", "category", "name", markdown_cell("evidence"))
-    lines += ["| Scenario | Category | Check | Evidence |", "|---|---|---|---|", *failed] if failed else ["None."]
-    integrity = [r[0] for r in result.integrity.orderBy("part", "n", "k").select("problem").toLocalIterator()]
-    lines += ["", "## Integrity", "", *([f"- {x}" for x in integrity] or ["All expected oracle results were collected."])]
+    failed = _rows(result.failures.orderBy("n", "k").limit(MOST_LISTED), "scenario", "category", "name", markdown_cell("evidence"))
+    lines += [*FAILURE_HEAD, *failed, *_more(len(failed), result.failures, "failures")] if failed else ["None."]
+    integrity = [r["problem"] for r in _listed(result.integrity, "part", "n", "k")]
+    integrity += _more(len(integrity), result.integrity, "problems")
+    lines += ["", "## Integrity", "", *([f"- {x}" for x in integrity] or [ALL_ORACLES])]
     return "\n".join(lines) + "\n", integrity
 
 

@@ -1,17 +1,16 @@
 """Readers of JSON lines, manifests and YAML-like catalogs as DataFrames.
 
-Whole-file scans keep line numbers; lines are then rows, so parsing and checking are distributed.
+Files of lines are read in splits and keep their line numbers, so parsing and checking are distributed.
 """
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.functions.scalars import normalize_path, unquote
+from gradelake.functions.scalars import first_group, normalize_path, unquote
+from gradelake.sources.jsontext import errors, printable, strict_json, walk, written_json  # noqa: F401
 
 _TRIAL = (
     "message string, eval_name string, variant string, status string, service string, "
@@ -20,17 +19,48 @@ _TRIAL = (
 
 
 def found_files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(path, value): the files of exactly this name at any depth, whole."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, value): the files of exactly this name at any depth, whole. For small files such as catalogs."""
+    return _under(spark, name).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def found_paths(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path) of the files of exactly this name at any depth; none is opened."""
+    return _under(spark, name).format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("path"))
+
 
+def _under(spark: SparkSession, name: str):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
 
-def numbered_lines(files: DataFrame, physical: bool = False) -> DataFrame:
-    """(path, line, text) of the lines that aren't blank; numbers count all lines if physical, else only those."""
-    lines = F.split("value", r"\r?\n", -1)
-    if physical:
-        return files.select("path", F.posexplode(lines).alias("p", "text")).where(F.trim("text") != "").select("path", (F.col("p") + 1).alias("line"), "text")
-    kept = F.filter(lines, lambda x: ~x.rlike(r"^\s*$"))
-    return files.select("path", F.posexplode(kept).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
+
+def numbered_lines(spark: SparkSession, root: str, name: str = "*", physical: bool = False) -> DataFrame:
+    """(path, line, text) of the lines that aren't blank, of files of any size; numbers count all lines if physical, else only those.
+
+    Files are read in splits. Lines are counted inside their split as they stream by; the splits before it in the
+    same file then shift them, so no task sees a whole file.
+    """
+    raw = _under(spark, name).text(root, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+    def each(batches):
+        now, counted = None, 0
+        for batch in batches:
+            kept, numbers, texts = [], [], []
+            for i, (path, at, value) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "at", "value")))):
+                if (path, at) != now:
+                    now, counted = (path, at), 0
+                filled = bool(value.strip())
+                counted += filled or physical
+                if filled:
+                    kept.append(i)
+                    numbers.append(counted)
+                    texts.append(value.removesuffix("\r"))
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(at), batch.column("at").take(at), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["path", "at", "k", "text"])
+
+    lines = raw.mapInArrow(each, "path string, at bigint, k bigint, text string")
+    count = F.count(F.lit(1)) if physical else F.count_if(F.length(F.trim(F.regexp_replace("value", r"(?U)\s", ""))) > 0)
+    sizes = raw.groupBy("path", "at").agg(count.alias("n"))
+    before = sizes.select("path", "at", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return lines.join(before, ["path", "at"]).select("path", (F.col("before") + F.col("k")).alias("line"), "text")
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -41,51 +71,30 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(path.alias("path"), F.regexp_replace(path, "/[^/]*$", "").alias("dir"), "language", "variant", F.col("expectedEvaluations").alias("expected"))
 
 
-def _refuse(x: str):
-    raise ValueError(f"{x} is not JSON")
-
-
-def strict_json(text: str):
-    """JSON by the standard: no NaN, no trailing text; of equal keys the last counts."""
-    return json.loads(text, parse_constant=_refuse)
-
-
 def _text(row: dict, key: str) -> str:
     """A field as it reads in a message: undefined if absent, and JSON-like otherwise."""
     if key not in row:
         return "undefined"
     v = row[key]
-    return v if isinstance(v, str) else json.dumps(v)
-
+    return printable(v) if isinstance(v, str) else written_json(v)
 
-def walk(tree):
-    """All nodes of a grading tree, breadth first."""
-    level = [tree]
-    while level:
-        following = []
-        for node in level:
-            if isinstance(node, dict):
-                yield node
-                if isinstance(node.get("details"), list):
-                    following += node["details"]
-        level = following
 
-
-def _criteria(tree) -> list[dict]:
+def _criteria(nodes: list[tuple[dict, int, int]]) -> list[dict]:
     """Those of the first node, breadth first, that has a list of them, even an empty one."""
-    for node in walk(tree):
+    first = None
+    for node, depth, _ in nodes:
         found = node["metadata"].get("criteria") if isinstance(node.get("metadata"), dict) else None
-        if isinstance(found, list):
-            return [{"name": c.get("name") if isinstance(c.get("name"), str) else None, "passed": bool(c.get("passed"))} if isinstance(c, dict) else {"name": None, "passed": False} for c in found]
-    return []
+        if isinstance(found, list) and (first is None or depth < first[0]):
+            first = depth, found
+    name = lambda c: printable(c["name"]) if isinstance(c, dict) and isinstance(c.get("name"), str) else None
+    return [{"name": name(c), "passed": isinstance(c, dict) and bool(c.get("passed"))} for c in (first[1] if first else ())]
 
 
-def _programs(tree) -> list[dict]:
-    out = []
-    for node in walk(tree):
-        if node.get("graderType") == "run-command":
-            out.append({"name": _text(node, "name"), "passed": bool(node.get("passed")), "error": any(x.get("status") == "error" for x in walk(node))})
-    return out
+def _programs(nodes: list[tuple[dict, int, int]]) -> list[dict]:
+    """Command nodes, breadth first."""
+    bad = errors(nodes)
+    found = sorted((depth, k) for k, (node, depth, _) in enumerate(nodes) if node.get("graderType") == "run-command")
+    return [{"name": _text(nodes[k][0], "name"), "passed": bool(nodes[k][0].get("passed")), "error": bad[k]} for _, k in found]
 
 
 def parsed_trial(text: str) -> dict:
@@ -94,11 +103,11 @@ def parsed_trial(text: str) -> dict:
         row = strict_json(text)
         if not isinstance(row, dict):
             raise ValueError("a result must be an object")
-    except (ValueError, RecursionError) as e:
-        return {"message": str(e) or "malformed"}
-    tree = row.get("gradeResult")
+    except ValueError as e:
+        return {"message": printable(str(e)) or "malformed"}
+    nodes = walk(row.get("gradeResult"))
     service = row.get("service")
-    return {"message": None, "eval_name": _text(row, "evalName"), "variant": _text(row, "variant"), "status": _text(row, "status"), "service": service if isinstance(service, str) and service else None, "criteria": _criteria(tree), "programs": _programs(tree)}
+    return {"message": None, "eval_name": _text(row, "evalName"), "variant": _text(row, "variant"), "status": _text(row, "status"), "service": printable(service) if isinstance(service, str) and service else None, "criteria": _criteria(nodes), "programs": _programs(nodes)}
 
 
 def trials(lines: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,10 +130,26 @@ _CATEGORY = "struct<passed:bigint,total:bigint,failures:array<struct<name:string
 ORACLE_SCHEMA = f"scenario string, language string, status string, error string, prompt {_CATEGORY}, languageChecks {_CATEGORY}, program {_CATEGORY}"
 
 
+def _values(lines: DataFrame, error: str) -> DataFrame:
+    """(path, line, json) of strictly parsed lines, each as one JSON text without repeated keys; a malformed line is an error with its number."""
+
+    def each(batches):
+        for batch in batches:
+            out = []
+            for n, text in zip(batch.column("line").to_pylist(), batch.column("text").to_pylist()):
+                try:
+                    out.append(written_json(strict_json(text)))
+                except ValueError as e:
+                    raise ValueError(f"{error} {n}: {e}") from None
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("line"), pa.array(out, pa.string())], names=["path", "line", "json"])
+
+    return lines.select("path", "line", "text").mapInArrow(each, "path string, line bigint, json string")
+
+
 def oracle_lines(spark: SparkSession, root: str, name: str = "oracle-results.jsonl") -> DataFrame:
-    """(ord, row VARIANT) of each line in path and line order; a malformed line is an error."""
-    lines = numbered_lines(found_files(spark, root, name))
-    return lines.select(F.struct("path", "line").alias("ord"), F.parse_json("text").alias("row"))
+    """(ord, row VARIANT) of each line in path and line order; a line that isn't strict JSON is an error. Of equal keys the last counts."""
+    rows = _values(numbered_lines(spark, root, name), "Malformed oracle result on line")
+    return rows.select(F.struct("path", "line").alias("ord"), F.parse_json("json").alias("row"))
 
 
 def write_oracle_rows(rows: DataFrame, path: str) -> None:
@@ -134,13 +159,12 @@ def write_oracle_rows(rows: DataFrame, path: str) -> None:
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """(line, id, query, ground_truth) of cases; missing fields and bad JSON are errors that name the physical line, as is a file without cases."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = numbered_lines(files, physical=True)
-    v = F.try_parse_json("text")
+    lines = numbered_lines(spark, path, physical=True)
+    v = F.parse_json("json")
     get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
-    bad = v.isNull() | get("id").isNull() | get("query").isNull() | get("groundTruth").isNull()
+    bad = get("id").isNull() | get("query").isNull() | get("groundTruth").isNull()
     error = F.raise_error(F.format_string("Invalid evaluation case on line %d", "line")).cast("string")
-    out = lines.select("line", F.when(bad, error).otherwise(get("id")).alias("id"), get("query").alias("query"), get("groundTruth").alias("ground_truth"))
+    out = _values(lines, "Invalid evaluation case on line").select("line", F.when(bad, error).otherwise(get("id")).alias("id"), get("query").alias("query"), get("groundTruth").alias("ground_truth"))
     if lines.isEmpty():
         raise ValueError("The evaluation file has no cases.")
     return out
@@ -204,8 +228,6 @@ def catalog(spark: SparkSession, root: str, experiments: list[tuple[str, str]])
 
 def eval_services(spark: SparkSession, root: str) -> DataFrame:
     """(eval_name, service) of each scenario file that names both; folders without one are no error."""
-    from gradelake.functions.scalars import first_group
-
     files = found_files(spark, root, "eval.yaml")
     named = files.select("path", first_group("value", r"^name:\s*(\S+)\s*$").alias("eval_name"), first_group("value", r"^\s+service:\s*(\S+)\s*$").alias("service"))
     return named.where("eval_name is not null and service is not null").groupBy("eval_name").agg(F.max_by("service", "path").alias("service"))
@@ -232,3 +254,32 @@ def json_lines(text: str) -> list:
     if not isinstance(text, str):
         raise ValueError("The command gave no standard output")
     return [strict_json(x) for x in text.replace("\r\n", "\n").split("\n") if x.strip()]
+
+
+def one_outcome(text: str):
+    """The value of a command's output that must be exactly one."""
+    found = json_lines(text)
+    if len(found) != 1:
+        raise ValueError(f"Expected one oracle result, received {len(found)}")
+    return found[0]
+
+
+def scenario_directories(spark: SparkSession, root: str, names: list[str] | None = None, service: str | None = None, every: bool = False, language: str | None = None) -> DataFrame:
+    """(scenario, language, path) of the folders right under root whose eval.yaml a selector takes, in name order.
+
+    Exactly one of every, names and service selects; a service is compared as text, never as a pattern.
+    """
+    if every + bool(names) + (service is not None) != 1:
+        raise ValueError("Select exactly one of every, a service, or names")
+    if any(not x or x.startswith("-") for x in [*(names or ()), *(y for y in (service, language) if y is not None)]):
+        raise ValueError("Selector values must be non-empty")
+    specs = spark.read.text(f"{root}/*/eval.yaml", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("path"), "value")
+    out = specs.select(F.regexp_extract("path", "([^/]*)$", 1).alias("scenario"), first_group("value", r"^\s+language:\s*(\S+)\s*$").alias("language"), "path", "value")
+    if names:
+        out = out.where(F.col("scenario").isin(*names))
+    if service is not None:
+        listed = F.regexp_extract_all("value", F.lit(r"(?m)^\s+service:[ \t]*(.*?)\s*$"), F.lit(1))
+        out = out.where(F.array_contains(listed, service))
+    if language is not None:
+        out = out.where(F.col("language") == language)
+    return out.drop("value").orderBy(F.expr("scenario COLLATE UNICODE"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,13 +11,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one where that is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="gradelake-core-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -26,5 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: later plans neither repeat its work nor carry its lineage."""
     path = f"{shared_dir(df.sparkSession)}/gradelake-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables written so, once the results that read them are written. Returns how many."""
+    n = len(_made)
+    while _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n

@@ -6,10 +6,14 @@ file and, with ``availableNow``, ends when the folder is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradelake.operators.ops import chunks
+
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_batch: int = 100, glob: str = "*.parquet") -> DataFrame:
     """A stream over a folder from its beginning, in micro-batches of some files."""
@@ -86,21 +90,62 @@ def flattened(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return one.select(F.col("e.id").alias("event_id"), F.coalesce("e.eventType", "e.type").alias("event_type"), F.col("e.subject").alias("subject"))
 
 
+def event_batches(stream: DataFrame, handle, checkpoint: str, size: int = 100, order: str | None = None) -> None:
+    """Hand events on in batches of at most ``size``: handle(rows, number of the micro-batch), where the column ``batch`` of rows numbers them.
+
+    Consecutive events by ``order``, a unique key, share a batch; without it, those that stand together in a file do.
+    """
+
+    def each(rows: DataFrame, number: int) -> None:
+        key = order or "_n"
+        numbered = rows if order else rows.withColumn("_n", F.monotonically_increasing_id())
+        handle(chunks(numbered, key, size).withColumnRenamed("chunk", "batch").drop("_n"), number)
+
+    _finish(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
+
+
+def produce(rows: DataFrame, folder: str, size: int = 10) -> None:
+    """Append rows to a folder that streams read, at most ``size`` to a file."""
+    rows.write.mode("append").option("maxRecordsPerFile", size).parquet(folder)
+
+
+def received(queue: DataFrame, key: str, consumers: int, most: int = 5) -> DataFrame:
+    """Add ``consumer`` and ``receive``: each message of a queue goes to exactly one of the competing consumers, at most ``most`` in one receive.
+
+    Messages are dealt by a hash of their key, so a message that is read again goes the same way.
+    """
+    w = Window.partitionBy("consumer").orderBy(key)
+    dealt = queue.withColumn("consumer", F.pmod(F.xxhash64(key), F.lit(consumers)).cast("int"))
+    return dealt.withColumn("receive", F.floor((F.row_number().over(w) - 1) / most))
+
+
+def poll(read, terminal: set[str], seconds: float, every: float = 1.0) -> str:
+    """The status that ``read()`` gives once it is terminal; a TimeoutError after the deadline."""
+    until = time.monotonic() + seconds
+    while True:
+        status = read()
+        if status in terminal:
+            return status
+        if time.monotonic() + every > until:
+            raise TimeoutError(f"The operation is still {status}.")
+        time.sleep(every)
+
+
 def session_sequences(stream: DataFrame, key: str, order: str, out: str, checkpoint: str) -> None:
     """First in, first out per session key: rows of each batch numbered after those that the key had before.
 
-    State is one count per key, kept as a table next to the output and joined to each batch.
+    One count per key is kept in the state store, which writes only what a batch changes. A batch's rows of one key
+    are sorted in memory; maxFilesPerTrigger bounds them.
     """
-    spark = stream.sparkSession
+    names, schema = stream.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
 
-    def each(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window
+    def each(_, frames, state):
+        import pandas as pd
 
-        state = f"{out}/state"
-        old = spark.read.parquet(f"{state}/batch={number - 1}") if number else spark.createDataFrame([], f"{key} {batch.schema[key].dataType.simpleString()}, seen bigint")
-        rows = batch.join(old, key, "left").withColumn("sequence", F.coalesce("seen", F.lit(0)) + F.row_number().over(Window.partitionBy(key).orderBy(order)))
-        rows.drop("seen").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        new = old.unionByName(batch.groupBy(key).agg(F.count(F.lit(1)).alias("seen"))).groupBy(key).agg(F.sum("seen").alias("seen"))
-        new.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        seen = state.get[0] if state.exists else 0
+        state.update((seen + len(rows),))
+        yield rows[names].assign(sequence=range(seen + 1, seen + len(rows) + 1))
 
-    _finish(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
+    numbered = stream.groupBy(key).applyInPandasWithState(each, f"{schema}, sequence bigint", "seen bigint", "append", "NoTimeout")
+    _finish(numbered.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", checkpoint).outputMode("append"))

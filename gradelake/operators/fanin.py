@@ -85,7 +85,7 @@ class FanIn:
     problems: DataFrame
 
 
-def fan_in(spark: SparkSession, root: str, expected: DataFrame, services: DataFrame, required: dict[str, tuple[str, ...]] = REQUIRED_CHECKS) -> FanIn:
+def fan_in(spark: SparkSession, root: str, expected: DataFrame, services: DataFrame, required: dict[str, tuple[str, ...]] = REQUIRED_CHECKS, results: str = "results.jsonl", manifest: str = "evaluation-shard.json") -> FanIn:
     """expected: language, variant, evaluations, ord; services: eval_name, service. The texts of problems are fixed values.
 
     Repeats follow path order: of manifests of one shard, and of results of one (variant, eval_name) over all
@@ -93,17 +93,17 @@ def fan_in(spark: SparkSession, root: str, expected: DataFrame, services: DataFr
     its own variant. A manifest's results are all result files at any depth under its folder.
     """
     expected = expected.withColumn("nth", F.row_number().over(Window.partitionBy("language", "variant").orderBy(F.col("ord").desc()))).where("nth = 1").drop("nth", "ord")
-    all_shards = first_wins(files.manifests(spark, root), ["language", "variant"], ["path"])
+    all_shards = first_wins(files.manifests(spark, root, manifest), ["language", "variant"], ["path"])
     key = F.concat_ws("/", "language", "variant")
     shards = all_shards.where("nth = 1").drop("nth")
     paired = expected.join(shards, ["language", "variant"], "full_outer").withColumn("key", key)
 
-    found = files.found_paths(spark, root, "results.jsonl")
+    found = files.found_paths(spark, root, results)
     # A file belongs to the manifests of any folder above it: its folders meet theirs in an equi-join, before lines are read.
     parts = F.split("file", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     owners = found.select(F.col("path").alias("file")).withColumn("dir", F.explode(above)).join(shards.withColumnRenamed("variant", "shard_variant"), "dir").drop("dir")
-    parsed = files.trials(files.numbered_lines(spark, root, "results.jsonl").withColumnRenamed("path", "file"))
+    parsed = files.trials(files.numbered_lines(spark, root, results).withColumnRenamed("path", "file"))
     owned = parsed.join(owners, "file").withColumn("key", F.concat_ws("/", "language", "shard_variant"))
     # Parsed once: counts, totals and problems all read this table.
     owned = written(owned.withColumn("row", F.format_string("%s %010d", "file", "line")), "trials")

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions import scalars as S
 from gradelake.operators import fanin, ops, oracle
 from gradelake.operators.gradetree import first_criteria, nodes, run_commands
-from gradelake.operators.selection import TagFilter, Variants, any_set_matches, group_by_language, matches_columns, shard_matrix
+from gradelake.operators.selection import Selection, TagFilter, Variants, any_set_matches, expected_matrix, group_by_language, matches_columns, matrix_json, select_entries, shard_matrix, total_evaluations
+from gradelake.plans import report
 from gradelake.sources import files
 from gradelake.sources.staging import shared_dir, written
 from gradelake.streaming import streams
@@ -242,12 +243,12 @@ def enabled_state(spark, d):
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' ORDER BY conv_id, turn")
 def assistant_turns(spark, d):
-    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text").orderBy("conv_id", "turn")
+    return ops.assistant_texts(table(spark, d, "conversations"), parts="text").drop("pos")
 
 
 @query("SELECT user_id, bool_or(event_type = 'error') AS running FROM events GROUP BY user_id")
 def any_running(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("running"))
+    return ops.any_running(table(spark, d, "events"), ["user_id"], F.col("event_type") == "error")
 
 
 # -- ordering, pages, windows (W1-W5, O1-O7, A12-A14) -----------------------------------------------
@@ -262,7 +263,8 @@ def first_wins_dedup(spark, d):
 @query("SELECT doc_id, 'Duplicate text of ' || doc_id AS problem FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1")
 def duplicate_report(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("f"))
+    # Written first: both sides of the join are then plain exchanges, and a text that many share can be split.
+    first = written(docs.groupBy("h").agg(F.min("doc_id").alias("f")), "first")
     return docs.join(first, "h").where("doc_id <> f").select("doc_id", F.concat(F.lit("Duplicate text of "), F.col("doc_id").cast("string")).alias("problem"))
 
 
@@ -318,7 +320,7 @@ def locale_sort(spark, d):
 @query("SELECT l_returnflag, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS charge, count(*) AS rows FROM lineitem GROUP BY 1")
 def request_charge(spark, d):
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(cents).alias("charge"), F.count(F.lit(1)).alias("rows"))
+    return ops.total_charge(table(spark, d, "lineitem"), ["l_returnflag"], cents, "long").withColumnRenamed("pages", "rows")
 
 
 # -- sets (U1-U7) -----------------------------------------------------------------------------------
@@ -406,8 +408,10 @@ def row_validation(spark, d):
 
 @query("SELECT l_orderkey, count(*) AS lines, count(*) FILTER (l_linenumber = 1) AS firsts FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber = 1) <> 1")
 def invariants(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_linenumber") == 1).alias("firsts"))
-    return rows.where("firsts <> 1")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    broken = ops.broken_invariants(rows, ["l_orderkey"], {"one first line": (F.col("l_linenumber") == 1, 1, 1)})
+    lines = rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    return broken.join(lines, "l_orderkey").select("l_orderkey", "lines", F.col("found").alias("firsts"))
 
 
 @query("SELECT r_name AS language, count(*) AS evaluations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -515,6 +519,433 @@ def session_fifo(spark, d):
     return spark.read.schema("event_id bigint, user_id bigint, sequence bigint").parquet(f"{work}/rows").select("event_id", "user_id", "sequence")
 
 
+# -- the evaluation operators on data made from the tables --------------------------------------------
+
+#: Defects of results by document number: what divides it, and what it does.
+_VARIANT = "'v' || (doc_id % 3)"
+_TRIALS = f"""t AS (SELECT doc_id, lang, {_VARIANT} AS shard_variant, CASE WHEN doc_id % 29 = 0 THEN 'other' ELSE {_VARIANT} END AS variant, 'e' || doc_id AS name, quality, toxic
+    FROM documents JOIN labels USING (doc_id) WHERE doc_id % 37 <> 0)"""
+_SHARDS = "sh AS (SELECT lang, shard_variant, count(*) AS n, count(*) + sum(CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END) AS seen FROM t GROUP BY ALL)"
+
+
+def _result_files(spark, d):
+    """(root, expected, services) for a fan-in: a folder for each language and variant, with a manifest and result lines."""
+    docs = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    number = F.col("doc_id")
+    divides = lambda n: number % n == 0
+    variant = F.concat(F.lit("v"), (number % 3).cast("string"))
+    check = lambda name, when=F.lit(True): F.when(when, F.struct(F.lit("run-command").alias("graderType"), F.lit(name).alias("name"), (F.col("quality") == 1).alias("passed"), F.array(F.struct(F.when(F.col("toxic") == 1, "error").otherwise("done").alias("status"))).alias("details")))
+    criterion = lambda name, ok: F.struct(F.lit(name).alias("name"), ok.alias("passed"))
+    listed = F.array(criterion("prompt/q", F.col("quality") == 1), criterion("language/t", F.col("toxic") == 0), criterion("x", F.lit(True)))
+    criteria = F.when(divides(17), F.slice(listed, 1, 0)).otherwise(listed)
+    programs = F.when(divides(7), F.slice(F.array(check("program/c")), 1, 0)).otherwise(F.array_compact(F.array(check("program/c"), check("program/c", divides(11)), check("program/extra", divides(13)))))
+    tree = F.struct(F.array(F.struct(F.struct(criteria.alias("criteria")).alias("metadata"), programs.alias("details"))).alias("details"))
+    row = F.struct(F.concat(F.lit("e"), number.cast("string")).alias("evalName"), F.when(divides(29), "other").otherwise(variant).alias("variant"), F.when(divides(23), "error").otherwise("success").alias("status"), F.when(~divides(19), F.concat(F.lit("svc"), (number % 4).cast("string"))).alias("service"), tree.alias("gradeResult"))
+    line = F.when(divides(37), '{"a":1} trailing').otherwise(F.to_json(row))
+    lines = docs.select(F.concat_ws("-", "lang", variant).alias("shard"), F.explode(F.array_repeat(line, F.when(divides(31) & ~divides(37), 2).otherwise(1).cast("int"))).alias("value"))
+    root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    lines.write.partitionBy("shard").text(f"{root}/a")
+    shards = docs.where(~divides(37)).groupBy("lang", variant.alias("variant")).agg(F.count(F.lit(1)).alias("n"))
+    shards.select(F.concat_ws("-", "lang", "variant").alias("shard"), F.col("lang").alias("language"), "variant", F.col("n").alias("expectedEvaluations")).write.mode("append").partitionBy("shard").json(f"{root}/a")
+    known = shards.where("not (lang = 'es' and variant = 'v2')").select(F.col("lang").alias("language"), "variant", (F.col("n") + F.when(F.col("variant") == "v1", 1).otherwise(0)).alias("evaluations"))
+    expected = known.union(spark.createDataFrame([("xx", "v0", 1)], "language string, variant string, evaluations bigint")).withColumn("ord", F.struct("language", "variant"))
+    services = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("e"), number.cast("string")).alias("eval_name"), F.lit("looked-up").alias("service"))
+    return root, written(expected, "expected"), services
+
+
+def _fan_in(spark, d):
+    root, expected, services = _result_files(spark, d)
+    return fanin.fan_in(spark, root, expected, services, {k: ("program/c",) for k in ("en", "de", "fr", "es")}, results="*.txt", manifest="*.json")
+
+
+@query(
+    f"""WITH {_TRIALS}, {_SHARDS}, lab AS (SELECT lang, {_VARIANT} AS v, doc_id FROM documents JOIN labels USING (doc_id)),
+    want AS (SELECT lang, shard_variant, n + CASE WHEN shard_variant = 'v1' THEN 1 ELSE 0 END AS n FROM sh WHERE NOT (lang = 'es' AND shard_variant = 'v2')),
+    p AS (
+        SELECT 'Missing shard artifact: xx/v0' AS problem
+        UNION ALL SELECT 'Unexpected shard artifact: es/v2' FROM sh WHERE lang = 'es' AND shard_variant = 'v2'
+        UNION ALL SELECT 'Malformed result in ' || lang || '/' || v FROM lab WHERE doc_id % 37 = 0
+        UNION ALL SELECT 'Manifest count mismatch in ' || lang || '/' || shard_variant || ': expected ' || want.n || ', manifest reports ' || sh.n FROM want JOIN sh USING (lang, shard_variant) WHERE want.n <> sh.n
+        UNION ALL SELECT 'Incomplete shard ' || lang || '/' || shard_variant || ': expected ' || want.n || ' result(s), found ' || seen FROM want JOIN sh USING (lang, shard_variant) WHERE want.n <> seen
+        UNION ALL SELECT 'Duplicate result: ' || variant || '/' || name FROM t WHERE doc_id % 31 = 0
+        UNION ALL SELECT 'Variant mismatch in ' || lang || '/' || shard_variant || ': result ' || name || ' reports ' || variant FROM t WHERE variant <> shard_variant
+        UNION ALL SELECT 'Unsuccessful trial in ' || lang || '/' || shard_variant || ': ' || name || ' has status error' FROM t WHERE doc_id % 23 = 0
+        UNION ALL SELECT 'Service tag not found for ' || name FROM t WHERE doc_id % 19 = 0 AND doc_id % 2 = 1
+        UNION ALL SELECT 'No criterion results found: ' || variant || '/' || name FROM t WHERE doc_id % 17 = 0
+        UNION ALL SELECT 'No program check results found: ' || variant || '/' || name FROM t WHERE doc_id % 7 = 0
+        UNION ALL SELECT 'Missing program check: ' || variant || '/' || name || '/program/c' FROM t WHERE doc_id % 7 = 0
+        UNION ALL SELECT 'Duplicate program check: ' || variant || '/' || name || '/program/c' FROM t WHERE doc_id % 7 <> 0 AND doc_id % 11 = 0
+        UNION ALL SELECT 'Unexpected program check: ' || variant || '/' || name || '/program/extra' FROM t WHERE doc_id % 7 <> 0 AND doc_id % 13 = 0
+        UNION ALL SELECT 'Program check error: ' || variant || '/' || name || '/program/c' FROM t, range(2) AS r(k) WHERE toxic = 1 AND doc_id % 7 <> 0 AND (k = 0 OR doc_id % 11 = 0)
+        UNION ALL SELECT 'Program check error: ' || variant || '/' || name || '/program/extra' FROM t WHERE toxic = 1 AND doc_id % 7 <> 0 AND doc_id % 13 = 0
+    ) SELECT problem, count(*) AS n FROM p GROUP BY problem"""
+)
+def fan_in_problems(spark, d):
+    # The place of a malformed line is that of a file with a random name.
+    problem = F.regexp_replace("problem", r"^(Malformed result in [^ ]+) .*$", "$1")
+    return _fan_in(spark, d).problems.groupBy(problem.alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rate(p: str, t: str) -> str:
+    """SQL of the text of a pass rate: passed/total and per cent to one place, half up."""
+    tenths = f"((2000 * {p} + {t}) // (2 * {t}))"
+    return f"{p} || '/' || {t} || ' (' || CASE WHEN {t} = 0 THEN 'n/a' ELSE ({tenths} // 10) || '.' || ({tenths} % 10) || '%' END || ')'"
+
+
+@query(
+    f"""WITH {_TRIALS}, r AS (SELECT lang AS language, CASE WHEN doc_id % 19 <> 0 THEN 'svc' || (doc_id % 4) WHEN doc_id % 2 = 0 THEN 'looked-up' ELSE 'unknown' END AS service, variant,
+        doc_id % 17 <> 0 AS has, quality = 1 AS good, toxic = 0 AS clean, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS once FROM t),
+    g AS (SELECT CASE WHEN grouping(language) = 0 THEN 'shard' WHEN grouping(service) = 0 THEN 'service' ELSE 'variant' END AS level, language, service, variant, count(*) AS trials,
+        count(*) FILTER (has) AS prompt_total, count(*) FILTER (has AND good) AS prompt_passed, count(*) FILTER (has) AS language_total, count(*) FILTER (has AND clean) AS language_passed,
+        count(*) AS program_total, count(*) FILTER (once AND good) AS program_passed
+        FROM r GROUP BY GROUPING SETS ((language, variant), (variant), (service, variant)))
+    SELECT level, language, service, variant, trials, {_rate('prompt_passed', 'prompt_total')} AS prompt, {_rate('language_passed', 'language_total')} AS "languages", {_rate('program_passed', 'program_total')} AS program FROM g"""
+)
+def fan_in_totals(spark, d):
+    cell = lambda k: F.concat(S.ratio(f"{k}_passed", f"{k}_total"), F.lit(" ("), S.percentage(f"{k}_passed", f"{k}_total"), F.lit(")"))
+    return _fan_in(spark, d).totals.select("level", "language", "service", "variant", "trials", cell("prompt").alias("prompt"), cell("language").alias("languages"), cell("program").alias("program"))
+
+
+@query(
+    f"""WITH {_TRIALS}, sh AS (SELECT lang, shard_variant AS v, count(*) AS n FROM t GROUP BY ALL), c AS (SELECT variant AS v, lang, count(*) AS trials FROM t GROUP BY ALL),
+    rows AS (SELECT lang, v, n + CASE WHEN v = 'v1' THEN 1 ELSE 0 END AS n FROM sh WHERE NOT (lang = 'es' AND v = 'v2') UNION ALL SELECT 'xx', 'v0', 1)
+    SELECT row_number() OVER (ORDER BY lang, v) AS place, '| ' || lang || ' | ' || v || ' | ' || coalesce(trials, 0) || '/' || n || ' |' AS line FROM rows LEFT JOIN c USING (lang, v)"""
+)
+def fan_in_report_lines(spark, d):
+    """The lines of the report's table of shards, in its order."""
+    root, expected, services = _result_files(spark, d)
+    result = fanin.fan_in(spark, root, expected, services, {k: ("program/c",) for k in ("en", "de", "fr", "es")}, results="*.txt", manifest="*.json")
+    text, _ = report.fan_in_report(result, expected)
+    lines = text.split("## Shards")[1].split("##")[0].strip().split("\n")[2:]
+    short = ["|".join(x.split("|")[:4]) + "|" for x in lines]
+    return spark.createDataFrame(list(enumerate(short, 1)), "place bigint, line string")
+
+
+def _oracle_rows(spark, d):
+    """(ord, row VARIANT) made from orders, with defects by order number; a thousand rows to a path."""
+    k = F.col("o_orderkey")
+    category = lambda p, t, f: F.struct(p.alias("passed"), t.alias("total"), f.alias("failures"))
+    none = F.expr("cast(array() as array<struct<name:string,evidence:string>>)")
+    one = F.array(F.struct(F.when(k % 9 == 0, " ").otherwise("prompt/x").alias("name"), F.lit("e|v").alias("evidence")))
+    row = F.struct(
+        F.when(k % 101 == 0, " ").otherwise(F.concat(F.lit("s"), F.col("o_custkey").cast("string"))).alias("scenario"),
+        F.when(k % 103 != 0, F.col("o_orderpriority")).alias("language"),
+        F.when(F.col("o_orderstatus") == "F", "passed").when(F.col("o_orderstatus") == "O", "failed").when(k % 2 == 0, "error").otherwise("odd").alias("status"),
+        F.when(k % 5 == 0, "boom").alias("error"),
+        category(k % 6, F.lit(4), F.when(k % 3 == 0, one).otherwise(none)).alias("prompt"),
+        F.when(k % 107 != 0, category(k % 2, F.lit(1), none)).alias("languageChecks"),
+        category(F.when(k % 109 == 0, F.lit(-1.0)).otherwise(F.lit(1.0)), F.when(k % 113 == 0, F.lit(1.5)).otherwise(F.lit(1.0)), none).alias("program"),
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", F.format_string("%012d", F.floor(k / 1000)).alias("path"), F.to_json(row, {"ignoreNullFields": "false"}).alias("j"))
+    line = F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")).cast("long")
+    return rows.select(F.struct("path", line.alias("line")).alias("ord"), F.parse_json("j").alias("row"))
+
+
+_ORACLES = """o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_orderkey AS k, CASE WHEN o_orderkey % 101 = 0 THEN ' ' ELSE 's' || o_custkey END AS scenario,
+        CASE WHEN o_orderkey % 103 <> 0 THEN o_orderpriority END AS language, CASE WHEN o_orderstatus = 'F' THEN 'passed' WHEN o_orderstatus = 'O' THEN 'failed' WHEN o_orderkey % 2 = 0 THEN 'error' ELSE 'odd' END AS status,
+        o_orderkey % 5 = 0 AS boom FROM orders),
+    e AS (SELECT *, 'Result ' || n AS l FROM o),
+    v AS (SELECT *, list_filter([
+        CASE WHEN scenario = ' ' THEN l || ' has an invalid scenario' END, CASE WHEN language IS NULL THEN l || ' has an invalid language' END, CASE WHEN status = 'odd' THEN l || ' has an invalid status' END,
+        CASE WHEN status = 'error' AND NOT boom THEN l || ' error status requires an error message' END, CASE WHEN status <> 'error' AND boom THEN l || ' non-error status must have error: null' END,
+        CASE WHEN k % 6 > 4 THEN l || '.prompt.passed cannot exceed ' || l || '.prompt.total' END, CASE WHEN k % 9 = 0 THEN l || '.prompt.failures[0] is invalid' END,
+        CASE WHEN k % 107 = 0 THEN l || '.languageChecks must be an object' END,
+        CASE WHEN k % 109 = 0 THEN l || '.program.passed must be a non-negative integer' END, CASE WHEN k % 113 = 0 THEN l || '.program.total must be a non-negative integer' END,
+        CASE WHEN status = 'passed' AND (k % 6 <> 4 OR k % 109 = 0 OR k % 113 = 0) THEN l || ' passed status conflicts with check totals' END], lambda x: x IS NOT NULL) AS errors FROM e),
+    ok AS (SELECT * FROM v WHERE len(errors) = 0)"""
+
+
+@query(f"WITH {_ORACLES} SELECT n, array_to_string(errors, '; ') AS errors FROM v")
+def oracle_validation(spark, d):
+    return oracle.validate(_oracle_rows(spark, d)).select("n", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(
+    f"""WITH {_ORACLES} SELECT row_number() OVER (ORDER BY language) AS place, language, count(*) AS scenarios, {_rate('CAST(sum(k % 6) AS BIGINT)', '(4 * count(*))')} AS prompt,
+        {_rate('CAST(sum(k % 2) AS BIGINT)', 'count(*)')} AS checks, CAST(count(*) AS BIGINT) || '/' || count(*) AS program, count(*) FILTER (status = 'error') AS errors FROM ok GROUP BY language"""
+)
+def oracle_totals(spark, d):
+    totals = oracle.summarize(_oracle_rows(spark, d), 0).totals
+    cell = lambda k: F.concat(S.ratio(f"{k}_passed", f"{k}_total"), F.lit(" ("), S.percentage(f"{k}_passed", f"{k}_total"), F.lit(")"))
+    # Few languages: their places are numbered in the order of the report.
+    place = F.row_number().over(Window.orderBy(F.expr("language COLLATE UNICODE"))).cast("long")
+    return totals.select(place.alias("place"), "language", "scenarios", cell("prompt").alias("prompt"), cell("language").alias("checks"), S.ratio("program_passed", "program_total").alias("program"), "errors")
+
+
+@query(
+    f"""WITH {_ORACLES} SELECT n, CAST(0 AS INTEGER) AS k, scenario, 'infrastructure' AS category, '-' AS name, 'boom' AS evidence FROM ok WHERE boom
+    UNION ALL SELECT n, CASE WHEN boom THEN 1 ELSE 0 END, scenario, 'prompt', 'prompt/x', 'e\\|v' FROM ok WHERE k % 3 = 0"""
+)
+def oracle_failures(spark, d):
+    failures = oracle.summarize(_oracle_rows(spark, d), 0).failures
+    return failures.select("n", "k", "scenario", "category", "name", S.markdown_cell("evidence").alias("evidence"))
+
+
+@query(
+    f"""WITH {_ORACLES}, again AS (SELECT n, 'Duplicate scenario result: ' || scenario AS problem FROM ok QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY n) > 1)
+    SELECT 0 AS part, n, unnest(errors) AS problem FROM v UNION ALL SELECT 1, n, problem FROM again UNION ALL SELECT 2, 0, 'Expected 7 scenario results, received ' || count(*) FROM v"""
+)
+def oracle_integrity(spark, d):
+    return oracle.summarize(_oracle_rows(spark, d), 7).integrity.select("part", "n", "problem")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS pt, count(*) FILTER (role = 'user' AND length(text) > 200) AS pp, count(*) FILTER (role = 'assistant') AS lt,
+        count(*) FILTER (role = 'assistant' AND length(text) > 100) AS lp, count(*) FILTER (role = 'system') AS gt,
+        coalesce(string_agg('prompt/' || turn, ',' ORDER BY turn) FILTER (role = 'user' AND length(text) <= 200), '') AS failed FROM conversations GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 THEN 'error' WHEN pt = 0 OR pp < pt OR lp < lt THEN 'failed' ELSE 'passed' END AS status,
+        CASE WHEN conv_id % 5 = 0 THEN 'boom' WHEN conv_id % 7 = 0 THEN 'Oracle did not return a grade result' END AS error,
+        CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 THEN '0/0 0/0 0/0' ELSE pp || '/' || pt || ' ' || lp || '/' || lt || ' ' || gt || '/' || gt END AS counts,
+        CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 THEN '' ELSE failed END AS failed FROM c"""
+)
+def oracle_classified(spark, d):
+    number = F.col("turn").cast("string")
+    user, command = F.col("role") == "user", F.col("role") == "system"
+    name = F.concat(F.when(user, "prompt/").otherwise("language/"), number)
+    leaf = F.struct(
+        F.when(~command, F.concat(F.lit("panel/criterion/"), number)).otherwise("program/c").alias("name"), F.when(command, "run-command").alias("graderType"), F.struct(F.when(~command, name).alias("criterion")).alias("metadata"),
+        F.when(command, True).when(user, F.length("text") > 200).otherwise(F.length("text") > 100).alias("passed"), F.lit("e").alias("evidence"),
+    )
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", leaf.alias("leaf")))).alias("t"))
+    tree = F.when(F.col("conv_id") % 7 != 0, F.struct(F.array(F.struct(F.transform("t", lambda x: x["leaf"]).alias("details"))).alias("details")))
+    broken = F.col("conv_id") % 5 == 0
+    outcome = F.struct(F.when(broken, "error").otherwise("success").alias("status"), F.when(broken, "boom").alias("error"), tree.alias("gradeResult"))
+    out = oracle.classify(rows.select(F.col("conv_id").alias("id"), F.parse_json(F.to_json(outcome)).alias("outcome")))
+    counts = F.concat_ws(" ", *(S.ratio(f"{c}.passed", f"{c}.total") for _, c in oracle.CATEGORIES))
+    return out.select(F.col("id").alias("conv_id"), "status", "error", counts.alias("counts"), F.array_join(F.transform("prompt.failures", lambda x: x["name"]), ",").alias("failed"))
+
+
+def _catalog(spark, d):
+    """Parts as evaluations with two tag sets each, and suites of those that large line items name."""
+    part = table(spark, d, "part")
+    tags = F.array(F.create_map(F.lit("service"), F.col("p_type"), F.lit("plane"), F.lit("data"), F.lit("scope"), (F.col("p_size") % 5).cast("string")), F.create_map(F.lit("service"), F.lit("other"), F.lit("plane"), F.lit("control")))
+    path = lambda k: F.concat(F.lit("p/"), k.cast("string"))
+    entries = part.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("language"), F.lit("x").alias("experiment"), F.col("p_name").alias("filter"), path(F.col("p_partkey")).alias("repo_path"), tags.alias("tag_sets"))
+    large = table(spark, d, "lineitem").where("l_quantity > 45").select(path(F.col("l_partkey")).alias("repo_path")).distinct()
+    named = large.join(entries.select("repo_path"), "repo_path", "left_semi").select(F.lit("large").alias("suite"), F.lit(0).alias("suite_ord"), F.lit(0).alias("ord"), "repo_path")
+    return entries, named
+
+
+_PICKED = "p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_size % 5 IN (1, 2)"
+
+
+@query(f"SELECT p_partkey AS ord, p_brand AS language, p_name AS filter FROM part WHERE {_PICKED}")
+def selected_entries(spark, d):
+    """A suite, a structured filter and free tags together; only the first tag set of an entry has both tags."""
+    entries, suites = _catalog(spark, d)
+    return select_entries(entries, suites, Selection(mode="suite", suite=" large ", plane="data", tags="scope=1,2")).select("ord", "language", "filter")
+
+
+@query(f"SELECT p_brand AS language, v.variant, count(*) AS evaluations FROM part, (VALUES ('a'), ('b')) AS v(variant) WHERE {_PICKED} AND NOT (p_brand = 'Brand#13' AND v.variant = 'b') GROUP BY ALL")
+def selected_matrix(spark, d):
+    entries, suites = _catalog(spark, d)
+    picked = select_entries(entries, suites, Selection(mode="suite", suite="large", plane="data", tags="scope=1,2"))
+    text = matrix_json(shard_matrix(group_by_language(picked), Variants(("a", "b"), {"Brand#13": ("a",)})))
+    return expected_matrix(spark, text).select("language", "variant", "evaluations")  # as it is sent to the shards and read there
+
+
+@query(f"SELECT count(*) AS evaluations FROM part WHERE {_PICKED}")
+def evaluations_in_all(spark, d):
+    entries, suites = _catalog(spark, d)
+    return total_evaluations(group_by_language(select_entries(entries, suites, Selection(mode="suite", suite="large", plane="data", tags="scope=1,2"))))
+
+
+@query("SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ord, '../n/' || n_name || '/eval.yaml' AS path FROM nation")
+def catalog_evals(spark, d):
+    item = F.concat(F.lit("  - '../n/"), "n_name", F.lit("/eval.yaml'"))
+    rows = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("x")))), lambda r: r["x"]).alias("lines"))
+    text = F.concat(F.lit("name: x\nevals:\n"), F.array_join("lines", "\n"), F.lit("\nvary:\n  - model\n"))
+    return rows.select("region", F.posexplode(files.experiment_evals(text)).alias("ord", "path")).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query("SELECT p_partkey, 'x ' || p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part")
+def catalog_tags(spark, d):
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("stimuli:\n  - name: a\n    tags:\n      brand: 'x "), "p_brand", F.lit("'\n      size: 0\n      size: "), size, F.lit("\n    graders: []\n"))
+    return table(spark, d, "part").select("p_partkey", files.tag_sets(text)[0].alias("t")).select("p_partkey", F.col("t")["brand"].alias("brand"), F.col("t")["size"].alias("size"))
+
+
+@query("SELECT lower(r_name) AS suite, 'e/' || n_name || '/eval.yaml' AS repo_path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'MIDDLE EAST'")
+def catalog_suites(spark, d):
+    rows = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region").where("r_name <> 'MIDDLE EAST'")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
+    item = F.concat(F.lit("      - e/./x/../"), "n_name", F.lit("/eval.yaml"))
+    named = rows.groupBy("r_name").agg(F.concat(F.lit("  "), F.lower(F.first("r_name")), F.lit(":\n    evals:\n"), F.array_join(F.collect_list(item), "\n")).alias("x"))
+    return files.suites(named.agg(F.concat(F.lit("suites:\n"), F.array_join(F.collect_list("x"), "\n"), F.lit("\nother: 1\n")).alias("value"))).select("suite", "repo_path")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, length(text) AS asked, lang AS ground_truth FROM documents")
+def evaluation_cases(spark, d):
+    path = f"{shared_dir(spark)}/cases-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("query"), F.col("lang").alias("groundTruth")).write.json(path)
+    return files.eval_cases(spark, path).select("id", F.length("query").alias("asked"), "ground_truth")
+
+
+@query(
+    """SELECT conv_id, turn, 'text' AS kind, NULL AS file_id, text FROM conversations WHERE role = 'assistant'
+    UNION ALL SELECT conv_id, turn, 'citation', 'f' || turn, NULL FROM conversations WHERE role = 'assistant' AND turn % 2 = 1
+    UNION ALL SELECT conv_id, turn, 'result', 's' || turn, 't' FROM conversations WHERE role = 'system'"""
+)
+def response_citations(spark, d):
+    number = F.col("turn").cast("string")
+    notes = F.array(F.struct(F.when(F.col("turn") % 2 == 1, "file_citation").otherwise("url").alias("type"), F.concat(F.lit("f"), number).alias("file_id")))
+    content = F.array(F.struct(F.lit("output_text").alias("type"), F.col("text").alias("text"), notes.alias("annotations")))
+    kind = F.when(F.col("role") == "assistant", "message").when(F.col("role") == "system", "file_search_call").otherwise("other")
+    item = F.struct(kind.alias("type"), content.alias("content"), F.array(F.struct(F.concat(F.lit("s"), number).alias("file_id"), F.lit("t").alias("text"))).alias("results"))
+    bodies = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.parse_json(F.to_json(F.struct(F.array(item).alias("output")))).alias("body"))
+    return ops.citations(bodies).select("id.conv_id", "id.turn", "kind", "file_id", "text")
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+    f AS (SELECT user_id, event_id, k, CAST(NULL AS BIGINT) AS opened, CASE WHEN bad THEN CAST(1 AS BIGINT) ELSE 0 END AS streak, false AS refused FROM s WHERE k = 1
+        UNION ALL SELECT user_id, event_id, k, CASE WHEN refused THEN was WHEN streak >= 3 THEN us END, streak, refused FROM (
+            SELECT s.user_id, s.event_id, s.k, s.us, opened AS was, opened IS NOT NULL AND s.us - opened < 86400000000 AS refused,
+                CASE WHEN opened IS NOT NULL AND s.us - opened < 86400000000 THEN streak WHEN NOT bad THEN 0 WHEN opened IS NOT NULL THEN 1 ELSE streak + 1 END AS streak
+            FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1))
+    SELECT user_id, event_id, refused, streak FROM f"""
+)
+def circuit_breaker(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return ops.circuit(rows, ["user_id"], "ts", F.col("event_type") == "error", F.lit(False), seconds=86400).select("user_id", "event_id", "refused", "streak")
+
+
+@query(
+    """SELECT p_partkey, p_name AS bare, upper(trim(p_type)) || '|' || p_brand AS listed, CAST(len(list_distinct([upper(trim(p_type)), p_brand])) AS INTEGER) AS n, p_brand AS first, CASE p_partkey % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/html' ELSE 'application/vnd.ms-outlook' END AS media,
+        p_size > 10 AND p_partkey % 4 <> 0 AS supported, p_name || chr(10) || chr(10) || p_brand AS context, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) WHEN p_partkey % 5 = 0 THEN p_size * 1000.0 END AS delay, p_brand || '/' || p_size AS key FROM part"""
+)
+def text_values(spark, d):
+    odd = F.col("p_partkey") % 2 == 1
+    size = F.col("p_size").cast("string")
+    listed = F.concat(F.lit(" , "), F.upper("p_type"), F.lit(" ,,"), "p_brand", F.lit(","), "p_brand")
+    ending = F.when(F.col("p_partkey") % 3 == 0, ".TXT").when(F.col("p_partkey") % 3 == 1, ".htm").otherwise(".msg")
+    cited = F.when(F.col("p_size") > 10, F.array(size)).otherwise(F.slice(F.array(size), 1, 0))
+    said = F.when(F.col("p_partkey") % 4 == 0, "  unsupported: x").otherwise("It is unsupported: x")
+    headers = F.when(~odd, F.create_map(F.lit("retry-after-ms"), size, F.lit("retry-after"), F.lit("9"))).when(F.col("p_partkey") % 5 == 0, F.create_map(F.lit("retry-after"), size)).otherwise(F.create_map(F.lit("x"), size))
+    rows = table(spark, d, "part").withColumn("delay", S.retry_delay(headers)).withColumn("key", S.composite_key("p_brand", size.alias("size")))
+    return rows.select(
+        "p_partkey", S.unquote(F.concat(F.lit(' "'), "p_name", F.lit('" '))).alias("bare"), F.array_join(F.array_distinct(S.filter_values(listed)), "|").alias("listed"), F.size(S.distinct_values(listed)).alias("n"),
+        S.first_group(F.concat(F.lit("x: y\nbrand: "), "p_brand", F.lit("\n")), r"^brand:\s*(\S+)\s*$").alias("first"), S.media_type(F.concat(F.lit("a.b/c"), ending)).alias("media"), S.supported_answer(cited, said).alias("supported"),
+        S.context_text(F.array("p_name", "p_brand")).alias("context"), "delay", F.concat_ws("/", "key.p_brand", "key.size").alias("key"),
+    )
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS amount, c_name AS name, c_custkey % 2 = 0 AS flag, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 100 AS DOUBLE) END AS percent,
+        'c' || c_custkey AS container, 'a b+/' || c_name AS blob FROM customer"""
+)
+def typed_values(spark, d):
+    key = F.col("c_custkey")
+    v = F.parse_json(F.to_json(F.struct(F.when(key % 3 == 0, F.col("c_acctbal")).alias("amount"), F.col("c_name").alias("name"), (key % 2 == 0).alias("flag"))))
+    first = F.struct(F.when(key % 4 == 0, "Vendor.Other").otherwise("Vendor.Percentage").alias("name"), F.struct((key % 100).alias("Value")).alias("parameters"))
+    conditions = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("Other").alias("name"), F.struct(F.lit(1).alias("Value")).alias("parameters")), first).alias("client_filters")).alias("conditions")))
+    subject = S.checked_subject(F.concat(F.lit("/x/containers/c"), key.cast("string"), F.lit("/blobs/a%20b+/"), "c_name"))
+    rows = table(spark, d, "customer").select("c_custkey", v.alias("v"), S.feature_percentage(conditions).alias("percent"), subject.alias("s"))
+    return rows.select("c_custkey", S.typed_field("v", "$.amount", "number").alias("amount"), S.typed_field("v", "$.name", "string", True).alias("name"), S.typed_field("v", "$.flag", "boolean", True).alias("flag"), "percent", "s.container", "s.blob")
+
+
+@query("SELECT o_orderkey, 'order' AS kind, o_totalprice AS value FROM orders WHERE o_orderstatus = 'F'")
+def kind_filter(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "order").otherwise("other").alias("kind"), F.col("o_totalprice").alias("value"))
+    return ops.of_kind(rows, "kind", "order")
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_type IN ('click', 'view') THEN upper(event_type) WHEN event_type = 'error' THEN 'ERROR ' || (event_id % 10) END AS call FROM events WHERE event_type IN ('click', 'view', 'error')")
+def tool_dispatch(spark, d):
+    rows = table(spark, d, "events").where("event_type in ('click', 'view', 'error')").select("event_id", "event_type", F.when(F.col("event_type") == "error", F.concat(F.lit("ERROR "), (F.col("event_id") % 10).cast("string"))).otherwise(F.upper("event_type")).alias("a"))
+    allowed = {"click": lambda x: x == "CLICK", "view": lambda x: x == "VIEW", "error": lambda x: x.rlike("^ERROR [0-9]$")}
+    return rows.select("event_id", "event_type", ops.dispatch_checked("event_type", F.col("a"), allowed).alias("call"))
+
+
+@query(
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN CAST(3 AS BIGINT) ELSE 2 END AS version, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS v, o_orderkey % 6 = 1 AS conflict FROM orders"""
+)
+def version_checks(spark, d):
+    now = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(2).cast("long").alias("version"), F.col("o_orderstatus").alias("v"))
+    changes = now.where("k % 3 = 0 or k % 6 = 1").select("k", F.when(F.col("k") % 3 == 0, 2).otherwise(1).cast("long").alias("version"), F.lit("new").alias("v"))
+    return ops.upsert_versions(now, changes, "k")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 100 = 0) > 0")
+def sentinel_refresh(spark, d):
+    fresh = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    cached = fresh.where("o_orderkey % 100 <> 0").withColumn("status", F.lit("old"))
+    return ops.refreshed(cached, fresh, F.col("o_orderkey") % 100 == 0, ["o_orderkey"], ["status"])
+
+
+# -- streams and queues -------------------------------------------------------------------------------
+
+
+@query("SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'rest' END AS route, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+def stream_routes(spark, d):
+    work = _work(spark)
+    folders = {"click": f"{work}/click", "view": f"{work}/view", None: f"{work}/rest"}
+    streams.by_type(_stream(spark, d).select("event_id", "event_type"), folders, "event_type", f"{work}/checkpoint")
+    parts = [spark.read.schema("event_id bigint, event_type string").option("recursiveFileLookup", "true").parquet(f).select(F.lit(k or "rest").alias("route"), "event_id") for k, f in folders.items()]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT 'errors' AS subscription, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'large', event_id FROM events WHERE value > 20")
+def topic_fan_out(spark, d):
+    work = _work(spark)
+    copy = f"{work}/topic"
+    table(spark, d, "events").select("event_id", "event_type", "value").write.parquet(copy)
+    subscriptions = {"errors": F.col("event_type") == "error", "large": F.col("value") > 20}
+    streams.fan_out(spark, copy, "event_id bigint, event_type string, value double", subscriptions, f"{work}/out", f"{work}/checkpoint")
+    parts = [spark.read.schema("event_id bigint").parquet(f"{work}/out/{k}").select(F.lit(k).alias("subscription"), "event_id") for k in subscriptions]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events")
+def queue_receive(spark, d):
+    """All messages, each dealt to one of three consumers in receives of five; the bounds are checked on the way."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    dealt = streams.received(rows, "event_id", 3)
+    over = F.raise_error(F.lit("a receive of more than five")).cast("bigint")
+    n = F.count(F.lit(1)).over(Window.partitionBy("consumer", "receive"))
+    return dealt.withColumn("n", F.when(n > 5, over).otherwise(n)).where("n > 0 and consumer between 0 and 2").select(*rows.columns)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 4 < 3 THEN CAST(event_id % 4 + 1 AS INTEGER) END AS next_attempt, CASE WHEN event_id % 3 = 0 AND event_id % 4 < 3 THEN ts + INTERVAL 1500 MILLISECONDS END AS deliver_at FROM events")
+def throttled_retries(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 3 == 0, 429).otherwise(500).alias("status"), (F.col("event_id") % 4).cast("int").alias("attempt"))
+    return streams.retry_schedule(rows, "status", "attempt", F.lit(1500), F.col("ts")).select("event_id", "next_attempt", "deliver_at")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderkey % 3 = 0 OR o_orderdate <= TIMESTAMP '1996-01-01') AND o_orderkey % 7 <> 0")
+def scheduled_messages(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("at"), F.when(F.col("o_orderkey") % 7 == 0, True).alias("off"))
+    return streams.scheduled(rows, "at", F.lit("1996-01-01").cast("timestamp"), "off").select("o_orderkey")
+
+
+@query("SELECT 'a' || event_id AS event_id, event_type, 'u' || user_id AS subject FROM events UNION ALL SELECT 'b' || event_id, 'cloud', NULL FROM events")
+def payload_events(spark, d):
+    key = F.col("event_id").cast("string")
+    one = F.struct(F.concat(F.lit("a"), key).alias("id"), F.col("event_type").alias("eventType"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject"))
+    two = F.struct(F.concat(F.lit("b"), key).alias("id"), F.lit("cloud").alias("type"))
+    payload = F.concat(F.lit("["), F.to_json(one), F.lit(","), F.to_json(two), F.lit("]"))
+    return streams.flattened(table(spark, d, "events").select(payload.alias("payload")))
+
+
+@query("SELECT count(*) AS events, CAST(sum(CASE WHEN n > 100 THEN 1 ELSE 0 END) AS BIGINT) AS too_large FROM (SELECT event_id, 1 AS n FROM events)")
+def event_batches(spark, d):
+    """Batches of a hundred at most, written with their size, over all events."""
+    work = _work(spark)
+
+    def handle(rows, number):
+        rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{work}/out/part={number}")
+
+    streams.event_batches(_stream(spark, d).select("event_id"), handle, f"{work}/checkpoint", 100, "event_id")
+    return spark.read.parquet(f"{work}/out").agg(F.sum("n").alias("events"), F.count_if(F.col("n") > 100).alias("too_large"))
+
+
+@query("SELECT event_id, value >= 5 AS complete FROM events WHERE value < 10 AND event_type <> 'error'")
+def dead_letters_again(spark, d):
+    """Dead letters looked at again, all of them here."""
+    rows = table(spark, d, "events").select("event_id", "event_type", "value")
+    dead = streams.settled(rows, F.col("value") >= 10, F.col("event_type") == "error").where("settlement = 'dead-letter'").drop("settlement")
+    return streams.retried(dead, F.col("value") >= 5, None).select("event_id", (F.col("settlement") == "complete").alias("complete"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pass rates by language and source, with the rate as it stands in the report, in locale order."""
     rows = pass_rate_by_group(spark, sf_dir)

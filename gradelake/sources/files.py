@@ -63,10 +63,10 @@ def numbered_lines(spark: SparkSession, root: str, name: str = "*", physical: bo
     return lines.join(before, ["path", "at"]).select("path", (F.col("before") + F.col("k")).alias("line"), "text")
 
 
-def manifests(spark: SparkSession, root: str) -> DataFrame:
+def manifests(spark: SparkSession, root: str, name: str = "evaluation-shard.json") -> DataFrame:
     """(path, dir, language, variant, expected) of each shard manifest; a malformed one is an error."""
     kind = "language string, variant string, expectedEvaluations bigint"
-    raw = spark.read.schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", "evaluation-shard.json").json(root, multiLine=True, mode="FAILFAST")
+    raw = spark.read.schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root, multiLine=True, mode="FAILFAST")
     path = F.col("_metadata.file_path")
     return raw.select(path.alias("path"), F.regexp_replace(path, "/[^/]*$", "").alias("dir"), "language", "variant", F.col("expectedEvaluations").alias("expected"))
 

@@ -46,9 +46,9 @@ def route_settled(stream: DataFrame, valid: Column, transient: Column, out: str,
     _finish(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("settlement"))
 
 
-def retried(dead: DataFrame, valid: Column, most: int = 10) -> DataFrame:
-    """Dead letters looked at again, ``most`` at a time: those that are valid now complete."""
-    return dead.limit(most).withColumn("settlement", F.when(F.coalesce(valid, F.lit(False)), "complete").otherwise("dead-letter"))
+def retried(dead: DataFrame, valid: Column, most: int | None = 10) -> DataFrame:
+    """Dead letters looked at again, ``most`` at a time or all: those that are valid now complete."""
+    return (dead if most is None else dead.limit(most)).withColumn("settlement", F.when(F.coalesce(valid, F.lit(False)), "complete").otherwise("dead-letter"))
 
 
 def by_type(stream: DataFrame, kinds: dict[str, str], type_col: str, checkpoint: str) -> None:

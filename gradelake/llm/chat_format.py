@@ -1,7 +1,8 @@
 """Chat formatting: conversations rendered into one marked-up string each, and read back from it.
 
 Only Spark expressions. The turns of a conversation are collected as structs and sorted; adjacent turns of
-one role share a block, joined by a separator mark, so that merging loses nothing::
+one role are merged into a block that holds the array of their texts, which a separator mark joins, so that
+merging loses nothing::
 
     <|im_start|>user
     first text<|im_sep|>second text<|im_end|>
@@ -35,18 +36,20 @@ def chat_format(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     one conversation. Other columns are ignored. No rows: no conversations. A conversation becomes one
     string, so the longest one must fit into an executor's memory.
     """
-    r, prev, nxt = "_t[i].role", "_t[greatest(i - 1, 0)].role", "_t[least(i + 1, size(_t) - 1)].role"
     turns = df.select(
         F.col(conv).alias("conv_id"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("_s"),
     )
     rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("_s")).alias("_t"))
-    head = f"if(i > 0 and {r} = {prev}, '{SEP}', concat('{START}', replace({escaped(r)}, '\\n', '{NL}'), '\\n'))"
-    tail = f"if(i < size(_t) - 1 and {r} = {nxt}, '', '{END}\\n')"
-    rows = rows.withColumn(
-        "segments",
-        F.expr(f"flatten(transform(sequence(0, size(_t) - 1), i -> array(named_struct('text', {head}, 'loss', false), named_struct('text', {escaped('_t[i].text')}, 'loss', {r} = '{learn}'), named_struct('text', {tail}, 'loss', false))))"),
-    )
+    # Turns of one role that follow each other become a block: its role and the array of its texts.
+    starts = "filter(sequence(0, size(_t) - 1), i -> i = 0 or _t[i].role <> _t[i - 1].role)"
+    merged = "transform(s, (a, k) -> named_struct('role', _t[a].role, 'texts', transform(slice(_t, a + 1, if(k < size(s) - 1, s[k + 1], size(_t)) - a), x -> x.text)))"
+    rows = rows.withColumn("_blocks", F.expr(f"transform(array({starts}), s -> {merged})[0]"))
+    mark = lambda x: f"named_struct('text', {x}, 'loss', false)"
+    texts = f"flatten(transform(b.texts, (x, j) -> array({mark(f"if(j > 0, '{SEP}', '')")}, named_struct('text', {escaped('x')}, 'loss', b.role = '{learn}'))))"
+    head = f"concat('{START}', replace({escaped('b.role')}, '\\n', '{NL}'), '\\n')"
+    tail = f"'{END}\\n'"
+    rows = rows.withColumn("segments", F.expr(f"flatten(transform(_blocks, b -> concat(array({mark(head)}), {texts}, array({mark(tail)}))))"))
     return rows.select("conv_id", F.expr("array_join(transform(segments, s -> s.text), '')").alias("formatted"), "segments")
 
 

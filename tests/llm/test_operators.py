@@ -184,6 +184,22 @@ def test_shards_fit(spark, limit):
             assert sum(b for t, b in sums.items() if t.startswith(s[:-1])) > limit
 
 
+def test_every_quality_rule_alone(spark):
+    """A text that one rule of the method fails and all others pass, for each of them."""
+    from gradelake.llm.quality_rules import METHOD_RULES, quality_rules
+
+    rng = random.Random(5)
+    words = lambda n, k=6: ["".join(rng.choice("bcdfghjklm") for _ in range(k)) for _ in range(n)]
+    good = [x for w in words(60) for x in (w, rng.choice(["the", "of", "and"]))]
+    given = {
+        "": " ".join(good), "word_length": " ".join([*words(80, 40), *["the", "of", "and"] * 3]), "symbols": " ".join(w + "#" for w in words(60)) + " the of and to",
+        "exclamations": " ".join(w + "!" for w in words(60)) + " the of and to", "stop_words": " ".join(words(80)), "duplicate_lines": "\n".join(["head of it"] * 9 + [" ".join(good)]),
+    }
+    rows = quality_rules(spark.createDataFrame(list(given.items()), "rule string, text string")).collect()
+    assert {r.rule: r.quality.failed for r in rows} == {k: [k] if k else [] for k in given}
+    assert set(given) == {"", *(r.name for r in METHOD_RULES)} and not any(r.quality.base_failed for r in rows)
+
+
 def test_license(spark, texts):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     for r in op5_license_scan(spark, SF).collect():

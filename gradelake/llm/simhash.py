@@ -34,6 +34,8 @@ BITS, DISTANCE = 64, 3
 #: Fingerprints in an upper node, about, and those beyond which it is factored again.
 NODE_ROWS, LARGE = 2_000, 30_000
 FANOUT = 8
+#: Rows of nodes for a task, about.
+TASK_ROWS = 50_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -180,8 +182,8 @@ def _nodes(df: DataFrame, choices: list[tuple[int, int]]) -> DataFrame:
     return df.select(F.explode(keys).alias("node"), "fp")
 
 
-def _searched(nodes: DataFrame) -> DataFrame:
-    """Spanning forests (a, b) of all nodes, each inside one task; the rows of a node stream in sorted order."""
+def _searched(nodes: DataFrame, parts: int) -> DataFrame:
+    """Spanning forests (a, b) of all nodes, dealt to so many tasks, each node inside one; the rows of a node stream in sorted order."""
 
     def each(batches):
         keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -209,26 +211,29 @@ def _searched(nodes: DataFrame) -> DataFrame:
             if batch is None:
                 return
 
-    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(each, "a bigint, b bigint")
+    # A stated number of partitions: the rows are few bytes but much work, so they must not be put together by size.
+    return nodes.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(each, "a bigint, b bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b) pairs of fingerprints whose components are those of all links among the distinct fingerprints fp, read more than once."""
-    choices = list(enumerate(_top_masks(distinct.count())))
+    n = distinct.count()
+    choices = list(enumerate(_top_masks(n)))
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(choices) // TASK_ROWS)
     out, rows = None, distinct
     while True:
         nodes = _nodes(rows, choices)
         last = choices[0][1].bit_count() >= BITS - 15
         large = None if last else staged(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("node"), "large")
         if last or large.isEmpty():
-            found = _searched(nodes)
+            found = _searched(nodes, parts)
             return found if out is None else out.union(found)
-        found = _searched(nodes.join(F.broadcast(large) if large.count() <= MOST_SENT else large, "node", "left_anti"))
+        found = _searched(nodes.join(F.broadcast(large) if large.count() <= MOST_SENT else large, "node", "left_anti"), parts)
         out = found if out is None else out.union(found)
         # The rows of a large node, and the mask that made it, give its smaller nodes. A mask can come up twice by two ways; that costs time only.
-        parts = [rows.select(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("node"), "fp") for k, m in choices]
-        mine = parts[0]
-        for x in parts[1:]:
+        sides = [rows.select(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("node"), "fp") for k, m in choices]
+        mine = sides[0]
+        for x in sides[1:]:
             mine = mine.union(x)
         mine = mine.join(F.broadcast(large) if large.count() <= MOST_SENT else large, "node", "left_semi")
         used = [r.k for r in mine.select("k").distinct().collect()]  # as many as masks at most

@@ -115,8 +115,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are looked up once and returned as often as they stand. Empty tables give no rows, or no hits.
     """
     table = windows(benchmark.select("item_id", "text"), window)
-    # (window + 1) div 2 blocks and one window for each gram at most.
-    small = table.count() * ((window + 1) // 2 + 1) <= most_hashes
+    # (window + 1) div 2 blocks and one window for each gram at most, and the ids that are sent with them.
+    size = table.agg(F.count(F.lit(1)).alias("grams"), F.sum(F.size("items")).alias("ids")).first()
+    small = size["grams"] * ((window + 1) // 2 + 1) + (size["ids"] or 0) <= most_hashes
     table = staged(table.coalesce(8) if small else table, "windows")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     rows = (_hits if small else _joined_hits)(rows, table)

@@ -872,6 +872,106 @@ def sentinel_refresh(spark, d):
     return ops.refreshed(cached, fresh, F.col("o_orderkey") % 100 == 0, ["o_orderkey"], ["status"])
 
 
+# -- scans of small files made from the tables --------------------------------------------------------
+
+
+def _write_text(spark, path: str, text: str) -> None:
+    """A small file, through the file system that Spark uses."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _scenario_files(spark, d) -> str:
+    """A folder of experiments, one for each region, and scenarios, one for each nation; 30 small files at any scale."""
+    root = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
+    regions = {r["r_regionkey"]: r["r_name"] for r in table(spark, d, "region").collect()}
+    nations = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    for key, name in regions.items():
+        evals = "\n".join(f"  - ../../scenarios/{r['n_name'].replace(' ', '_')}/eval.yaml" for r in nations if r["n_regionkey"] == key)
+        _write_text(spark, f"{root}/experiments/{key}/experiment.yaml", f"name: {name}\nevals:\n{evals}\nvary:\n  - model\n")
+    for r in nations:
+        service = "" if r["n_nationkey"] % 6 == 0 else f"      service: s.{r['n_nationkey'] % 3}\n"
+        text = f"name: {r['n_name'].replace(' ', '_')}\nstimuli:\n  - name: a\n    tags:\n{service}      language: '{r['n_regionkey']}'\n    graders: []\n"
+        _write_text(spark, f"{root}/scenarios/{r['n_name'].replace(' ', '_')}/eval.yaml", text)
+    return root
+
+
+@query(
+    """SELECT CAST(n_regionkey AS VARCHAR) AS language, 'scenarios/' || replace(n_name, ' ', '_') || '/eval.yaml' AS repo_path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS place,
+        CASE WHEN n_nationkey % 6 <> 0 THEN 's.' || (n_nationkey % 3) END AS service FROM nation"""
+)
+def scanned_catalog(spark, d):
+    keys = sorted(r[0] for r in table(spark, d, "region").select("r_regionkey").collect())
+    entries = files.catalog(spark, _scenario_files(spark, d), [(str(k), f"experiments/{k}/experiment.yaml") for k in keys])
+    return entries.select("language", "repo_path", F.col("ord.n").cast("long").alias("place"), F.try_element_at(F.col("tag_sets")[0], F.lit("service")).alias("service"))
+
+
+@query("SELECT replace(n_name, ' ', '_') AS eval_name, 's.' || (n_nationkey % 3) AS service FROM nation WHERE n_nationkey % 6 <> 0")
+def scanned_services(spark, d):
+    return files.eval_services(spark, _scenario_files(spark, d))
+
+
+@query("SELECT row_number() OVER (ORDER BY replace(n_name, ' ', '_')) AS place, replace(n_name, ' ', '_') AS scenario FROM nation WHERE n_nationkey % 6 <> 0 AND n_nationkey % 3 = 1")
+def scanned_scenarios(spark, d):
+    found = files.scenario_directories(spark, f"{_scenario_files(spark, d)}/scenarios", service="s.1")
+    # A folder for each scenario: few rows are numbered in order.
+    return found.select(F.row_number().over(Window.orderBy(F.expr("scenario COLLATE UNICODE"))).cast("long").alias("place"), "scenario")
+
+
+def _listing(spark, d):
+    number = F.col("page_id")
+    folder = F.when(number % 10 == 0, "node_modules/").when(number % 10 == 1, "skill/").otherwise("src/")
+    name = F.when(number % 10 == 2, "node_modules.py").otherwise("a.py")
+    paths = table(spark, d, "pages").select(F.concat(F.lit("golden/app"), (number % 7).cast("string"), F.lit("/"), folder, number.cast("string"), F.lit("/"), name).alias("path"))
+    return paths.union(spark.createDataFrame([("golden/app3/skill/SKILL.md",)], "path string"))
+
+
+@query(
+    """SELECT 'golden/app' || (page_id % 7) || '/' || CASE WHEN page_id % 10 = 1 THEN 'skill/' ELSE 'src/' END || page_id || CASE WHEN page_id % 10 = 2 THEN '/node_modules.py' ELSE '/a.py' END AS path
+    FROM pages WHERE page_id % 10 <> 0 AND NOT (page_id % 10 = 1 AND page_id % 7 = 3)"""
+)
+def pruned_walk(spark, d):
+    return files.pruned(_listing(spark, d), ["node_modules", ".git"], "SKILL.md")
+
+
+@query("SELECT CASE WHEN page_id % 10 = 0 THEN 'node_modules/' WHEN page_id % 10 = 1 THEN 'skill/' ELSE 'src/' END || page_id || CASE WHEN page_id % 10 = 2 THEN '/node_modules.py' ELSE '/a.py' END AS name FROM pages WHERE page_id % 7 = 2")
+def listing_under(spark, d):
+    return files.under(_listing(spark, d), "golden/app2/").select("name")
+
+
+@query(
+    f"""WITH {_ORACLES}, g AS (SELECT language, count(*) AS scenarios, CAST(sum(k % 6) AS BIGINT) AS pp, 4 * count(*) AS pt, CAST(sum(k % 2) AS BIGINT) AS cp, count(*) AS ct, count(*) FILTER (status = 'error') AS errors FROM ok GROUP BY language)
+    SELECT row_number() OVER (ORDER BY language) AS place, '| ' || language || ' | ' || scenarios || ' | ' || {_rate('pp', 'pt')} || ' | ' || {_rate('cp', 'ct')} || ' | ' || ct || '/' || ct || ' (100.0%) | ' || errors || ' |' AS line FROM g"""
+)
+def oracle_report_lines(spark, d):
+    """The rows written as JSON lines, read again, summed up and reported: the report's lines of languages."""
+    path = f"{shared_dir(spark)}/oracle-{uuid.uuid4().hex}"
+    rows = oracle.validate(_oracle_rows(spark, d)).where("size(errors) = 0").select(F.from_json(F.to_json("row"), files.ORACLE_SCHEMA).alias("r")).select("r.*")
+    files.write_oracle_rows(rows, path)
+    back = files.oracle_lines(spark, path, "*.json")
+    text, _ = report.oracle_report(oracle.summarize(back, 0), 0)
+    lines = text.split("|---|---:|---:|---:|---:|---:|\n")[1].split("\n\n")[0].split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place bigint, line string")
+
+
+@query("SELECT max(o_orderkey) AS token FROM (SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50)")
+def next_page_token(spark, d):
+    page = ops.keyset_page(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 50, 500)
+    return spark.createDataFrame([(ops.next_token(page, "o_orderkey"),)], "token bigint")
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(p_type || ' x ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM part),
+    n AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS same FROM w)
+    SELECT p_partkey, CASE WHEN same = 0 THEN 0 ELSE round(2.0 * same / (len(a) + len(b)), 6) END AS f1 FROM n"""
+)
+def token_overlap(spark, d):
+    f1 = ops.token_f1(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" x ", "p_type", "p_brand"))
+    return table(spark, d, "part").select("p_partkey", F.round(f1, 6).alias("f1"))
+
+
 # -- streams and queues -------------------------------------------------------------------------------
 
 

@@ -28,10 +28,15 @@ def global_rank(df: DataFrame, key: str) -> DataFrame:
     """Add ``rank`` from 0 in the order of a unique key, without bringing all rows to one task.
 
     Quantiles cut the key into RANK_PARTS ranges; ranks inside a range are shifted by the counts of the ranges
-    before it. The cuts are fixed numbers, so a task that runs again deals its rows alike; how even they are
-    affects only speed. A key that isn't a number makes one range.
+    before it. The cuts are fixed values, so a task that runs again deals its rows alike; how even they are
+    affects only speed. Keys that aren't numbers are cut at values of some keys, chosen by hash.
     """
-    edges = df.stat.approxQuantile(key, [k / RANK_PARTS for k in range(1, RANK_PARTS)], 1 / RANK_PARTS / 4) if dict(df.dtypes)[key] in ("int", "bigint", "double") else []
+    if dict(df.dtypes)[key] in ("int", "bigint", "double"):
+        edges = df.stat.approxQuantile(key, [k / RANK_PARTS for k in range(1, RANK_PARTS)], 1 / RANK_PARTS / 4)
+    else:
+        one_of = max(1, df.count() // (100 * RANK_PARTS))
+        some = [r[0] for r in df.select(key).where(F.pmod(F.xxhash64(key), F.lit(one_of)) == 0).where(F.col(key).isNotNull()).orderBy(key).collect()]  # about 100 for each range
+        edges = some[100::100]
     part = F.lit(0)
     for e in sorted(set(edges)):
         part = part + (F.col(key) >= e).cast("int")

@@ -21,6 +21,9 @@ def test_chunks(spark):
     assert all(r.chunk == r.id // 256 for r in rows)
     named = ops.global_rank(spark.createDataFrame([("b",), ("a",)], "k string"), "k").collect()
     assert {(r.k, r["rank"]) for r in named} == {("a", 0), ("b", 1)}
+    keys = sorted(f"k{i * 7919 % 20011}" for i in range(20_000))
+    ranked = ops.global_rank(spark.createDataFrame([(k,) for k in keys], "k string"), "k").collect()
+    assert {r.k: r["rank"] for r in ranked} == {k: i for i, k in enumerate(keys)}
 
 
 def test_batches(spark):

@@ -39,7 +39,7 @@ def global_rank(df: DataFrame, key: str) -> DataFrame:
         edges = some[100::100]
     part = F.lit(0)
     for e in sorted(set(edges)):
-        part = part + (F.col(key) >= e).cast("int")
+        part = part + F.coalesce((F.col(key) >= e).cast("int"), F.lit(0))  # a null stands first
     parts = df.withColumn("_p", part)
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # A row per range, RANK_PARTS at most.

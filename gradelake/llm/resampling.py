@@ -41,8 +41,9 @@ WITH lists AS MATERIALIZED (SELECT doc, piece, {_WORDS % "body"} AS own, {_WORDS
 words AS (SELECT doc, piece, len(own) AS n, unnest(own || more) AS w, generate_subscripts(own || more, 1) AS i FROM lists),
 runs AS (SELECT doc, n, i, w, lead(w) OVER following AS w2, lead(w, 2) OVER following AS w3 FROM words WINDOW following AS (PARTITION BY doc, piece ORDER BY i))
 SELECT doc, bucket(w) AS b1, bucket(w || ' ' || w2) AS b2, bucket(w || ' ' || w2 || ' ' || w3) AS b3 FROM runs WHERE i <= n"""
-_SPACE = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]")
-_NEXT = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+# Texts are cut as they are, with capitals.
+_SPACE = re.compile("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
+_NEXT = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def _buckets(strings: pa.Array) -> pa.Array:

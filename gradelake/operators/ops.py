@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelake.sources.staging import written
 
-#: Ranges that ranks are counted in.
-RANK_PARTS = 64
+#: Rows that one range of an order holds, about; the number of ranges follows the number of rows.
+RANGE = 1 << 20
 
 
 def keyset_page(df: DataFrame, key: str, size: int, after=None) -> DataFrame:
@@ -24,28 +25,37 @@ def next_token(page: DataFrame, key: str):
     return page.agg(F.max(key)).first()[0]
 
 
-def global_rank(df: DataFrame, key: str) -> DataFrame:
-    """Add ``rank`` from 0 in the order of a unique key, without bringing all rows to one task.
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows, written, with ``_part`` and ``_place``: ranges of the order in ascending number, and places from 0 inside them.
 
-    Quantiles cut the key into RANK_PARTS ranges; ranks inside a range are shifted by the counts of the ranges
-    before it. The cuts are fixed values, so a task that runs again deals its rows alike; how even they are
-    affects only speed. Keys that aren't numbers are cut at values of some keys, chosen by hash.
+    Spark's range partitioning cuts the order at values of a sample, which decides only how even the ranges are. They
+    are as many as the rows need, and at least as many as a shuffle has tasks.
     """
-    if dict(df.dtypes)[key] in ("int", "bigint", "double"):
-        edges = df.stat.approxQuantile(key, [k / RANK_PARTS for k in range(1, RANK_PARTS)], 1 / RANK_PARTS / 4)
-    else:
-        one_of = max(1, df.count() // (100 * RANK_PARTS))
-        some = [r[0] for r in df.select(key).where(F.pmod(F.xxhash64(key), F.lit(one_of)) == 0).where(F.col(key).isNotNull()).orderBy(key).collect()]  # about 100 for each range
-        edges = some[100::100]
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + F.coalesce((F.col(key) >= e).cast("int"), F.lit(0))  # a null stands first
-    parts = df.withColumn("_p", part)
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    # A row per range, RANK_PARTS at most.
-    before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    ranked = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    return ranked.join(F.broadcast(before), "_p").withColumn("rank", F.col("_b") + F.col("_k")).drop("_p", "_b", "_k")
+    n = df.count()
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return written(dealt.withColumn("_part", part).withColumn("_place", place).drop("_id"), "ranges")
+
+
+def _shifts(ranged: DataFrame, amount: Column, name: str) -> DataFrame:
+    """(_part, name): what the ranges before each sum up to; a row for each range."""
+    per = ranged.groupBy("_part").agg(amount.alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.broadcast(per.select("_part", before.alias(name)))
+
+
+def global_rank(df: DataFrame, key: str) -> DataFrame:
+    """Add ``rank`` from 0 in the order of a unique key, nulls first, without bringing all rows to one task."""
+    ranged = in_ranges(df, key)
+    return ranged.join(_shifts(ranged, F.count(F.lit(1)), "_b"), "_part").withColumn("rank", F.col("_b") + F.col("_place")).drop("_part", "_place", "_b")
+
+
+def running_total(df: DataFrame, key: str, amount: str) -> DataFrame:
+    """Add ``total``, the sum of ``amount`` up to and with each row in the order of a unique key."""
+    ranged = in_ranges(df, key)
+    inside = F.sum(amount).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(_shifts(ranged, F.sum(amount), "_b"), "_part").withColumn("total", F.col("_b") + inside).drop("_part", "_place", "_b")
 
 
 def chunks(df: DataFrame, key: str, size: int = 256) -> DataFrame:

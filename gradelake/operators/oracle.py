@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.operators.gradetree import nodes, oracle_leaves
+from gradelake.operators.ops import running_total
+from gradelake.sources.files import BLANK
+from gradelake.sources.jsontext import text_of
 
 CATEGORIES = (("prompt", "prompt"), ("language", "languageChecks"), ("program", "program"))
 
@@ -34,74 +37,87 @@ def classify(outcomes: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("error").isNotNull(), "error").when(failed, "failed").otherwise("passed").alias("status"), "error", *(c for _, c in CATEGORIES))
 
 
-def _kind(path: str) -> tuple[Column, Column]:
-    raw = F.try_variant_get("row", path, "variant")
-    return raw, F.coalesce(F.schema_of_variant(raw), F.lit("ABSENT"))
-
-
-def _text_ok(path: str) -> Column:
-    raw, kind = _kind(path)
-    return (kind == "STRING") & (F.trim(F.coalesce(F.try_variant_get("row", path, "string"), F.lit(""))) != "")
-
-
-def _category_errors(name: str) -> list[Column]:
-    label = F.concat("label", F.lit(f".{name}"))
-    _, kind = _kind(f"$.{name}")
-    is_object = kind.like("OBJECT<%") | kind.like("ARRAY<%")
-    out = [F.when(~is_object, F.concat(label, F.lit(" must be an object")))]
-    whole = {}
-    for field in ("passed", "total"):
-        number = F.try_variant_get("row", f"$.{name}.{field}", "double")
-        _, k = _kind(f"$.{name}.{field}")
-        whole[field] = F.coalesce(k.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.floor(number)), F.lit(False)), number
-        good = whole[field][0] & (number >= 0)
-        out.append(F.when(is_object & ~F.coalesce(good, F.lit(False)), F.concat(label, F.lit(f".{field} must be a non-negative integer"))))
-    over = whole["passed"][0] & whole["total"][0] & (whole["passed"][1] > whole["total"][1])
-    out.append(F.when(is_object & F.coalesce(over, F.lit(False)), F.concat(label, F.lit(".passed cannot exceed "), label, F.lit(".total"))))
-    raw, listed = _kind(f"$.{name}.failures")
-    out.append(F.when(is_object & ~listed.like("ARRAY<%"), F.concat(label, F.lit(".failures must be an array"))))
-    return out
-
-
-def _failure_errors(name: str) -> Column:
-    """Messages of the failures that aren't (name, evidence) texts."""
-    label = F.concat("label", F.lit(f".{name}"))
-    items = F.when(_kind(f"$.{name}.failures")[1].like("ARRAY<%"), F.try_variant_get("row", f"$.{name}.failures", "array<variant>"))
-
-    def bad(x: Column) -> Column:
-        ok = F.coalesce(F.schema_of_variant(F.try_variant_get(x, "$.name", "variant")) == "STRING", F.lit(False)) & (F.trim(F.coalesce(F.try_variant_get(x, "$.name", "string"), F.lit(""))) != "")
-        return ~(ok & F.coalesce(F.schema_of_variant(F.try_variant_get(x, "$.evidence", "variant")) == "STRING", F.lit(False)))
-
-    said = F.transform(items, lambda x, i: F.when(bad(x), F.concat(label, F.lit(".failures["), i.cast("string"), F.lit("] is invalid"))))
-    return F.coalesce(F.array_compact(said), F.expr("cast(array() as array<string>)"))
+def _filled(text: Column) -> Column:
+    return F.coalesce(text.rlike(f"[^{BLANK}]"), F.lit(False))
+
+
+def _fields(rows: DataFrame) -> DataFrame:
+    """Add the parts of ``row`` that rules look at, each taken from VARIANT once, as columns that begin with an underscore."""
+    get = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
+    holder = lambda v: get(v, "$", "map<string,variant>").isNotNull() | get(v, "$", "array<variant>").isNotNull()
+    names = [n for _, n in CATEGORIES]
+    out = rows.select("*", holder("row").alias("_is_object"), *(get("row", f"$.{k}").alias(f"_{k}") for k in ("scenario", "language", "status", "error", *names)))
+    texts = [(F.when(kind(F.col(f"_{k}")) == "STRING", get(f"_{k}", "$", "string"))).alias(f"_{k}") for k in ("scenario", "language", "status")]
+    error = [F.when(kind(F.col("_error")) == "STRING", get("_error", "$", "string")).alias("_error"), (kind(F.col("_error")) == "VOID").alias("_no_error")]
+    parts = [x for n in names for x in (holder(f"_{n}").alias(f"_{n}"), get(f"_{n}", "$.passed").alias(f"_{n}_passed"), get(f"_{n}", "$.total").alias(f"_{n}_total"), get(f"_{n}", "$.failures", "array<variant>").alias(f"_{n}_failures"))]
+    out = out.select(*rows.columns, "_is_object", *texts, *error, *parts)
+
+    def whole(c: str) -> Column:
+        """The number if it is a whole one that isn't negative, else null."""
+        x = get(c, "$", "double")
+        return F.when(kind(F.col(c)).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (x == F.floor(x)), x)
+
+    numbers = [whole(f"_{n}_{x}").alias(f"_{n}_{x}") for n in names for x in ("passed", "total")]
+    rest = [c for c in out.columns if not c.endswith(("_passed", "_total"))]
+    return out.select(*rest, *numbers)
+
+
+def _bad_failure(x: Column) -> Column:
+    return ~(_filled(text_of(x, "$.name")) & text_of(x, "$.evidence").isNotNull())
+
+
+def _category_rules(name: str) -> list[tuple[Column, Column]]:
+    """(test, message) of a category, without the failures one by one."""
+    label, there = F.concat("label", F.lit(f".{name}")), F.col(f"_{name}")
+    passed, total = F.col(f"_{name}_passed"), F.col(f"_{name}_total")
+    wrong = lambda x: there & ~F.coalesce(x >= 0, F.lit(False))
+    whole = lambda field: F.concat(label, F.lit(f".{field} must be a non-negative integer"))
+    return [
+        (~there, F.concat(label, F.lit(" must be an object"))),
+        (wrong(passed), whole("passed")),
+        (wrong(total), whole("total")),
+        (there & F.coalesce(passed > total, F.lit(False)), F.concat(label, F.lit(".passed cannot exceed "), label, F.lit(".total"))),
+        (there & F.col(f"_{name}_failures").isNull(), F.concat(label, F.lit(".failures must be an array"))),
+    ]
 
 
 def validate(rows: DataFrame) -> DataFrame:
-    """Add n (from 1, in ``ord``) and errors, all messages of a row's rules in order, to (ord, row VARIANT)."""
-    # Numbers over the whole table: counts per file are summed first, so that no task orders all rows.
-    per = rows.groupBy("ord.path").agg(F.count(F.lit(1)).alias("c"))
-    before = per.withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "b")
-    rows = rows.withColumn("path", F.col("ord.path")).join(before, "path").withColumn("n", F.col("b") + F.col("ord.line")).drop("path", "b")
-    rows = rows.withColumn("label", F.format_string("Result %d", "n"))
-    _, kind = F.lit(None), F.coalesce(F.schema_of_variant("row"), F.lit("VOID"))
-    is_object = kind.like("OBJECT<%") | kind.like("ARRAY<%")
-    status = F.coalesce(F.when(_kind("$.status")[1] == "STRING", F.try_variant_get("row", "$.status", "string")), F.lit(""))
-    say = lambda c, text: F.when(c, F.concat("label", F.lit(text)))
-    count = lambda k: F.try_variant_get("row", f"$.{k}", "double")
-    conflict = (status == "passed") & F.exists(F.array(*(F.coalesce((count(f"{k}.total") == 0), F.lit(False)) | ~count(f"{k}.passed").eqNullSafe(count(f"{k}.total")) for k in ("prompt", "program"))), lambda x: x)
+    """Add n (from 1, in ``ord``) and errors, all messages of a row's rules in order, to (ord, row VARIANT).
+
+    Fields are taken from VARIANT in one projection; messages are made only for rows that break a rule.
+    """
+    # Numbers over the whole table: the rows of the files before a file are summed first, so that no task orders all rows.
+    before = running_total(rows.groupBy(F.col("ord.path").alias("path")).agg(F.count(F.lit(1)).alias("c")), "path", "c").select("path", (F.col("total") - F.col("c")).alias("b"))
+    keep = rows.columns
+    rows = rows.withColumn("path", F.col("ord.path")).join(before, "path").withColumn("n", F.col("b") + F.col("ord.line")).select(*keep, "n")
+    rows = _fields(rows)
+    status = F.coalesce("_status", F.lit(""))
+    unequal = lambda k: F.coalesce(F.col(f"_{k}_total") == 0, F.lit(False)) | ~F.col(f"_{k}_passed").eqNullSafe(F.col(f"_{k}_total"))
+    say = lambda text: F.concat("label", F.lit(text))
     head = [
-        say(~_text_ok("$.scenario"), " has an invalid scenario"),
-        say(~_text_ok("$.language"), " has an invalid language"),
-        say(~status.isin("passed", "failed", "error"), " has an invalid status"),
-        say((status == "error") & ~_text_ok("$.error"), " error status requires an error message"),
-        say((status != "error") & (_kind("$.error")[1] != "VOID"), " non-error status must have error: null"),
+        (~_filled(F.col("_scenario")), say(" has an invalid scenario")),
+        (~_filled(F.col("_language")), say(" has an invalid language")),
+        (~status.isin("passed", "failed", "error"), say(" has an invalid status")),
+        ((status == "error") & ~_filled(F.col("_error")), say(" error status requires an error message")),
+        ((status != "error") & ~F.col("_no_error"), say(" non-error status must have error: null")),
     ]
-    parts = [F.array_compact(F.array(*head))]
-    for _, name in CATEGORIES:
-        parts += [F.array_compact(F.array(*_category_errors(name))), _failure_errors(name)]
-    parts.append(F.array_compact(F.array(say(conflict, " passed status conflicts with check totals"))))
-    whole = F.array(F.concat("label", F.lit(" must be an object")))
-    return rows.withColumn("errors", F.when(is_object, F.concat(*parts)).otherwise(whole)).drop("label")
+    tail = [((status == "passed") & (unequal("prompt") | unequal("program")), say(" passed status conflicts with check totals"))]
+    groups = [head, *(_category_rules(n) for _, n in CATEGORIES), tail]
+    tests = [t for g in groups for t, _ in g] + [F.coalesce(F.exists(f"_{n}_failures", _bad_failure), F.lit(False)) for _, n in CATEGORIES]
+    broken = tests[0]
+    for t in tests[1:]:
+        broken = broken | t
+    rows = rows.withColumn("_broken", broken).withColumn("label", F.when(F.col("_broken") | ~F.col("_is_object"), F.format_string("Result %d", "n")))
+    parts = []
+    for k, g in enumerate(groups):
+        parts.append(F.array_compact(F.array(*(F.when(t, m) for t, m in g))))
+        if 1 <= k <= len(CATEGORIES):
+            name = CATEGORIES[k - 1][1]
+            item = lambda x, i: F.when(_bad_failure(x), F.concat("label", F.lit(f".{name}.failures["), i.cast("string"), F.lit("] is invalid")))  # noqa: E731, B023
+            parts.append(F.coalesce(F.array_compact(F.transform(f"_{name}_failures", item)), F.expr("cast(array() as array<string>)")))
+    errors = F.when(~F.col("_is_object"), F.array(F.concat("label", F.lit(" must be an object")))).when(F.col("_broken"), F.concat(*parts)).otherwise(F.expr("cast(array() as array<string>)"))
+    return rows.select(*keep, "n", errors.alias("errors"))
 
 
 @dataclass

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.scalars import first_group, normalize_path, unquote
-from gradelake.sources.jsontext import errors, printable, strict_json, walk, written_json  # noqa: F401
+from gradelake.sources.jsontext import errors, is_object, is_true, parsed, printable, strict_json, strict_variant, text_of, truthy, walk, with_levels, written_json
+from gradelake.sources.staging import written
 
 _TRIAL = (
     "message string, eval_name string, variant string, status string, service string, "
@@ -32,35 +33,29 @@ def _under(spark: SparkSession, name: str):
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
 
 
+#: What counts as blank in a line, the white space and line ends of the language that wrote the files.
+BLANK = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Splits of files whose counts are sent to all executors at most; beyond, lines are shuffled to them.
+MOST_SPLITS = 200_000
+
+
 def numbered_lines(spark: SparkSession, root: str, name: str = "*", physical: bool = False) -> DataFrame:
     """(path, line, text) of the lines that aren't blank, of files of any size; numbers count all lines if physical, else only those.
 
-    Files are read in splits. Lines are counted inside their split as they stream by; the splits before it in the
-    same file then shift them, so no task sees a whole file.
+    Files are read in splits. A split's lines stand together in one task in their order, so their numbers in that
+    task, less the first, are places in the split; the lines of the splits before it in the same file, which are
+    counted first and written, then shift them. No task sees a whole file, and lines aren't shuffled.
     """
     raw = _under(spark, name).text(root, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-
-    def each(batches):
-        now, counted = None, 0
-        for batch in batches:
-            kept, numbers, texts = [], [], []
-            for i, (path, at, value) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "at", "value")))):
-                if (path, at) != now:
-                    now, counted = (path, at), 0
-                filled = bool(value.strip())
-                counted += filled or physical
-                if filled:
-                    kept.append(i)
-                    numbers.append(counted)
-                    texts.append(value.removesuffix("\r"))
-            at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("path").take(at), batch.column("at").take(at), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["path", "at", "k", "text"])
-
-    lines = raw.mapInArrow(each, "path string, at bigint, k bigint, text string")
-    count = F.count(F.lit(1)) if physical else F.count_if(F.length(F.trim(F.regexp_replace("value", r"(?U)\s", ""))) > 0)
-    sizes = raw.groupBy("path", "at").agg(count.alias("n"))
-    before = sizes.select("path", "at", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return lines.join(before, ["path", "at"]).select("path", (F.col("before") + F.col("k")).alias("line"), "text")
+    filled = F.col("value").rlike(f"[^{BLANK}]")
+    lines = (raw if physical else raw.where(filled)).withColumn("k", F.monotonically_increasing_id())
+    sizes = written(lines.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")), "splits")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("path", "at", (before - F.col("first") + 1).alias("shift"))
+    if sizes.count() <= MOST_SPLITS:
+        shift = F.broadcast(shift)
+    text = F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    return lines.where(filled).join(shift, ["path", "at"]).select("path", (F.col("shift") + F.col("k")).alias("line"), text.alias("text"))
 
 
 def manifests(spark: SparkSession, root: str, name: str = "evaluation-shard.json") -> DataFrame:
@@ -87,18 +82,18 @@ def _criteria(nodes: list[tuple[dict, int, int]]) -> list[dict]:
         if isinstance(found, list) and (first is None or depth < first[0]):
             first = depth, found
     name = lambda c: printable(c["name"]) if isinstance(c, dict) and isinstance(c.get("name"), str) else None
-    return [{"name": name(c), "passed": isinstance(c, dict) and bool(c.get("passed"))} for c in (first[1] if first else ())]
+    return [{"name": name(c), "passed": isinstance(c, dict) and is_true(c.get("passed"))} for c in (first[1] if first else ())]
 
 
 def _programs(nodes: list[tuple[dict, int, int]]) -> list[dict]:
     """Command nodes, breadth first."""
     bad = errors(nodes)
     found = sorted((depth, k) for k, (node, depth, _) in enumerate(nodes) if node.get("graderType") == "run-command")
-    return [{"name": _text(nodes[k][0], "name"), "passed": bool(nodes[k][0].get("passed")), "error": bad[k]} for _, k in found]
+    return [{"name": _text(nodes[k][0], "name"), "passed": is_true(nodes[k][0].get("passed")), "error": bad[k]} for _, k in found]
 
 
 def parsed_trial(text: str) -> dict:
-    """A line of trial results; message is null unless it is malformed. Python and JavaScript agree on the truth of all values but empty lists and maps, which graders don't give."""
+    """A line of trial results; message is null unless it is malformed."""
     try:
         row = strict_json(text)
         if not isinstance(row, dict):
@@ -110,46 +105,75 @@ def parsed_trial(text: str) -> dict:
     return {"message": None, "eval_name": _text(row, "evalName"), "variant": _text(row, "variant"), "status": _text(row, "status"), "service": printable(service) if isinstance(service, str) and service else None, "criteria": _criteria(nodes), "programs": _programs(nodes)}
 
 
+#: Levels of grading trees that trials are read to by Spark; trees with more go to the parser.
+LEVELS = 8
+
+
+def _read_trial(lines: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """keep, the fields of parsed_trial, and ``_text``, the line where Spark's own expressions don't give them: then they are null.
+
+    Those are lines that VARIANT doesn't take as the standard does, with trees of more levels, or without one of the usual texts.
+    """
+    rows = lines.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text"), strict_variant(F.coalesce(text_col, F.lit(""))).alias("_row"))
+    rows = with_levels(rows.withColumn("_tree", F.try_variant_get("_row", "$.gradeResult", "variant")), "_tree", LEVELS)
+    get = lambda x, k: F.try_variant_get(x, f"$.{k}", "variant")
+    texts = {k: text_of(F.col("_row"), f"$.{f}") for k, f in (("eval_name", "evalName"), ("variant", "variant"), ("status", "status"))}
+    service = text_of(F.col("_row"), "$.service")
+    listed = F.filter("_nodes", lambda s: F.try_variant_get(s["node"], "$.metadata.criteria", "array<variant>").isNotNull())
+    first = F.try_variant_get(F.try_element_at(listed, F.lit(1))["node"], "$.metadata.criteria", "array<variant>")
+    criteria = F.transform(first, lambda c: F.struct(text_of(c, "$.name").alias("name"), truthy(get(c, "passed")).alias("passed")))
+    failed = lambda n: F.coalesce(F.try_variant_get(n, "$.status", "string") == "error", F.lit(False))
+    bad = F.transform(F.filter("_nodes", lambda s: failed(s["node"])), lambda s: s["path"])
+    commands = F.filter("_nodes", lambda s: F.coalesce(F.try_variant_get(s["node"], "$.graderType", "string") == "run-command", F.lit(False)))
+    rows = rows.withColumn("_bad", bad).withColumn("_commands", commands)
+    inside = lambda s: F.exists("_bad", lambda p: F.slice(p, 1, F.size(s["path"])) == s["path"])
+    programs = F.transform("_commands", lambda s: F.struct(text_of(s["node"], "$.name").alias("name"), truthy(get(s["node"], "passed")).alias("passed"), inside(s).alias("error")))
+    rows = rows.select(*keep, "_text", "_row", "_below", *(v.alias(k) for k, v in texts.items()), F.when(service != "", service).alias("service"), criteria.alias("criteria"), programs.alias("programs"))
+    plain = is_object(F.col("_row")) & F.col("eval_name").isNotNull() & F.col("variant").isNotNull() & F.col("status").isNotNull() & (F.size("_below") == 0) & ~F.exists("programs", lambda p: p["name"].isNull())
+    rows = rows.withColumn("_plain", F.coalesce(plain, F.lit(False)))
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    fields = {k: F.col(k) for k in (*texts, "service")}
+    fields |= {"criteria": F.coalesce("criteria", none("array<struct<name:string,passed:boolean>>")), "programs": F.coalesce("programs", none("array<struct<name:string,passed:boolean,error:boolean>>"))}
+    return rows.select(*keep, F.lit(None).cast("string").alias("message"), *(F.when(F.col("_plain"), v).alias(k) for k, v in fields.items()), F.when(~F.col("_plain"), F.col("_text")).alias("_text"))
+
+
 def trials(lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """Parse lines of results: the other columns, then the fields of parsed_trial. One narrow pass walks trees of any depth."""
+    """Parse lines of results: the other columns, then the fields of parsed_trial.
+
+    One narrow pass of Spark's own expressions reads the lines, and is written; lines that it doesn't read (see
+    _read_trial) are read again by the parser, which gives the same fields for trees of any depth.
+    """
     keep = [c for c in lines.columns if c != text_col]
+    fields = ["message", "eval_name", "variant", "status", "service", "criteria", "programs"]
+    first = written(_read_trial(lines, keep, text_col), "lines")
+    plain, rest = first.where("_text is null").drop("_text"), first.where("_text is not null").select(*keep, "_text")
+    return plain if rest.isEmpty() else plain.union(_parsed_trials(rest, keep, fields))
+
+
+def _parsed_trials(lines: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in keep)
     kinds = {"criteria": pa.list_(pa.struct([("name", pa.string()), ("passed", pa.bool_())])), "programs": pa.list_(pa.struct([("name", pa.string()), ("passed", pa.bool_()), ("error", pa.bool_())]))}
-    fields = ["message", "eval_name", "variant", "status", "service", "criteria", "programs"]
 
     def each(batches):
         for batch in batches:
-            rows = [parsed_trial(x.as_py() or "") for x in batch.column(text_col)]
-            parsed = [pa.array([r.get(f) for r in rows], kinds.get(f, pa.string())) for f in fields]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *parsed], names=[*keep, *fields])
+            rows = [parsed_trial(x.as_py() or "") for x in batch.column("_text")]
+            found = [pa.array([r.get(f) for r in rows], kinds.get(f, pa.string())) for f in fields]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=[*keep, *fields])
 
-    return lines.select(*keep, text_col).mapInArrow(each, f"{schema}, {_TRIAL}" if schema else _TRIAL)
+    return lines.mapInArrow(each, f"{schema}, {_TRIAL}" if schema else _TRIAL)
 
 
 _CATEGORY = "struct<passed:bigint,total:bigint,failures:array<struct<name:string,evidence:string>>>"
 ORACLE_SCHEMA = f"scenario string, language string, status string, error string, prompt {_CATEGORY}, languageChecks {_CATEGORY}, program {_CATEGORY}"
 
 
-def _values(lines: DataFrame, error: str) -> DataFrame:
-    """(path, line, json) of strictly parsed lines, each as one JSON text without repeated keys; a malformed line is an error with its number."""
-
-    def each(batches):
-        for batch in batches:
-            out = []
-            for n, text in zip(batch.column("line").to_pylist(), batch.column("text").to_pylist()):
-                try:
-                    out.append(written_json(strict_json(text)))
-                except ValueError as e:
-                    raise ValueError(f"{error} {n}: {e}") from None
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("line"), pa.array(out, pa.string())], names=["path", "line", "json"])
-
-    return lines.select("path", "line", "text").mapInArrow(each, "path string, line bigint, json string")
-
-
 def oracle_lines(spark: SparkSession, root: str, name: str = "oracle-results.jsonl") -> DataFrame:
-    """(ord, row VARIANT) of each line in path and line order; a line that isn't strict JSON is an error. Of equal keys the last counts."""
-    rows = _values(numbered_lines(spark, root, name), "Malformed oracle result on line")
-    return rows.select(F.struct("path", "line").alias("ord"), F.parse_json("json").alias("row"))
+    """(ord, row VARIANT, whole) of each line in path and line order; a line that isn't strict JSON is an error. Of equal keys the last counts.
+
+    A value of any depth is read; whole is the JSON text of one that VARIANT can't hold (``jsontext.parsed``), else null.
+    """
+    rows = parsed(numbered_lines(spark, root, name), "text", "Malformed oracle result on line")
+    return rows.select(F.struct("path", "line").alias("ord"), "row", "whole")
 
 
 def write_oracle_rows(rows: DataFrame, path: str) -> None:
@@ -160,11 +184,10 @@ def write_oracle_rows(rows: DataFrame, path: str) -> None:
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """(line, id, query, ground_truth) of cases; missing fields and bad JSON are errors that name the physical line, as is a file without cases."""
     lines = numbered_lines(spark, path, physical=True)
-    v = F.parse_json("json")
-    get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    get = lambda k: F.try_variant_get("row", f"$.{k}", "string")
     bad = get("id").isNull() | get("query").isNull() | get("groundTruth").isNull()
     error = F.raise_error(F.format_string("Invalid evaluation case on line %d", "line")).cast("string")
-    out = _values(lines, "Invalid evaluation case on line").select("line", F.when(bad, error).otherwise(get("id")).alias("id"), get("query").alias("query"), get("groundTruth").alias("ground_truth"))
+    out = parsed(lines, "text", "Invalid evaluation case on line").select("line", F.when(bad, error).otherwise(get("id")).alias("id"), get("query").alias("query"), get("groundTruth").alias("ground_truth"))
     if lines.isEmpty():
         raise ValueError("The evaluation file has no cases.")
     return out

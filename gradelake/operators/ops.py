@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.sources.staging import written
 
-#: Rows that one range of an order holds, about; the number of ranges follows the number of rows.
-RANGE = 1 << 20
+#: Rows that one range of an order holds at most, about, and those that are worth a range of their own; the number of ranges follows the number of rows.
+RANGE, SMALL_RANGE = 1 << 20, 1 << 14
 
 
 def keyset_page(df: DataFrame, key: str, size: int, after=None) -> DataFrame:
@@ -32,7 +31,7 @@ def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     are as many as the rows need, and at least as many as a shuffle has tasks.
     """
     n = df.count()
-    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    ranges = max(-(-n // RANGE), min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SMALL_RANGE)), 1)
     dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return written(dealt.withColumn("_part", part).withColumn("_place", place).drop("_id"), "ranges")
@@ -63,34 +62,6 @@ def chunks(df: DataFrame, key: str, size: int = 256) -> DataFrame:
     return global_rank(df, key).withColumn("chunk", F.floor(F.col("rank") / size)).drop("rank")
 
 
-def bounded_batches(df: DataFrame, keys: list[str], order: list[str], size_col: str, limit: int) -> DataFrame:
-    """Add ``batch`` from 0 per key: items in order, a new batch where the next would exceed the limit.
-
-    One item over the limit is an error. The fold is sequential by meaning; it streams over sorted rows and
-    keeps one sum, so a key of any size needs no memory.
-    """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", batch bigint"
-
-    def each(batches):
-        key, used, number = None, 0, 0
-        for rows in batches:
-            out = []
-            columns = [rows.column(k) for k in keys]
-            for i, size in enumerate(rows.column(size_col).to_pylist()):
-                if size > limit:
-                    raise ValueError(f"an item of {size} exceeds the batch limit of {limit}")
-                mine = tuple(c[i].as_py() for c in columns)
-                if mine != key:
-                    key, used, number = mine, 0, 0
-                elif used + size > limit:
-                    used, number = 0, number + 1
-                used += size
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
-
-
 def first_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The first row of each key: an aggregate that combines before the shuffle, not a window."""
     rest = [c for c in df.columns if c not in keys]
@@ -114,38 +85,6 @@ def consecutive_failures(df: DataFrame, keys: list[str], order: str, failed: Col
     return runs.withColumn("streak", streak).withColumn("open", F.col("streak") >= threshold).drop("_f", "_run")
 
 
-def circuit(df: DataFrame, keys: list[str], at: str, transient: Column, other: Column, threshold: int = 3, seconds: int = 30) -> DataFrame:
-    """Add ``refused`` and ``streak`` to calls in the order of the timestamp ``at``: a circuit breaker for each key.
-
-    After ``threshold`` transient failures in a row the circuit is open: calls are refused until ``seconds`` have
-    passed since it opened, then counting starts anew. Success and ``other`` failures reset the count; a refused call
-    changes nothing, whatever its own outcome is. The fold is sequential by meaning; it streams over sorted rows.
-    """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", refused boolean, streak bigint"
-    rows = df.withColumn("_bad", F.coalesce(transient & ~F.coalesce(other, F.lit(False)), F.lit(False))).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-
-    def each(batches):
-        key, streak, opened = None, 0, None
-        for batch in batches:
-            refused, streaks = [], []
-            columns = [batch.column(k).to_pylist() for k in keys]
-            for i, (bad, now) in enumerate(zip(batch.column("_bad").to_pylist(), batch.column("_us").to_pylist())):
-                mine = tuple(c[i] for c in columns)
-                if mine != key:
-                    key, streak, opened = mine, 0, None
-                if opened is not None and now - opened >= seconds * 1_000_000:
-                    streak, opened = 0, None
-                refused.append(opened is not None)
-                if opened is None:
-                    streak = streak + 1 if bad else 0
-                    opened = now if streak >= threshold else None
-                streaks.append(streak)
-            out = batch.drop_columns(["_bad", "_us"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(refused, pa.bool_()), pa.array(streaks, pa.int64())], names=[*out.schema.names, "refused", "streak"])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "_us").mapInArrow(each, schema)
-
-
 def assistant_texts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """(conv, turn, pos, text): the texts that the assistant gave, in order; ``parts`` is a text or an array of texts, null ones are left out."""
     listed = F.col(parts) if turns.schema[parts].dataType.typeName() == "array" else F.array(parts)

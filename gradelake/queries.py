@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions import scalars as S
-from gradelake.operators import fanin, ops, oracle
+from gradelake.operators import fanin, ops, oracle, scans
 from gradelake.operators.gradetree import first_criteria, nodes, run_commands
 from gradelake.operators.selection import Selection, TagFilter, Variants, any_set_matches, expected_matrix, group_by_language, matches_columns, matrix_json, select_entries, shard_matrix, total_evaluations
 from gradelake.plans import report
@@ -292,7 +292,7 @@ def keyset_page(spark, d):
 )
 def greedy_batches(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 40 + 1).alias("size"))
-    return ops.bounded_batches(rows, ["user_id"], ["event_id"], "size", 100).select("user_id", "event_id", "batch")
+    return scans.bounded_batches(rows, ["user_id"], ["event_id"], "size", 100).select("user_id", "event_id", "batch")
 
 
 @query(
@@ -806,7 +806,7 @@ def response_citations(spark, d):
 )
 def circuit_breaker(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
-    return ops.circuit(rows, ["user_id"], "ts", F.col("event_type") == "error", F.lit(False), seconds=86400).select("user_id", "event_id", "refused", "streak")
+    return scans.circuit(rows, ["user_id"], "ts", F.col("event_type") == "error", F.lit(False), seconds=86400).select("user_id", "event_id", "refused", "streak")
 
 
 @query(

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gradelake.operators import ops
+from gradelake.operators import ops, scans
 from gradelake.operators.gradetree import first_criteria, nodes, run_commands
 from gradelake.sources import files
 from gradelake.sources.jsontext import _deep, strict_json
@@ -116,7 +116,7 @@ def test_malformed_subject_is_an_error(spark):
 def test_circuit(spark):
     calls = [(0, "t"), (1, "t"), (2, "t"), (3, "ok"), (31, "t"), (32, "t"), (33, "ok"), (34, "t"), (35, "t"), (36, "other"), (37, "t"), (38, "t"), (39, "t"), (69, "t")]
     df = spark.createDataFrame([("k", s, c) for s, c in calls], "k string, s bigint, c string").withColumn("at", F.timestamp_seconds("s"))
-    rows = ops.circuit(df, ["k"], "at", F.col("c") == "t", F.col("c") == "other").orderBy("s").collect()
+    rows = scans.circuit(df, ["k"], "at", F.col("c") == "t", F.col("c") == "other").orderBy("s").collect()
     assert [r.s for r in rows if r.refused] == [3, 31] and [r.streak for r in rows] == [1, 2, 3, 3, 3, 1, 0, 1, 2, 0, 1, 2, 3, 1]
 
 

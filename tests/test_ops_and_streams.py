@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gradelake.operators import ops
+from gradelake.operators import ops, scans
 from gradelake.sources import files
 from gradelake.streaming import streams
 
@@ -28,10 +28,10 @@ def test_chunks(spark):
 
 def test_batches(spark):
     df = spark.createDataFrame([("a", 1, 60), ("a", 2, 40), ("a", 3, 1), ("b", 1, 100), ("b", 2, 100)], "k string, n int, size int")
-    got = {(r.k, r.n): r.batch for r in ops.bounded_batches(df, ["k"], ["n"], "size", 100).collect()}
+    got = {(r.k, r.n): r.batch for r in scans.bounded_batches(df, ["k"], ["n"], "size", 100).collect()}
     assert got == {("a", 1): 0, ("a", 2): 0, ("a", 3): 1, ("b", 1): 0, ("b", 2): 1}
     with pytest.raises(Exception, match="exceeds the batch limit"):
-        ops.bounded_batches(df, ["k"], ["n"], "size", 99).collect()
+        scans.bounded_batches(df, ["k"], ["n"], "size", 99).collect()
 
 
 def test_first_and_last(spark):

@@ -29,7 +29,9 @@ from gradelake.llm.shared import dropped, staged
 BUCKETS, LONGEST_RUN = 10_000, 3
 SEED, LEAST_WORDS, PERCENT = 42, 20, 5
 #: Characters of texts that one SQL statement works on, about; longer texts are cut.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Documents whose counts are summed at once.
+SUMMED = 512
 #: Documents that one range of ranks holds at most, about.
 RANGE = 1 << 20
 
@@ -58,7 +60,7 @@ def database():
     """A DuckDB in memory that writes no files, with the function ``bucket``. A null has no bucket."""
     import duckdb
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
+    con = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": "", "memory_limit": "512MB"})
     con.create_function("bucket", _buckets, ["VARCHAR"], "INTEGER", type="arrow")
     return con
 
@@ -148,7 +150,7 @@ def counted(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for some in _slices(batch, 4 * PIECE):
+            for some in _slices(batch, PIECE):
                 words, buckets, counts = bucket_counts(con, some.column("text").to_pylist())
                 for b, c in zip(buckets, counts):
                     total[b] += c
@@ -181,12 +183,14 @@ def _weighted(counts: DataFrame, gain: np.ndarray) -> DataFrame:
     kind = counts.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
-        for batch in batches:
-            b, n = batch.column("buckets"), batch.column("counts").flatten().to_numpy()
-            at = np.concatenate([[0], np.cumsum(b.value_lengths().to_numpy())]).astype(np.int64)
-            sums = lambda v: np.concatenate([[0], np.cumsum(v)])[at]
-            features, weight = sums(n), sums(n * gain[b.flatten().to_numpy()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(np.diff(features), pa.int64()), pa.array(np.diff(weight), pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, SUMMED):
+                batch = whole.slice(k, SUMMED)
+                b, n = batch.column("buckets"), batch.column("counts").flatten().to_numpy()
+                at = np.concatenate([[0], np.cumsum(b.value_lengths().to_numpy())]).astype(np.int64)
+                sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[at])  # noqa: B023, E731
+                features, weight = sums(n), sums(n * gain[b.flatten().to_numpy()])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(features, pa.int64()), pa.array(weight, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
 
     return counts.where("not whole").select("doc_id", "n_words", "buckets", "counts").mapInArrow(each, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint")
 

@@ -50,6 +50,16 @@ def global_rank(df: DataFrame, key: str) -> DataFrame:
     return ranged.join(_shifts(ranged, F.count(F.lit(1)), "_b"), "_part").withColumn("rank", F.col("_b") + F.col("_place")).drop("_part", "_place", "_b")
 
 
+def starting_ranks(ranged: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``in_ranges`` (ordered by keys first) with ``_nth``, places from 0 inside each key, in place of the numbers of ranges."""
+    numbered = ranged.join(_shifts(ranged, F.count(F.lit(1)), "_b"), "_part").withColumn("_nth", F.col("_b") + F.col("_place")).drop("_part", "_place", "_b")
+    begin = numbered.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min("_nth").alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & numbered[k].eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(begin, same).withColumn("_nth", F.col("_nth") - F.col("_first")).drop("_first", *(f"_k{i}" for i in range(len(keys))))
+
+
 def running_total(df: DataFrame, key: str, amount: str) -> DataFrame:
     """Add ``total``, the sum of ``amount`` up to and with each row in the order of a unique key."""
     ranged = in_ranges(df, key)

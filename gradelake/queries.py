@@ -995,14 +995,13 @@ def topic_fan_out(spark, d):
     return parts[0].union(parts[1])
 
 
-@query("SELECT user_id, event_id, event_type, value FROM events")
+@query(
+    """SELECT event_id, event_type, consumer, (row_number() OVER (PARTITION BY consumer ORDER BY event_id) - 1) // 5 AS receive
+    FROM (SELECT event_id, event_type, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 3 AS INTEGER) AS consumer FROM events)"""
+)
 def queue_receive(spark, d):
-    """All messages, each dealt to one of three consumers in receives of five; the bounds are checked on the way."""
-    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
-    dealt = streams.received(rows, "event_id", 3)
-    over = F.raise_error(F.lit("a receive of more than five")).cast("bigint")
-    n = F.count(F.lit(1)).over(Window.partitionBy("consumer", "receive"))
-    return dealt.withColumn("n", F.when(n > 5, over).otherwise(n)).where("n > 0 and consumer between 0 and 2").select(*rows.columns)
+    """All messages, each dealt to one of three consumers in receives of five."""
+    return streams.received(table(spark, d, "events").select("event_id", "event_type"), "event_id", 3)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 4 < 3 THEN CAST(event_id % 4 + 1 AS INTEGER) END AS next_attempt, CASE WHEN event_id % 3 = 0 AND event_id % 4 < 3 THEN ts + INTERVAL 1500 MILLISECONDS END AS deliver_at FROM events")
@@ -1026,24 +1025,44 @@ def payload_events(spark, d):
     return streams.flattened(table(spark, d, "events").select(payload.alias("payload")))
 
 
-@query("SELECT count(*) AS events, CAST(sum(CASE WHEN n > 100 THEN 1 ELSE 0 END) AS BIGINT) AS too_large FROM (SELECT event_id, 1 AS n FROM events)")
+@query("SELECT (place - 1) // 100 AS batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events) GROUP BY 1")
 def event_batches(spark, d):
-    """Batches of a hundred at most, written with their size, over all events."""
+    """Batches of a hundred at most, each with its size and rims."""
     work = _work(spark)
 
     def handle(rows, number):
-        rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{work}/out/part={number}")
+        rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")).write.mode("overwrite").parquet(f"{work}/out/part={number}")
 
     streams.event_batches(_stream(spark, d).select("event_id"), handle, f"{work}/checkpoint", 100, "event_id")
-    return spark.read.parquet(f"{work}/out").agg(F.sum("n").alias("events"), F.count_if(F.col("n") > 100).alias("too_large"))
+    return spark.read.parquet(f"{work}/out").select("batch", "n", "first_id", "last_id")
 
 
-@query("SELECT event_id, value >= 5 AS complete FROM events WHERE value < 10 AND event_type <> 'error'")
+@query(
+    """WITH dead AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE NOT coalesce(value >= 10, false) AND event_type <> 'error')
+    SELECT event_id, place <= 50 AND coalesce(value >= 5, false) AS complete FROM dead"""
+)
 def dead_letters_again(spark, d):
-    """Dead letters looked at again, all of them here."""
+    """Dead letters, the first fifty of them looked at again."""
     rows = table(spark, d, "events").select("event_id", "event_type", "value")
     dead = streams.settled(rows, F.col("value") >= 10, F.col("event_type") == "error").where("settlement = 'dead-letter'").drop("settlement")
-    return streams.retried(dead, F.col("value") >= 5, None).select("event_id", (F.col("settlement") == "complete").alias("complete"))
+    return streams.retried(dead, F.col("value") >= 5, 50, "event_id").select("event_id", (F.col("settlement") == "complete").alias("complete"))
+
+
+@query(
+    """SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 9007199254740993 + event_id END AS large, CAST(CASE WHEN event_id % 3 = 0 THEN event_id * 0.01 END AS DECIMAL(30, 10)) AS price,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events"""
+)
+def session_values(spark, d):
+    """Sessions over two micro-batches, with longs that no double holds beside nulls, and decimals."""
+    work = _work(spark)
+    large = F.when(F.col("event_id") % 2 == 0, F.lit(9007199254740993) + F.col("event_id"))
+    price = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("decimal(30,10)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(30,10)")
+    rows = table(spark, d, "events").select("event_id", "user_id", large.alias("large"), price.alias("price"))
+    half = rows.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        rows.where(part).write.mode("append").parquet(f"{work}/in")
+        streams.session_sequences(streams.read_events(spark, f"{work}/in", rows.schema), "user_id", "event_id", work, f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/rows").select("event_id", "user_id", "large", "price", "sequence")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ file and, with ``availableNow``, ends when the folder is read.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-from gradelake.operators.ops import chunks
+from gradelake.operators.ops import any_changed, chunks, global_rank, in_ranges, starting_ranks
+from gradelake.sources.staging import written
 
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_batch: int = 100, glob: str = "*.parquet") -> DataFrame:
@@ -46,9 +49,15 @@ def route_settled(stream: DataFrame, valid: Column, transient: Column, out: str,
     _finish(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("settlement"))
 
 
-def retried(dead: DataFrame, valid: Column, most: int | None = 10) -> DataFrame:
-    """Dead letters looked at again, ``most`` at a time or all: those that are valid now complete."""
-    return (dead if most is None else dead.limit(most)).withColumn("settlement", F.when(F.coalesce(valid, F.lit(False)), "complete").otherwise("dead-letter"))
+def retried(dead: DataFrame, valid: Column, most: int | None = 10, order: str | None = None) -> DataFrame:
+    """Dead letters looked at again, the first ``most`` by the unique column ``order`` or all: those that are valid now complete, all others stay as they are."""
+    good = F.coalesce(valid, F.lit(False))
+    if most is None:
+        return dead.withColumn("settlement", F.when(good, "complete").otherwise("dead-letter"))
+    if order is None:
+        raise ValueError("A limit needs an order.")
+    looked = F.col("_rank") < most
+    return global_rank(dead, order).withColumnRenamed("rank", "_rank").withColumn("settlement", F.when(looked & good, "complete").otherwise("dead-letter")).drop("_rank")
 
 
 def by_type(stream: DataFrame, kinds: dict[str, str], type_col: str, checkpoint: str) -> None:
@@ -112,11 +121,11 @@ def produce(rows: DataFrame, folder: str, size: int = 10) -> None:
 def received(queue: DataFrame, key: str, consumers: int, most: int = 5) -> DataFrame:
     """Add ``consumer`` and ``receive``: each message of a queue goes to exactly one of the competing consumers, at most ``most`` in one receive.
 
-    Messages are dealt by a hash of their key, so a message that is read again goes the same way.
+    Messages are dealt by a hash of their key, so a message that is read again goes to the same one; a consumer gets
+    its messages in key order, numbered in ranges of that order.
     """
-    w = Window.partitionBy("consumer").orderBy(key)
-    dealt = queue.withColumn("consumer", F.pmod(F.xxhash64(key), F.lit(consumers)).cast("int"))
-    return dealt.withColumn("receive", F.floor((F.row_number().over(w) - 1) / most))
+    dealt = queue.withColumn("consumer", F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(consumers)).cast("int"))
+    return starting_ranks(in_ranges(dealt, "consumer", key), ["consumer"]).withColumn("receive", F.floor(F.col("_nth") / most)).drop("_nth")
 
 
 def poll(read, terminal: set[str], seconds: float, every: float = 1.0) -> str:
@@ -131,21 +140,110 @@ def poll(read, terminal: set[str], seconds: float, every: float = 1.0) -> str:
         time.sleep(every)
 
 
+#: Micro-batches whose changes are kept apart in the state of sessions before it is written as a whole.
+WHOLE_EVERY = 32
+
+
 def session_sequences(stream: DataFrame, key: str, order: str, out: str, checkpoint: str) -> None:
-    """First in, first out per session key: rows of each batch numbered after those that the key had before.
+    """First in, first out per session key: rows of each batch numbered after those that the key had before, in out/rows.
 
-    One count per key is kept in the state store, which writes only what a batch changes. A batch's rows of one key
-    are sorted in memory; maxFilesPerTrigger bounds them.
+    Rows stay in Spark, so values of any type come out as they went in. They are numbered in ranges of (key, order), so a
+    key may have any number of rows in a batch. The state is one count for each key: each batch writes those of its
+    keys to out/state, and every WHOLE_EVERY batches those of all. A batch that is given again replaces what it wrote.
     """
-    names, schema = stream.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
 
-    def each(_, frames, state):
-        import pandas as pd
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = starting_ranks(in_ranges(batch, key, order), [key])
+        counts = rows.groupBy(key).agg(F.max("_nth").alias("_last")).withColumnRenamed(key, "_key")
+        first = (number - 1) // WHOLE_EVERY * WHOLE_EVERY if number else 0
+        parts = [f"{out}/state/micro_batch={k}" for k in range(first, number)]
+        kind = T.StructType([T.StructField("key", batch.schema[key].dataType), T.StructField("seen", T.LongType())])
+        before = spark.read.schema(kind).parquet(*parts) if parts else spark.createDataFrame([], kind)
+        before = before.groupBy("key").agg(F.max("seen").alias("seen"))
+        now = written(counts.join(before, F.col("_key").eqNullSafe(F.col("key")), "left").select("_key", F.coalesce("seen", F.lit(0)).alias("_seen"), "_last"), "sessions")
+        numbered = rows.join(now.select("_key", "_seen"), rows[key].eqNullSafe(F.col("_key"))).withColumn("sequence", F.col("_seen") + F.col("_nth") + 1)
+        numbered.select(*batch.columns, "sequence").write.mode("overwrite").parquet(f"{out}/rows/micro_batch={number}")
+        state = now.select(F.col("_key").alias("key"), (F.col("_seen") + F.col("_last") + 1).alias("seen"))
+        if number % WHOLE_EVERY == 0:
+            state = state.unionByName(before).groupBy("key").agg(F.max("seen").alias("seen"))
+        state.write.mode("overwrite").parquet(f"{out}/state/micro_batch={number}")
+
+    _finish(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
+
+
+class _Delivery(StatefulProcessor):
+    """Holds one message of a key until its time; a cancellation forgets it."""
+
+    def __init__(self, schema: T.StructType, cancelled: str | None):
+        self.schema, self.cancelled = schema, cancelled
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.message = handle.getValueState("message", self.schema)
+
+    def _forget(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.message.clear()
 
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        seen = state.get[0] if state.exists else 0
-        state.update((seen + len(rows),))
-        yield rows[names].assign(sequence=range(seen + 1, seen + len(rows) + 1))
+    def handleInputRows(self, key, rows, timerValues):
+        rows = list(rows)  # those of one message
+        if self.cancelled and any(r[self.cancelled] for r in rows):
+            self._forget()
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        for r in rows:
+            if r["_due"] is None or r["_due"] <= now:
+                yield r
+            else:
+                self._forget()
+                self.message.update(tuple(r))
+                self.handle.registerTimer(r["_due"])
 
-    numbered = stream.groupBy(key).applyInPandasWithState(each, f"{schema}, sequence bigint", "seen bigint", "append", "NoTimeout")
-    _finish(numbered.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", checkpoint).outputMode("append"))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.message.exists():
+            yield Row(**dict(zip(self.schema.names, self.message.get())))
+        self.message.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def delivered(stream: DataFrame, key: str, at: str, out: str, checkpoint: str, seconds: float, cancelled: str | None = None, every: str = "1 second") -> None:
+    """Scheduled messages, appended to ``out`` once their time has come, by a timer of each message; the query runs for some seconds.
+
+    key tells messages apart. A row whose ``cancelled`` is true takes back the message of its key if that still waits
+    (or came in the same batch); a later row of the same key replaces it. A message without a time, or whose time is past,
+    is given out at once. Messages that wait stay in the checkpoint's state store, so a query that is started again gives
+    each of them out, once.
+    """
+    spark = stream.sparkSession
+    rows = stream.withColumn("_due", F.unix_millis(F.col(at)))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    try:
+        timed = rows.groupBy(key).transformWithState(_Delivery(rows.schema, cancelled), rows.schema, "Append", "ProcessingTime")
+        query = timed.drop("_due").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
+        if not query.awaitTermination(seconds):
+            query.stop()
+    finally:
+        spark.conf.set(name, before)
+
+
+def with_settings(stream: DataFrame, settings: Callable[[], DataFrame], sentinels: Column, keys: list[str], values: list[str], out: str, checkpoint: str) -> None:
+    """Each micro-batch joined with settings by ``keys``, and appended to ``out``.
+
+    All settings are read again when one of the rows that ``sentinels`` marks is new or changed since they were read, else
+    the batch keeps those read before: a change becomes visible as a whole, and only once its sentinel moves.
+    """
+    held: list[DataFrame] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = settings()
+        if not held or any_changed(held[0].where(sentinels), fresh.where(sentinels), keys, values).first()["changed"]:
+            held[:] = [written(fresh, "settings")]
+        batch.join(held[0], keys, "left").write.mode("overwrite").parquet(f"{out}/micro_batch={number}")
+
+    _finish(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))

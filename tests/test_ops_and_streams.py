@@ -127,7 +127,7 @@ def test_settlement_and_schedules(spark, folder):
     counts = {r.settlement: r["count"] for r in spark.read.parquet(f"{folder}/s").groupBy("settlement").count().collect()}
     assert counts == {"abandon": 10, "complete": 18, "dead-letter": 2}
     dead = spark.read.parquet(f"{folder}/s").where("settlement = 'dead-letter'")
-    assert {r.settlement for r in streams.retried(dead, F.col("value") >= 0).collect()} == {"complete"}
+    assert {r.settlement for r in streams.retried(dead, F.col("value") >= 0, 10, "event_id").collect()} == {"complete"}
     now = F.lit("2024-01-01").cast("timestamp")
     rows = spark.createDataFrame([(1, 429, 1), (2, 429, 3), (3, 500, 1)], "id int, code int, attempt int")
     assert [r.next_attempt for r in streams.retry_schedule(rows, "code", "attempt", F.lit(1500), now).orderBy("id").collect()] == [2, None, None]
@@ -159,3 +159,62 @@ def test_small_sources_and_settings(spark):
     moved = new.replace("1", "2")
     assert ops.refreshed(old, moved, F.col("key") == "s", ["key"], ["etag"]).where("key = 'a'").first().etag == "y"
     assert ops.of_kind(old, "key", "a").count() == 1
+
+
+def test_sessions_keep_every_value(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "WHOLE_EVERY", 2)
+    kind = "id bigint, big bigint, price decimal(38,10), tags array<struct<a:bigint,b:string>>, k string, seen bigint"
+    rows = [(i, None if i % 2 else 2**53 + 1 + i, None if i % 3 else f"{i}.0000000001", [(2**60 + i, None)] if i % 4 else None, None if i % 5 == 0 else "k", 7) for i in range(60)]
+    df = spark.createDataFrame([(r[0], r[1], r[3], r[4], r[5], r[2]) for r in rows], "id bigint, big bigint, tags array<struct<a:bigint,b:string>>, k string, seen bigint, p string").selectExpr("id", "big", "cast(p as decimal(38,10)) price", "tags", "k", "seen")
+    for n in range(6):
+        df.where(f"id div 10 = {n}").write.mode("append").parquet(f"{tmp_path}/in")
+        streams.session_sequences(streams.read_events(spark, f"{tmp_path}/in", kind), "k", "id", f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = spark.read.parquet(f"{tmp_path}/out/rows").drop("micro_batch")
+    assert sorted(map(repr, got.drop("sequence").collect())) == sorted(map(repr, df.collect()))
+    for key in (None, "k"):
+        assert [r.sequence for r in got.where(F.col("k").eqNullSafe(F.lit(key))).orderBy("id").collect()] == list(range(1, 1 + sum(r[4] == key for r in rows)))
+
+
+def test_timers_give_out_messages_once(spark, tmp_path):
+    import datetime
+    import time
+
+    now = datetime.datetime.fromtimestamp(int(time.time()))
+    kind = "id bigint, at timestamp, off boolean, note string"
+
+    def send(*rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    run = lambda s: streams.delivered(streams.read_events(spark, f"{tmp_path}/in", kind), "id", "at", f"{tmp_path}/out", f"{tmp_path}/cp", s, "off")
+    seen = lambda: sorted(r.id for r in spark.read.schema(kind).parquet(f"{tmp_path}/out").collect())
+    later = now + datetime.timedelta(seconds=45)
+    send((1, None, None, "no time"), (2, now - datetime.timedelta(days=1), False, "past"), (3, later, False, "waits"), (4, later, False, "taken back"), (2**53 + 1, later, None, None))
+    run(15)
+    assert seen() == [1, 2]
+    send((4, None, True, None))
+    run(max(5, 50 - (datetime.datetime.now() - now).total_seconds()))
+    assert seen() == [1, 2, 3, 2**53 + 1]
+    run(5)
+    assert seen() == [1, 2, 3, 2**53 + 1]
+
+
+def test_settings_are_read_again_when_the_sentinel_moves(spark, tmp_path):
+    for i in range(4):
+        spark.createDataFrame([(i, "a")], "id int, key string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    versions = iter([("1", "x"), ("1", "y"), ("2", "y"), ("2", "z")])
+
+    def settings():
+        sentinel, value = next(versions)
+        return spark.createDataFrame([("sentinel", sentinel), ("a", value)], "key string, value string")
+
+    streams.with_settings(streams.read_events(spark, f"{tmp_path}/in", "id int, key string", 1), settings, F.col("key") == "sentinel", ["key"], ["value"], f"{tmp_path}/out", f"{tmp_path}/cp")
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("micro_batch").collect()
+    assert [r.value for r in rows] == ["x", "x", "y", "y"]
+
+
+def test_a_limit_of_retries_has_an_order(spark):
+    dead = spark.createDataFrame([(i, float(i)) for i in range(30)], "id int, value double")
+    rows = streams.retried(dead, F.col("value") > 5, 10, "id").collect()
+    assert len(rows) == 30 and {r.id for r in rows if r.settlement == "complete"} == {6, 7, 8, 9}
+    with pytest.raises(ValueError):
+        streams.retried(dead, F.lit(True))

@@ -11,6 +11,7 @@ from gradelake.operators.gradetree import nodes, oracle_leaves
 from gradelake.operators.ops import running_total
 from gradelake.sources.files import BLANK
 from gradelake.sources.jsontext import text_of
+from gradelake.sources.staging import written
 
 CATEGORIES = (("prompt", "prompt"), ("language", "languageChecks"), ("program", "program"))
 
@@ -108,7 +109,7 @@ def validate(rows: DataFrame) -> DataFrame:
     broken = tests[0]
     for t in tests[1:]:
         broken = broken | t
-    rows = rows.withColumn("_broken", broken).withColumn("label", F.when(F.col("_broken") | ~F.col("_is_object"), F.format_string("Result %d", "n")))
+    rows = rows.withColumn("_broken", broken).withColumn("label", F.when(F.col("_broken") | ~F.col("_is_object"), F.concat(F.lit("Result "), F.col("n").cast("string"))))
     parts = []
     for k, g in enumerate(groups):
         parts.append(F.array_compact(F.array(*(F.when(t, m) for t, m in g))))
@@ -131,7 +132,8 @@ class OracleSummary:
 def summarize(rows: DataFrame, expected: int) -> OracleSummary:
     """rows: (ord, row VARIANT). Only rows without errors are totalled; repeated scenarios are, and are reported."""
     spark = rows.sparkSession
-    checked = validate(rows)
+    # Written once: totals, failures and problems all read it, and no filter on the errors is worked into their rules.
+    checked = written(validate(rows).select("n", "row", "errors"), "checked")
     kind = "struct<passed:bigint,total:bigint,failures:array<struct<name:string,evidence:string>>>"
     pick = [F.variant_get("row", f"$.{k}", "string").alias(k) for k in ("scenario", "language", "status", "error")]
     valid = checked.where("size(errors) = 0").select("n", *pick, *(F.variant_get("row", f"$.{c}", kind).alias(c) for _, c in CATEGORIES))
@@ -141,7 +143,7 @@ def summarize(rows: DataFrame, expected: int) -> OracleSummary:
     listed += [F.transform(f"{c}.failures", lambda f: F.struct(F.lit(n).alias("category"), f["name"].alias("name"), f["evidence"].alias("evidence"))) for n, c in CATEGORIES]  # noqa: B023
     none = F.expr("cast(array() as array<struct<category:string,name:string,evidence:string>>)")
     failures = valid.select("n", "scenario", F.posexplode(F.concat(*(F.coalesce(x, none) for x in listed))).alias("k", "f")).select("n", "k", "scenario", "f.*")
-    received = rows.count()
+    received = checked.count()
     bad = checked.select(F.lit(0).alias("part"), "n", F.posexplode("errors").alias("k", "problem"))
     again = valid.withColumn("nth", F.row_number().over(Window.partitionBy("scenario").orderBy("n"))).where("nth > 1").select(F.lit(1).alias("part"), "n", F.lit(0).alias("k"), F.concat(F.lit("Duplicate scenario result: "), "scenario").alias("problem"))
     short = [] if received == expected else [(2, 0, 0, f"Expected {expected} scenario results, received {received}")]

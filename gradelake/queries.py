@@ -638,7 +638,7 @@ def _oracle_rows(spark, d):
     )
     rows = table(spark, d, "orders").select("o_orderkey", F.format_string("%012d", F.floor(k / 1000)).alias("path"), F.to_json(row, {"ignoreNullFields": "false"}).alias("j"))
     line = F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")).cast("long")
-    return rows.select(F.struct("path", line.alias("line")).alias("ord"), F.parse_json("j").alias("row"))
+    return written(rows.select(F.struct("path", line.alias("line")).alias("ord"), F.parse_json("j").alias("row")), "oracle-rows")
 
 
 _ORACLES = """o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_orderkey AS k, CASE WHEN o_orderkey % 101 = 0 THEN ' ' ELSE 's' || o_custkey END AS scenario,
@@ -948,7 +948,7 @@ def listing_under(spark, d):
 def oracle_report_lines(spark, d):
     """The rows written as JSON lines, read again, summed up and reported: the report's lines of languages."""
     path = f"{shared_dir(spark)}/oracle-{uuid.uuid4().hex}"
-    rows = oracle.validate(_oracle_rows(spark, d)).where("size(errors) = 0").select(F.from_json(F.to_json("row"), files.ORACLE_SCHEMA).alias("r")).select("r.*")
+    rows = written(oracle.validate(_oracle_rows(spark, d)), "checked").where("size(errors) = 0").select(F.from_json(F.to_json("row"), files.ORACLE_SCHEMA).alias("r")).select("r.*")
     files.write_oracle_rows(rows, path)
     back = files.oracle_lines(spark, path, "*.json")
     text, _ = report.oracle_report(oracle.summarize(back, 0), 0)

@@ -5,7 +5,8 @@ classifier scores each block by its words, links, tags and class names; a positi
 the content terminal, a negative one its capacity to the boilerplate terminal. Neighbours in page order, and
 neighbours among the blocks of one container, are joined by smoothness edges that weaken with their distance in
 the tree, also across the rims of articles and of parts marked as around them. The minimum cut parts content from
-boilerplate. Only what is certainly no text of the article (hidden parts, menus, forms) has a fixed score.
+boilerplate. Only what is certainly no text of the article (hidden parts, menus, forms, readers' comments) has a fixed
+score. A form that holds the page's heading or nearly all its words is a frame of the page rather than a form.
 
 Blocks whose own capacity outweighs all their edges keep their side in some minimum cut; they are settled
 first, over and over, and only what stays open goes to max-flow. The classifier is trained on pages that
@@ -30,55 +31,74 @@ RAW = frozenset("script style noscript template textarea title svg iframe select
 #: Of these, those that nothing but their own end tag ends.
 OPEN_ENDED = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CERTAIN = frozenset("nav form menu dialog button fieldset search".split())
+CERTAIN = frozenset("nav menu dialog button fieldset search".split())
 ASIDE = frozenset("aside footer".split())
 #: Elements that a new one of the same group closes.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 #: Words in a class, id or role that mark parts around the article.
 AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored promo banner banners "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar toolbar topnav mainnav subnav sidenav colophon "
-    "comment comments commentlist disqus cookie cookies consent gdpr popup modal newsletter subscribe subscription "
+    "nav navbar navigation navbox menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar toolbar topnav mainnav subnav sidenav colophon "
+    "cookie cookies consent gdpr popup modal newsletter subscribe subscription "
     "share sharing social signup login signin related recommended recommendations widget widgets pagination pager skip complementary contentinfo".split()
 )
-#: Words that often do, and as often stand in the article's own class names.
+#: Words that mark what readers wrote below the article.
+READERS = frozenset("comment comments commentlist disqus".split())
+#: Words beside which those above only say that a part has such things.
+HAVING = frozenset("has have with without no layout layouts open enabled disabled free".split())
+#: Words that often mark parts around the article, and as often stand in its own class names.
 PERHAPS = frozenset("aside promotion promoted copyright legal discussion respond reply replies ugc notice notices notification alert overlay disclaimer follow register form search popular trending teaser meta toc".split())
 #: Words in a class or id that mark the article.
 WITHIN = frozenset("article content post story entry main body text".split())
-FEATURES = ("bias", "article", "outside", "around", "perhaps", "within", "words", "links", "heading", "short")
+FEATURES = ("bias", "article", "outside", "around", "perhaps", "within", "words", "links", "cited", "heading", "short")
+#: A form with this part of the words is the frame of the page.
+FRAME = 0.8
 #: Score of what is certainly no text of the article.
 NEVER = -50.0
 SMOOTH = 2.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|</?[a-zA-Z][^<>]*>?|[^<]+|<", re.S)
-_MARK = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# An attribute's value may hold < and > in quotes. A quote that never ends is part of a name: there is no other of its kind after it.
+_ATTRIBUTES = r"(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+|=)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|</?[a-zA-Z][^<>]*>?|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Node:
     """An open container: what it says of itself, and of all that is in it (marks add up from the root)."""
 
-    __slots__ = ("name", "parent", "depth", "own", "marks", "article", "words")
+    __slots__ = ("name", "parent", "depth", "own", "marks", "article", "words", "headed", "readers", "main")
 
     def __init__(self, name, parent, own=frozenset()):
         self.name, self.parent, self.own = name, parent, own
         self.depth = parent.depth + 1 if parent else 0
-        self.marks, self.article, self.words = own, False, 0
+        self.marks, self.article, self.words, self.headed, self.readers = own, False, 0, False, False
+        self.main = name in ("article", "main") or "main" in own
 
 
 def _marks(name: str, attributes: str, in_article: bool) -> frozenset:
-    out = {"never"} if name in CERTAIN else {"around"} if name in ASIDE else set()
-    words: set[str] = set()
+    out = {"never"} if name in CERTAIN else {"around"} if name in ASIDE else {"form"} if name == "form" else set()
     if attributes and name not in ("html", "body", "main"):
-        for key, value in _MARK.findall(attributes):
+        for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 out.add("never")
-            elif key in ("class", "id", "role"):
-                words |= {x.lower() for x in _PART.findall(value)}
-        for mark, of in (("around", AROUND), ("perhaps", PERHAPS), ("within", WITHIN)):
-            if not words.isdisjoint(of):
-                out.add(mark)
+            elif key == "role" and value in ("main", "article"):
+                out |= {"main", "within"}
+            elif key in ("class", "id", "role", "itemprop"):
+                for one in value.split():
+                    words = {x.lower() for x in _PART.findall(one)}
+                    having = not words.isdisjoint(HAVING)
+                    if not having and not words.isdisjoint(READERS):
+                        out |= {"around", "readers"}
+                    elif not having and (not words.isdisjoint(AROUND) or "site" in words and not words.isdisjoint(PERHAPS)):
+                        out.add("around")  # a notice of the site isn't one of the article
+                    elif not words.isdisjoint(WITHIN):
+                        out.add("within")
+                    if not words.isdisjoint(PERHAPS):
+                        out.add("perhaps")
+    if "around" in out and "main" not in out:  # a comment-body is a comment
+        out.discard("within")
     # The header of a page goes, that of an entry stays.
     if name == "header" and not in_article and "within" not in out:
         out.add("around")
@@ -101,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, _Node, int, bool]]:
     def up(n):
         nonlocal articles
         opened[n.name] -= 1
-        articles -= n.name in ("article", "main")
+        articles -= n.main
         return n.parent
 
     while at < end:
@@ -159,41 +179,56 @@ def blocks(page: str) -> list[tuple[str, _Node, int, bool]]:
             node = _Node(name, node, _marks(name, m[3], articles > 0))
             nodes.append(node)
             opened[name] = opened.get(name, 0) + 1
-            articles += name in ("article", "main")
+            articles += node.main
     flush(False)
     _settle_marks(nodes, out)
     return out
 
 
 def _settle_marks(nodes: list[_Node], found: list) -> None:
-    """Hand marks down the tree. What holds the page's main article isn't around it: an article or main with at least half of the words that stand in no marked part inside it."""
+    """Hand marks down the tree.
+
+    What holds the page's main article isn't around it: an article or main with at least half of the words that stand in
+    no marked part inside it. What holds the page's heading isn't written by readers, nor is it a form.
+    """
     for n in nodes:
-        n.words = 0
-    total = 0
+        n.words, n.headed = 0, (n.name == "h1" or n.main) and "readers" not in n.own
     for text, node, _, _ in found:
         node.words += text.count(" ") + 1
-    # Words of a container that no part inside it marks as around, from the leaves up; articles gather them past their own marks.
     bad = frozenset(("around", "never"))
-    inside = {}
+    inside, forms = {}, []
+    for n in nodes:  # parents come before children
+        n.readers = "readers" in n.own or bool(n.parent and n.parent.readers)
+    # Words of a container that no part inside it marks as around, from the leaves up; articles gather them past their own marks.
     for n in reversed(nodes):
         total_here = n.words
-        if n.name in ("article", "main"):
+        if n.main and not n.readers:
             inside[id(n)] = (total_here, n)
-        if n.parent is not None and (n.own.isdisjoint(bad) or n.name in ("article", "main")):
-            n.parent.words += total_here
+        if n.name == "form":
+            forms.append(n)
+        if n.parent is not None:
+            if n.headed and not n.readers:
+                n.parent.headed = True
+            if n.own.isdisjoint(bad) or n.main and "readers" not in n.own:
+                n.parent.words += total_here
     total = nodes[0].words
+    clear = {id(n) for n in forms if n.headed or n.words >= FRAME * total}
     # An article's own marks are ignored only where no article is without.
     plain = [x for x in inside.values() if x[1].own.isdisjoint(bad)]
-    clear = set()
     for n, node in plain or inside.values():
         whole = max(total, n)
         while node is not None and 2 * n >= whole and id(node) not in clear:
             clear.add(id(node))
             node = node.parent
     for n in nodes:
-        own = n.own - bad if id(n) in clear else n.own
-        n.marks = own if n.parent is None else own | n.parent.marks
-        n.article = n.name in ("article", "main") or bool(n.parent and n.parent.article)
+        own = n.own - bad - {"readers", "form"} if id(n) in clear else n.own
+        if not own.isdisjoint(("readers", "form")):
+            own = own | {"never"}
+        outside = n.parent is not None and not n.parent.marks.isdisjoint(bad)
+        if outside:  # a part of what is around the article doesn't mark the article
+            own = own - {"within"}
+        n.marks = own if n.parent is None else own | n.parent.marks - ({"within"} if not own.isdisjoint(bad) else set())
+        n.article = n.main and n.marks.isdisjoint(bad) or bool(n.parent and n.parent.article)
 
 
 def features(found: list) -> np.ndarray:
@@ -208,7 +243,9 @@ def features(found: list) -> np.ndarray:
     for text, node, linked, heading in found:
         n, m = text.count(" ") + 1, node.marks
         inside = node.article
-        rows.append((1.0, sure * inside, sure * (not inside), "around" in m, "perhaps" in m, "within" in m, min(n, 40) / 10, linked / len(text), heading, n < 5 and not heading))
+        links = linked / len(text)
+        cited = links * (not m.isdisjoint(("within",)) or inside) * m.isdisjoint(("around", "perhaps"))
+        rows.append((1.0, sure * inside, sure * (not inside), "around" in m, "perhaps" in m, "within" in m, min(n, 40) / 10, links, cited, heading, n < 5 and not heading))
     return np.array(rows, dtype=float).reshape(len(rows), len(FEATURES))
 
 

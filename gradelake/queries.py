@@ -16,7 +16,7 @@ from gradelake.operators import fanin, ops, oracle, scans
 from gradelake.operators.gradetree import first_criteria, nodes, run_commands
 from gradelake.operators.selection import Selection, TagFilter, Variants, any_set_matches, expected_matrix, group_by_language, matches_columns, matrix_json, select_entries, shard_matrix, total_evaluations
 from gradelake.plans import report
-from gradelake.sources import files
+from gradelake.sources import files, specs
 from gradelake.sources.staging import shared_dir, written
 from gradelake.streaming import streams
 
@@ -765,6 +765,56 @@ def catalog_tags(spark, d):
     return table(spark, d, "part").select("p_partkey", files.tag_sets(text)[0].alias("t")).select("p_partkey", F.col("t")["brand"].alias("brand"), F.col("t")["size"].alias("size"))
 
 
+_SPEC_RULES = specs.CatalogRules(
+    criteria={"go": 0, "python": 2}, programs={"go": (specs.Program("program/tests", "go", ("test", "./..."), "3m"),), "python": (specs.Program("program/compiles", "python", ("check.py",), "30s"),)},
+    model="m-1", scopes=("small", "large"), files=(("../ignore", ".ignore"),), own_files={"python": ("../check.py", "check.py")},
+)
+
+
+def _specs(spark, d):
+    """A spec for each part, with defects by its number."""
+    key = F.col("p_partkey")
+    line = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs), F.lit("\n"))
+    unless = lambda n, good, bad="": F.when(key % n != 0, good).otherwise(bad)
+    python = key % 3 == 1
+    language = F.when(key % 50 == 0, "cobol").when(python, "python").otherwise("go")
+    criteria = F.array_join(F.transform(F.slice(F.array(*(F.lit(i) for i in range(4))), 1, (key % 4).cast("int")), lambda i: F.concat(F.lit("            - name: language/c"), i.cast("string"), F.lit("\n"))), "")
+    program = F.when(python, "      - type: run-command\n        name: program/compiles\n        config:\n          command: python\n          args:\n            - check.py\n          timeout: 30s\n").otherwise("      - type: run-command\n        name: program/tests\n        config:\n          command: go\n          args:\n            - test\n            - ./...\n          timeout: 3m\n")
+    text = F.concat(
+        line("name: s", key.cast("string")), line("agent_environment:\n  files:\n    - src: ../ignore\n      dest: .ignore"), F.when(python, "    - src: ../check.py\n      dest: check.py\n").otherwise(""),
+        line("scoring:\n  weights:", unless(11, " {}", "\n    a: 1")), line("stimuli:\n  - name: '", F.col("p_name"), "'\n    prompt: |-\n      required: ", F.col("p_type"), "\n        - type: panel"),
+        line("    tags:\n      language: ", language, "\n      scope: ", unless(13, "small", "huge")), line("    graders:\n      - type: ", unless(7, "panel", "paper"), "\n        name: prompt/all\n        config:\n          prompt: |-\n            ", F.col("p_type")),
+        line("          models:\n            - m-", unless(17, "1", "2"), "\n          threshold: 0\n          overall_threshold: 0\n          evidence:\n            - diff\n          criteria:\n            - name: prompt/a"),
+        criteria, unless(5, program),
+    )
+    return table(spark, d, "part").select("p_partkey", text.alias("value"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 0 THEN 'cobol' WHEN p_partkey % 3 = 1 THEN 'python' ELSE 'go' END AS lang, p_partkey % 3 = 1 AS python FROM part)
+    SELECT k AS p_partkey, 'one panel' AS rule, 0 AS found, 1 AS wanted FROM s WHERE k % 7 = 0
+    UNION ALL SELECT k, 'no weights', 0, 1 FROM s WHERE k % 11 = 0
+    UNION ALL SELECT k, 'one scope', 0, 1 FROM s WHERE k % 13 = 0
+    UNION ALL SELECT k, 'first model', 0, 1 FROM s WHERE k % 17 = 0
+    UNION ALL SELECT k, 'a known language', 0, 1 FROM s WHERE lang = 'cobol'
+    UNION ALL SELECT k, 'program graders', 0, 1 FROM s WHERE k % 5 = 0 AND lang <> 'cobol'
+    UNION ALL SELECT k, CASE WHEN python THEN 'program grader program/compiles' ELSE 'program grader program/tests' END, 0, 1 FROM s WHERE k % 5 = 0 AND lang <> 'cobol'
+    UNION ALL SELECT k, 'language criteria', k % 4, CASE WHEN python THEN 2 ELSE 0 END FROM s WHERE lang <> 'cobol' AND k % 4 <> CASE WHEN python THEN 2 ELSE 0 END
+    UNION ALL SELECT k, 'staged file check.py', 1, 0 FROM s WHERE python AND lang = 'cobol'"""
+)
+def catalog_rules(spark, d):
+    return specs.broken_rules(_specs(spark, d), _SPEC_RULES, "p_partkey").select("p_partkey", "rule", F.col("found").cast("bigint"), F.col("wanted").cast("bigint"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'paper' ELSE 'panel' END AS type, 'prompt/all' AS name, NULL AS command, '' AS args FROM part
+    UNION ALL SELECT p_partkey, 'run-command', CASE WHEN p_partkey % 3 = 1 THEN 'program/compiles' ELSE 'program/tests' END, CASE WHEN p_partkey % 3 = 1 THEN 'python' ELSE 'go' END, CASE WHEN p_partkey % 3 = 1 THEN 'check.py' ELSE 'test ./...' END FROM part WHERE p_partkey % 5 <> 0"""
+)
+def catalog_graders(spark, d):
+    found = specs.graders(specs.entries(_specs(spark, d)), ["p_partkey"])
+    return found.select("p_partkey", "type", "name", "command", F.array_join("args", " ").alias("args"))
+
+
 @query("SELECT lower(r_name) AS suite, 'e/' || n_name || '/eval.yaml' AS repo_path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'MIDDLE EAST'")
 def catalog_suites(spark, d):
     rows = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region").where("r_name <> 'MIDDLE EAST'")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows

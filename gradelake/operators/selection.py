@@ -65,6 +65,16 @@ def any_set_matches(tag_sets, filters: list[TagFilter]) -> Column:
     return F.exists(tag_sets, lambda t: matches_all(t, filters))
 
 
+#: Names that a message lists; it states how many more there are.
+MOST_NAMED = 1000
+
+
+def _named(rows: DataFrame, order: str, column: str) -> str:
+    first = [r[0] for r in rows.orderBy(order).limit(MOST_NAMED).select(column).collect()]
+    more = rows.count() - len(first) if len(first) == MOST_NAMED else 0
+    return ", ".join(first) + (f" and {more} more" if more else "")
+
+
 def select_entries(catalog: DataFrame, suites: DataFrame | None, want: Selection) -> DataFrame:
     """Entries of the catalog that the selection names; errors as an empty or unknown selection needs them."""
     if want.mode not in ("all", "suite", "tags"):
@@ -76,12 +86,12 @@ def select_entries(catalog: DataFrame, suites: DataFrame | None, want: Selection
         name = want.suite.strip()
         paths = suites.where(F.col("suite") == name)
         if paths.isEmpty():
-            known = [r[0] for r in suites.groupBy("suite").agg(F.min("suite_ord").alias("o")).orderBy("o").limit(1000).select("suite").collect()]
-            raise ValueError(f'Unknown suite "{name}". Available suites: {", ".join(known)}')
+            known = _named(suites.groupBy("suite").agg(F.min("suite_ord").alias("o")), "o", "suite")
+            raise ValueError(f'Unknown suite "{name}". Available suites: {known}')
         paths = paths.where("repo_path is not null")
-        missing = [r[0] for r in paths.join(catalog, "repo_path", "left_anti").orderBy("ord").limit(1000).select("repo_path").collect()]
+        missing = _named(paths.join(catalog, "repo_path", "left_anti"), "ord", "repo_path")
         if missing:
-            raise ValueError(f'Suite "{name}" contains evaluations not declared by a language experiment: {", ".join(missing)}')
+            raise ValueError(f'Suite "{name}" contains evaluations not declared by a language experiment: {missing}')
         out = out.join(paths.select("repo_path"), "repo_path", "left_semi")
     filters = want.filters()
     if want.mode == "tags" and not filters:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import functions as F
 
 from gradelake.functions.scalars import markdown_cell, percentage
 from gradelake.operators.fanin import FanIn
+from gradelake.operators.ops import in_ranges
 from gradelake.operators.oracle import OracleSummary
 
 
@@ -15,6 +18,9 @@ SERVICE_HEAD = ["## Service totals", "", "| Service | Variant | Trials | Prompt
 SHARD_HEAD = ["## Shards", "", "| Language | Variant | Trials | Prompt | Language | Program |", "|---|---|---:|---:|---:|---:|"]
 ORACLE_HEAD = ["| Language | Scenarios | Prompt | Language | Program | Errors |", "|---|---:|---:|---:|---:|---:|"]
 FAILURE_HEAD = ["| Scenario | Category | Check | Evidence |", "|---|---|---|---|"]
+COMPLETED = "Completed {} trial(s) across {}/{} shard(s)."
+COLLECTED = "Collected {}/{} scenario result(s)."
+FAILURES, INTEGRITY, NO_FAILURES = "## Check and infrastructure failures", "## Integrity", "None."
 ALL_COLLECTED = "All expected shards and trial results were collected without integrity errors."
 ALL_ORACLES = "All expected oracle results were collected."
 #: Problems and failures that a report lists; it states how many more there are.
@@ -51,7 +57,7 @@ def fan_in_report(result: FanIn, order, title: str = "# Evaluation summary") ->
     shards = order.join(result.shards.select("language", "variant").distinct().withColumn("there", F.lit(1)), ["language", "variant"], "left")
     done = result.trials.count()
     n_shards, n_expected = result.shards.count(), result.expected.count()
-    lines = [title, "", f"Completed {done} trial(s) across {n_shards}/{n_expected} shard(s).", "", *VARIANT_HEAD]
+    lines = [title, "", COMPLETED.format(done, n_shards, n_expected), "", *VARIANT_HEAD]
     lines += _rows(variants.join(t.where("level = 'variant'").drop("language", "service"), "variant", "left").orderBy("ord"), "variant", trials, *pick())
     lines += ["", *SERVICE_HEAD]
     lines += _rows(t.where("level = 'service'").orderBy(F.expr("service COLLATE UNICODE"), F.expr("variant COLLATE UNICODE")), "service", "variant", trials, *pick())
@@ -59,28 +65,38 @@ def fan_in_report(result: FanIn, order, title: str = "# Evaluation summary") ->
     lines += _rows(shards.join(t.where("level = 'shard'").drop("service"), ["language", "variant"], "left").orderBy("ord"), "language", "variant", F.concat(trials, F.lit("/"), F.col("evaluations").cast("string")), *pick())
     problems = [r["problem"] for r in _listed(result.problems, "ord")]
     problems += _more(len(problems), result.problems, "problems")
-    lines += ["", "## Integrity", ""]
+    lines += ["", INTEGRITY, ""]
     lines += [f"- {p}" for p in problems] or [ALL_COLLECTED]
     t.unpersist()
     return "\n".join([*lines, ""]), problems
 
 
 def oracle_report(result: OracleSummary, expected: int, title: str = "# Oracle summary") -> tuple[str, list[str]]:
-    lines = [title, "", f"Collected {result.received}/{expected} scenario result(s).", "", *ORACLE_HEAD]
+    lines = [title, "", COLLECTED.format(result.received, expected), "", *ORACLE_HEAD]
     lines += _rows(result.totals.orderBy(F.expr("language COLLATE UNICODE")), "language", F.col("scenarios").cast("string"), *(_cell(k) for k in ("prompt", "language", "program")), F.col("errors").cast("string"))
-    lines += ["", "## Check and infrastructure failures", ""]
+    lines += ["", FAILURES, ""]
     failed = _rows(result.failures.orderBy("n", "k").limit(MOST_LISTED), "scenario", "category", "name", markdown_cell("evidence"))
-    lines += [*FAILURE_HEAD, *failed, *_more(len(failed), result.failures, "failures")] if failed else ["None."]
+    lines += [*FAILURE_HEAD, *failed, *_more(len(failed), result.failures, "failures")] if failed else [NO_FAILURES]
     integrity = [r["problem"] for r in _listed(result.integrity, "part", "n", "k")]
     integrity += _more(len(integrity), result.integrity, "problems")
-    lines += ["", "## Integrity", "", *([f"- {x}" for x in integrity] or [ALL_ORACLES])]
+    lines += ["", INTEGRITY, "", *([f"- {x}" for x in integrity] or [ALL_ORACLES])]
     return "\n".join(lines) + "\n", integrity
 
 
-def write_report(markdown: str, problems: list[str], path: str | None = None) -> int:
-    """Print the report, write it if a path is given, and return the exit status."""
+def every_line(rows, *order: str, line: str = "problem") -> Iterator[str]:
+    """All lines of a list, however many: a range of the order at a time comes to the driver."""
+    for r in in_ranges(rows.select(*order, line), *order).orderBy("_part", "_place").select(line).toLocalIterator():
+        yield r[0]
+
+
+def write_report(markdown: str, problems: list[str], path: str | None = None, every: Iterator[str] | None = None) -> int:
+    """Print the report, write it if a path is given, and return the exit status. With ``every``, the file lists all problems in place of the first."""
     if path:
         with open(path, "w", encoding="utf-8") as f:
-            f.write(markdown)
+            if every is None or not problems:
+                f.write(markdown)
+            else:
+                f.write(markdown.rpartition(f"{INTEGRITY}\n\n")[0] + f"{INTEGRITY}\n\n")
+                f.writelines(f"- {x}\n" for x in every)
     print(markdown)
     return int(bool(problems))

@@ -542,9 +542,12 @@ def _result_files(spark, d):
     tree = F.struct(F.array(F.struct(F.struct(criteria.alias("criteria")).alias("metadata"), programs.alias("details"))).alias("details"))
     row = F.struct(F.concat(F.lit("e"), number.cast("string")).alias("evalName"), F.when(divides(29), "other").otherwise(variant).alias("variant"), F.when(divides(23), "error").otherwise("success").alias("status"), F.when(~divides(19), F.concat(F.lit("svc"), (number % 4).cast("string"))).alias("service"), tree.alias("gradeResult"))
     line = F.when(divides(37), '{"a":1} trailing').otherwise(F.to_json(row))
-    lines = docs.select(F.concat_ws("-", "lang", variant).alias("shard"), F.explode(F.array_repeat(line, F.when(divides(31) & ~divides(37), 2).otherwise(1).cast("int"))).alias("value"))
+    lines = docs.select(F.concat_ws("-", "lang", variant).alias("shard"), "doc_id", F.explode(F.array_repeat(line, F.when(divides(31) & ~divides(37), 2).otherwise(1).cast("int"))).alias("value"))
     root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
-    lines.write.partitionBy("shard").text(f"{root}/a")
+    # One file for each shard, its lines by document; blank ones between them don't count.
+    spaced = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\u00a0\n"), F.col("value"), F.lit("\r"))).otherwise(F.col("value"))
+    lines.repartition("shard").sortWithinPartitions("shard", "doc_id").select("shard", spaced.alias("value")).write.partitionBy("shard").text(f"{root}/a")
+    spark.createDataFrame([("en-v0", "en", "v0", 1)], "shard string, language string, variant string, expectedEvaluations bigint").coalesce(1).write.partitionBy("shard").json(f"{root}/b")
     shards = docs.where(~divides(37)).groupBy("lang", variant.alias("variant")).agg(F.count(F.lit(1)).alias("n"))
     shards.select(F.concat_ws("-", "lang", "variant").alias("shard"), F.col("lang").alias("language"), "variant", F.col("n").alias("expectedEvaluations")).write.mode("append").partitionBy("shard").json(f"{root}/a")
     known = shards.where("not (lang = 'es' and variant = 'v2')").select(F.col("lang").alias("language"), "variant", (F.col("n") + F.when(F.col("variant") == "v1", 1).otherwise(0)).alias("evaluations"))
@@ -560,11 +563,13 @@ def _fan_in(spark, d):
 
 @query(
     f"""WITH {_TRIALS}, {_SHARDS}, lab AS (SELECT lang, {_VARIANT} AS v, doc_id FROM documents JOIN labels USING (doc_id)),
+    placed AS (SELECT lang, v, doc_id, CAST(sum(CASE WHEN doc_id % 31 = 0 AND doc_id % 37 <> 0 THEN 2 ELSE 1 END) OVER (PARTITION BY lang, v ORDER BY doc_id) AS BIGINT) AS place FROM lab),
     want AS (SELECT lang, shard_variant, n + CASE WHEN shard_variant = 'v1' THEN 1 ELSE 0 END AS n FROM sh WHERE NOT (lang = 'es' AND shard_variant = 'v2')),
     p AS (
         SELECT 'Missing shard artifact: xx/v0' AS problem
         UNION ALL SELECT 'Unexpected shard artifact: es/v2' FROM sh WHERE lang = 'es' AND shard_variant = 'v2'
-        UNION ALL SELECT 'Malformed result in ' || lang || '/' || v FROM lab WHERE doc_id % 37 = 0
+        UNION ALL SELECT 'Duplicate shard manifest: en/v0'
+        UNION ALL SELECT 'Malformed result in ' || lang || '/' || v || ' (file:' || place || ')' FROM placed WHERE doc_id % 37 = 0
         UNION ALL SELECT 'Manifest count mismatch in ' || lang || '/' || shard_variant || ': expected ' || want.n || ', manifest reports ' || sh.n FROM want JOIN sh USING (lang, shard_variant) WHERE want.n <> sh.n
         UNION ALL SELECT 'Incomplete shard ' || lang || '/' || shard_variant || ': expected ' || want.n || ' result(s), found ' || seen FROM want JOIN sh USING (lang, shard_variant) WHERE want.n <> seen
         UNION ALL SELECT 'Duplicate result: ' || variant || '/' || name FROM t WHERE doc_id % 31 = 0
@@ -581,8 +586,8 @@ def _fan_in(spark, d):
     ) SELECT problem, count(*) AS n FROM p GROUP BY problem"""
 )
 def fan_in_problems(spark, d):
-    # The place of a malformed line is that of a file with a random name.
-    problem = F.regexp_replace("problem", r"^(Malformed result in [^ ]+) .*$", "$1")
+    # The file of a malformed line has a random name, and the words of the parser are its own.
+    problem = F.regexp_replace("problem", r"^(Malformed result in [^ ]+) \([^:]*:([0-9]+)\).*$", "$1 (file:$2)")
     return _fan_in(spark, d).problems.groupBy(problem.alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -621,6 +626,28 @@ def fan_in_report_lines(spark, d):
     return spark.createDataFrame(list(enumerate(short, 1)), "place bigint, line string")
 
 
+@query(
+    f"""WITH {_TRIALS}, r AS (SELECT CASE WHEN doc_id % 19 <> 0 THEN 'svc' || (doc_id % 4) WHEN doc_id % 2 = 0 THEN 'looked-up' ELSE 'unknown' END AS service, variant FROM t),
+    v AS (SELECT variant, count(*) AS n FROM r GROUP BY 1), s AS (SELECT service, variant, count(*) AS n FROM r GROUP BY ALL),
+    sh AS (SELECT DISTINCT lang, {_VARIANT} AS v FROM documents JOIN labels USING (doc_id) WHERE doc_id % 37 <> 0),
+    e AS (SELECT lang, v FROM sh WHERE NOT (lang = 'es' AND v = 'v2') UNION ALL SELECT 'xx', 'v0'),
+    o AS (SELECT v AS variant, min(lang || v) AS k FROM e GROUP BY 1)
+    SELECT 'variants' AS part, row_number() OVER (ORDER BY k) AS place, '| ' || variant || ' | ' || coalesce(n, 0) || ' |' AS line FROM o LEFT JOIN v USING (variant)
+    UNION ALL SELECT 'services', row_number() OVER (ORDER BY service, variant), '| ' || service || ' | ' || variant || ' | ' || n || ' |' FROM s
+    UNION ALL SELECT 'head', 1, 'Completed ' || (SELECT count(*) FROM r) || ' trial(s) across ' || (SELECT count(*) FROM sh) || '/' || (SELECT count(*) FROM e) || ' shard(s).'"""
+)
+def fan_in_report_order(spark, d):
+    """The report's sentence of what was completed and its tables of variants, in the order of the matrix, and of services, in locale order."""
+    root, expected, services = _result_files(spark, d)
+    result = fanin.fan_in(spark, root, expected, services, {k: ("program/c",) for k in ("en", "de", "fr", "es")}, results="*.txt", manifest="*.json")
+    text, _ = report.fan_in_report(result, expected)
+    rows = [("head", 1, next(x for x in text.split("\n") if x.startswith("Completed ")))]
+    for part, title, cells in (("variants", "## Variant totals", 3), ("services", "## Service totals", 4)):
+        lines = text.split(title)[1].split("##")[0].strip().split("\n")[2:]
+        rows += [(part, k, "|".join(x.split("|")[:cells]) + "|") for k, x in enumerate(lines, 1)]
+    return spark.createDataFrame(rows, "part string, place bigint, line string")
+
+
 def _oracle_rows(spark, d):
     """(ord, row VARIANT) made from orders, with defects by order number; a thousand rows to a path."""
     k = F.col("o_orderkey")
@@ -792,7 +819,7 @@ def _specs(spark, d):
 
 @query(
     """WITH s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 0 THEN 'cobol' WHEN p_partkey % 3 = 1 THEN 'python' ELSE 'go' END AS lang, p_partkey % 3 = 1 AS python FROM part)
-    SELECT k AS p_partkey, 'one panel' AS rule, 0 AS found, 1 AS wanted FROM s WHERE k % 7 = 0
+    SELECT k AS p_partkey, 'one panel' AS rule, CAST(0 AS BIGINT) AS found, CAST(1 AS BIGINT) AS wanted FROM s WHERE k % 7 = 0
     UNION ALL SELECT k, 'no weights', 0, 1 FROM s WHERE k % 11 = 0
     UNION ALL SELECT k, 'one scope', 0, 1 FROM s WHERE k % 13 = 0
     UNION ALL SELECT k, 'first model', 0, 1 FROM s WHERE k % 17 = 0
@@ -1115,6 +1142,66 @@ def session_values(spark, d):
     return spark.read.parquet(f"{work}/rows").select("event_id", "user_id", "large", "price", "sequence")
 
 
+@query("SELECT p_partkey, p_partkey % 4 <> 0 AND p_partkey % 7 <> 0 AS has FROM part")
+def filter_given(spark, d):
+    """Whether a filter holds more than blanks."""
+    key = F.col("p_partkey")
+    value = F.when(key % 7 != 0, F.when(key % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_brand")))
+    return table(spark, d, "part").select("p_partkey", S.has_value(value).alias("has"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN text END AS said,
+        CASE turn % 3 WHEN 0 THEN 'Expected one oracle result, received 0' WHEN 2 THEN 'Expected one oracle result, received 2' END AS error FROM conversations"""
+)
+def stdout_outcomes(spark, d):
+    """Outputs of commands with none, one and two values."""
+    one = F.to_json(F.struct(F.col("text").alias("said")))
+    text = F.concat(F.lit("\r\n\ufeff \n"), F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, one).otherwise(F.concat(one, F.lit("\r\n"), one)), F.lit("\n"))
+    rows = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), text.alias("stdout"))
+    return files.outcomes(rows).select("id.conv_id", "id.turn", F.try_variant_get("outcome", "$.said", "string").alias("said"), "error")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def produced_events(spark, d):
+    """Events appended to a folder in small files, and received by a run that is bounded in time."""
+    work = _work(spark)
+    rows = table(spark, d, "events").select("event_id", "event_type", "value")
+    streams.produce(rows, f"{work}/in", max(1, rows.count() // 20))
+    streams.ingest(streams.read_events(spark, f"{work}/in", rows.schema, 5), f"{work}/out", f"{work}/checkpoint", 600)
+    return spark.read.schema(rows.schema).parquet(f"{work}/out")
+
+
+@query(
+    """WITH n AS (SELECT count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) AS missing FROM part)
+    SELECT 'mode' AS "case", 'Unknown selection mode "some".' AS message
+    UNION ALL SELECT 'name', 'Suite selection requires --suite <name>.'
+    UNION ALL SELECT 'suite', 'Unknown suite "none". Available suites: all, large'
+    UNION ALL SELECT 'tags', 'Tag selection requires at least one key=value filter.'
+    UNION ALL SELECT 'nothing', 'The requested selection matched no experiment evaluations.'
+    UNION ALL SELECT 'undeclared', 'Suite "all" contains evaluations not declared by a language experiment: ' || missing FROM n"""
+)
+def selection_errors(spark, d):
+    """What wrong selections are told; of undeclared evaluations, how many there are."""
+    entries, large = _catalog(spark, d)
+    every = entries.select(F.lit("all").alias("suite"), F.lit(-1).alias("suite_ord"), F.lit(0).alias("ord"), "repo_path")
+    suites = written(every.union(large), "suites")
+    declared = entries.join(large.select("repo_path"), "repo_path", "left_semi")
+    cases = {"mode": Selection(mode="some"), "name": Selection(mode="suite", suite=" "), "suite": Selection(mode="suite", suite="none"), "tags": Selection(mode="tags"), "nothing": Selection(mode="all", plane="other"), "undeclared": Selection(mode="suite", suite="all")}
+    rows = []
+    for name, want in cases.items():
+        try:
+            select_entries(declared, suites, want)
+        except ValueError as e:
+            told = str(e)
+            if name == "undeclared":
+                head, _, names = told.partition(": ")
+                listed, _, more = names.partition(" and ")
+                told = f"{head}: {len(listed.split(', ')) + int((more or '0').split()[0])}"
+            rows.append((name, told))
+    return spark.createDataFrame(rows, "case string, message string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pass rates by language and source, with the rate as it stands in the report, in locale order."""
     rows = pass_rate_by_group(spark, sf_dir)

@@ -287,6 +287,20 @@ def one_outcome(text: str):
     return found[0]
 
 
+def outcomes(outputs: DataFrame, id_col: str = "id", text_col: str = "stdout") -> DataFrame:
+    """(id, outcome VARIANT, error) of commands' outputs, each of which must hold exactly one value: the error says what else it holds.
+
+    Values stand one to a line; a malformed line ends the job, as in ``json_lines``. A null output is an error.
+    """
+    lines = F.split(F.col(text_col), "\r?\n")
+    rows = outputs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"), F.filter(lines, lambda x: x.rlike(f"[^{BLANK}]")).alias("found"))
+    rows = written(rows, "outputs")
+    one = parsed(rows.where("size(found) = 1").select("id", "n", F.col("found")[0].alias("text")), "text", "Malformed output", "n")
+    told = F.when(F.col("found").isNull(), "The command gave no standard output").otherwise(F.concat(F.lit("Expected one oracle result, received "), F.size("found").cast("string")))
+    rest = rows.where("coalesce(size(found), 0) <> 1").select("id", F.lit(None).cast("variant").alias("outcome"), told.alias("error"))
+    return one.select("id", F.col("row").alias("outcome"), F.lit(None).cast("string").alias("error")).union(rest)
+
+
 def scenario_directories(spark: SparkSession, root: str, names: list[str] | None = None, service: str | None = None, every: bool = False, language: str | None = None) -> DataFrame:
     """(scenario, language, path) of the folders right under root whose eval.yaml a selector takes, in name order.
 

@@ -206,6 +206,17 @@ def insert_after(text, anchor: str, addition: str) -> Column:
     return F.when(at == 0, _c(text)).otherwise(F.concat(_c(text).substr(F.lit(1), end), F.lit(addition), _c(text).substr(end + 1, F.length(_c(text)))))
 
 
+#: Commands that are scripts on one platform and need its shell there, and how that is called.
+SHELL_COMMANDS, SHELL, SHELL_ARGS = ("npm", "npx"), "cmd.exe", ("/d", "/s", "/c")
+
+
+def shell_commands(text, platform) -> Column:
+    """A spec whose ``command:`` lines name the shell where the platform (win32) needs it: the command becomes its last argument. Only commands that have a list of arguments right after them are changed."""
+    args = "".join(rf"$1  - {a}\n" for a in SHELL_ARGS)
+    changed = F.regexp_replace(_c(text), F.lit(rf"(?m)^(\s+)command: ({'|'.join(SHELL_COMMANDS)})\r?\n\1args:\r?\n"), F.lit(f"$1command: {SHELL}\n$1args:\n{args}$1  - $2\n".replace("\\n", "\n")))
+    return F.when(_c(platform) == "win32", changed).otherwise(_c(text))
+
+
 def distinct_values(x) -> Column:
     return F.array_distinct(filter_values(x))
 

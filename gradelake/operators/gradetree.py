@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gradelake.sources import jsontext
 from gradelake.sources.jsontext import text_of, truthy
-from gradelake.sources.staging import written
+from gradelake.sources.staging import counted, written
 
 #: Levels that are walked in one step.
 STEP = 6
@@ -30,9 +30,10 @@ def nodes(trees: DataFrame, id_col: str = "id", tree_col: str = "tree", step: in
     rows = trees.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{tree_col}`").alias("tree"))
     if trees.schema[tree_col].dataType.simpleString() != "string":
         return _walked(rows, step)
-    first = written(rows.where("tree is not null").select("id", jsontext.strict_variant("tree").alias("v"), "tree").withColumn("tree", F.when(F.col("v").isNull(), F.col("tree"))), "trees")
+    read = rows.where("tree is not null").select("id", jsontext.strict_variant("tree").alias("v"), "tree").withColumn("tree", F.when(F.col("v").isNull(), F.col("tree")))
+    first, seen = counted(read, "trees", odd=F.count_if(F.col("tree").isNotNull()))
     out, rest = _walked(first.where("tree is null").select("id", F.col("v").alias("tree")), step), first.where("tree is not null").select("id", "tree")
-    return out if rest.isEmpty() else out.unionByName(_parsed(rest))
+    return out.unionByName(_parsed(rest)) if seen["odd"] else out
 
 
 def _bare(node: Column) -> Column:
@@ -49,14 +50,14 @@ def _walked(rows: DataFrame, step: int) -> DataFrame:
     """nodes of VARIANT trees."""
     first = jsontext.with_levels(rows, "tree", step)
     ends = F.size("_below") == 0
-    first = written(first.select("id", "_nodes", F.when(~ends, F.col("tree")).alias("tree")), "walked")
+    first, seen = counted(first.select("id", "_nodes", F.when(~ends, F.col("tree")).alias("tree")), "walked", deep=F.count_if(F.col("tree").isNotNull()))
     # Where all nodes of a tree are at hand, their places in the order of paths are its numbers.
     near = first.where("tree is null").withColumn("_order", F.array_sort(F.transform("_nodes", lambda s: s["path"]))).withColumn("_bad", F.transform(F.filter("_nodes", lambda s: _failed(s["node"])), lambda s: s["path"]))
     near = near.select("id", "_order", "_bad", F.explode("_nodes").alias("s")).select("id", "_order", "_bad", "s.*")
     error = F.exists("_bad", lambda p: F.slice(p, 1, F.size("path")) == F.col("path"))
     out = near.select("id", F.size("path").alias("depth"), (F.array_position("_order", F.col("path")) - 1).cast("int").alias("number"), _bare(F.col("node")).alias("node"), error.alias("error"))
     far = first.where("tree is not null").select("id", "tree")
-    if not far.isEmpty():
+    if seen["deep"]:
         out = out.union(_walked_on(far, step))
     return out.withColumn("whole", F.lit(None).cast("string"))
 
@@ -70,11 +71,11 @@ def _walked_on(rows: DataFrame, step: int) -> DataFrame:
         level = jsontext.with_levels(now, "tree", step)
         mark = lambda c, new: F.transform(c, lambda s: F.struct(s["path"].alias("path"), s["node"].alias("node"), F.lit(new).alias("new")))
         part = level.select("t", "at", F.explode(F.concat(mark("_nodes", False), mark("_below", True))).alias("s"))
-        part = written(part.select("t", F.concat("at", "s.path").alias("path"), "s.node", "s.new"), "levels")
+        part, seen = counted(part.select("t", F.concat("at", "s.path").alias("path"), "s.node", "s.new"), "levels", new=F.count_if(F.col("new")))
         here = part.where("not new").select("t", "path", _bare(F.col("node")).alias("node"), _failed(F.col("node")).alias("bad"))
         found = here if found is None else found.union(here)
         now = part.where("new").select("t", F.col("path").alias("at"), F.col("node").alias("tree"))
-        if now.isEmpty():
+        if not seen["new"]:
             break
     # A node is in error if a failed one's path begins with its own.
     above = found.where("bad").select("t", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path")).distinct().withColumn("error", F.lit(True))

@@ -1202,6 +1202,70 @@ def selection_errors(spark, d):
     return spark.createDataFrame(rows, "case string, message string")
 
 
+@query(
+    """SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 'user ' || user_id WHEN 'view' THEN CAST(user_id * 2 AS VARCHAR) END AS result
+    FROM events WHERE event_type IN ('click', 'view')"""
+)
+def function_calls(spark, d):
+    """Calls by name of functions of the session, with their arguments as the caller wrote them."""
+    from gradelake.operators.registry import Functions
+
+    known = Functions(spark)
+    known.scalar("named_user", {"id": "bigint"}, "string", "concat('user ', id)", "id >= 0")
+    known.scalar("doubled", {"x": "bigint"}, "bigint", "2 * x")
+    user = F.col("user_id").cast("string")
+    text = F.when(F.col("event_type") == "click", F.concat(F.lit('{"id":'), user, F.lit("}"))).otherwise(F.concat(F.lit('{"x":'), user, F.lit("}")))
+    name = F.when(F.col("event_type") == "click", "named_user").otherwise("doubled")
+    calls = table(spark, d, "events").where("event_type in ('click', 'view')").select("event_id", "event_type", name.alias("name"), F.parse_json(text).alias("arguments"))
+    return known.called(calls).select("event_id", "event_type", "result")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '  command: cmd.exe' || chr(10) || '  args:' || chr(10) || '    - /d' || chr(10) || '    - /s' || chr(10) || '    - /c' || chr(10) || '    - npm' || chr(10) ELSE '  command: npm' || chr(10) || '  args:' || chr(10) END
+        || '    - ' || p_name AS spec FROM part"""
+)
+def shell_specs(spark, d):
+    text = F.concat(F.lit("  command: npm\n  args:\n    - "), "p_name")
+    return table(spark, d, "part").select("p_partkey", S.shell_commands(text, F.when(F.col("p_partkey") % 2 == 0, "win32").otherwise("linux")).alias("spec"))
+
+
+@query(
+    """SELECT part, (place - 1) // 100 AS batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id
+    FROM (SELECT event_id, user_id % 4 AS part, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS place FROM events) GROUP BY 1, 2"""
+)
+def partition_batches(spark, d):
+    """Batches of a hundred at most inside each of four partitions."""
+    work = _work(spark)
+
+    def handle(rows, number):
+        rows.groupBy("part", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")).write.mode("overwrite").parquet(f"{work}/out/micro_batch={number}")
+
+    rows = _stream(spark, d).select("event_id", (F.col("user_id") % 4).alias("part"))
+    streams.event_batches(rows, handle, f"{work}/checkpoint", 100, "event_id", "part")
+    return spark.read.parquet(f"{work}/out").select("part", "batch", "n", "first_id", "last_id")
+
+
+@query(
+    """SELECT 'file' AS kind, 'kind=' || k || '/sub=' || s AS folder, count(*) AS n FROM (SELECT CASE WHEN page_id % 5 = 0 THEN 'skill' ELSE 'src' || page_id % 5 END AS k, CASE WHEN page_id % 3 = 0 THEN 'build' ELSE 'a' || page_id % 3 END AS s FROM pages)
+        WHERE k <> 'skill' AND s <> 'build' GROUP BY ALL
+    UNION ALL SELECT 'listed', k, 1 FROM (SELECT DISTINCT CASE WHEN page_id % 5 = 0 THEN 'kind=skill' ELSE 'kind=src' || page_id % 5 END AS k FROM pages)"""
+)
+def walked_files(spark, d):
+    """Pages written to folders, and walked: lines of the files found, and folders of the first level, which are all listed, by their names."""
+    root = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+    number = F.col("page_id")
+    kind = F.when(number % 5 == 0, "skill").otherwise(F.concat(F.lit("src"), (number % 5).cast("string")))
+    sub = F.when(number % 3 == 0, "build").otherwise(F.concat(F.lit("a"), (number % 3).cast("string")))
+    table(spark, d, "pages").select("page_id", kind.alias("kind"), sub.alias("sub")).repartition("kind", "sub").write.partitionBy("kind", "sub").json(f"{root}/in")
+    _write_text(spark, f"{root}/in/kind=skill/SKILL.md", "x")
+    found, listed = files.walked(spark, f"{root}/in", ["sub=build", "_temporary"], "SKILL.md")
+    paths = found.where("path like '%.json' and not contains(path, '/.')")
+    lines = spark.read.option("recursiveFileLookup", "true").json(f"{root}/in", schema="page_id bigint").select(F.regexp_extract(F.col("_metadata.file_path"), "(kind=.*)$", 1).alias("path"))
+    files_ = lines.join(paths, "path").select(F.lit("file").alias("kind"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+    folders = listed.where("path <> '' and not contains(path, '/')").select(F.lit("listed").alias("kind"), F.col("path").alias("folder"))
+    return files_.union(folders).groupBy("kind", "folder").agg(F.count(F.lit(1)).alias("n"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pass rates by language and source, with the rate as it stands in the report, in locale order."""
     rows = pass_rate_by_group(spark, sf_dir)

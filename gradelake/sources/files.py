@@ -5,13 +5,16 @@ Files of lines are read in splits and keep their line numbers, so parsing and ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.scalars import first_group, normalize_path, unquote
 from gradelake.sources.jsontext import errors, is_object, is_true, parsed, printable, strict_json, strict_variant, text_of, truthy, walk, with_levels, written_json
-from gradelake.sources.staging import written
+from gradelake.sources.staging import counted, written
 
 _TRIAL = (
     "message string, eval_name string, variant string, status string, service string, "
@@ -49,10 +52,10 @@ def numbered_lines(spark: SparkSession, root: str, name: str = "*", physical: bo
     raw = _under(spark, name).text(root, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
     filled = F.col("value").rlike(f"[^{BLANK}]")
     lines = (raw if physical else raw.where(filled)).withColumn("k", F.monotonically_increasing_id())
-    sizes = written(lines.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")), "splits")
+    sizes, seen = counted(lines.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")), "splits", splits=F.count(F.lit(1)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select("path", "at", (before - F.col("first") + 1).alias("shift"))
-    if sizes.count() <= MOST_SPLITS:
+    if seen["splits"] <= MOST_SPLITS:
         shift = F.broadcast(shift)
     text = F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     return lines.where(filled).join(shift, ["path", "at"]).select("path", (F.col("shift") + F.col("k")).alias("line"), text.alias("text"))
@@ -145,9 +148,9 @@ def trials(lines: DataFrame, text_col: str = "text") -> DataFrame:
     """
     keep = [c for c in lines.columns if c != text_col]
     fields = ["message", "eval_name", "variant", "status", "service", "criteria", "programs"]
-    first = written(_read_trial(lines, keep, text_col), "lines")
+    first, seen = counted(_read_trial(lines, keep, text_col), "lines", odd=F.count_if(F.col("_text").isNotNull()))
     plain, rest = first.where("_text is null").drop("_text"), first.where("_text is not null").select(*keep, "_text")
-    return plain if rest.isEmpty() else plain.union(_parsed_trials(rest, keep, fields))
+    return plain.union(_parsed_trials(rest, keep, fields)) if seen["odd"] else plain
 
 
 def _parsed_trials(lines: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
@@ -267,6 +270,46 @@ def pruned(files: DataFrame, excluded: list[str], marker: str) -> DataFrame:
     return kept.join(inside, "path", "left_anti")
 
 
+def walked(spark: SparkSession, root: str, excluded: list[str], marker: str, open_root: Callable[[str], tuple] = pafs.FileSystem.from_uri) -> tuple[DataFrame, DataFrame]:
+    """((path) of the files below root, (path) of the folders that were listed).
+
+    Folders of an excluded name are never opened, and of a folder that holds the marker file nothing is taken and nothing
+    below it is opened; the root itself is always taken. Folders are listed in rounds, a level at a time, dealt to tasks; each
+    round is written. ``open_root`` gives a file system and a path from the root's address, in each task.
+    """
+
+    def each(batches):
+        fs, base = open_root(root)
+        for batch in batches:
+            folder, name, kind = [], [], []
+            for one in batch.column("path").to_pylist():
+                inside = fs.get_file_info(pafs.FileSelector(f"{base}/{one}".rstrip("/")))
+                names = [x.base_name for x in inside]
+                folder.append(one)
+                name.append("")
+                kind.append("listed")
+                if one and marker in names:
+                    continue
+                for x in inside:
+                    is_folder = x.type == pafs.FileType.Directory
+                    if not (is_folder and x.base_name in excluded):
+                        folder.append(one)
+                        name.append(x.base_name)
+                        kind.append("folder" if is_folder else "file")
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in (folder, name, kind)], names=["folder", "name", "kind"])
+
+    now = spark.createDataFrame([("",)], "path string")
+    found, folders = None, 1
+    while folders:
+        dealt = now.repartition(max(1, min(folders, spark.sparkContext.defaultParallelism * 4)), "path")
+        level, seen = counted(dealt.mapInArrow(each, "folder string, name string, kind string"), "walk", folders=F.count_if(F.col("kind") == "folder"))
+        found = level if found is None else found.union(level)
+        now = level.where("kind = 'folder'").select(F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), "name").alias("path"))
+        folders = seen["folders"]
+    path = F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), "name")
+    return found.where("kind = 'file'").select(path.alias("path")), found.where("kind = 'listed'").select(F.col("folder").alias("path"))
+
+
 def under(listing: DataFrame, prefix: str) -> DataFrame:
     """(path, name): files below a prefix, and their names without it."""
     return listing.where(F.col("path").startswith(prefix)).select("path", F.expr(f"substring(path, {len(prefix) + 1})").alias("name"))

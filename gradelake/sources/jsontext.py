@@ -194,13 +194,14 @@ def parsed(lines: DataFrame, text_col: str, error: str, number_col: str = "line"
     A malformed text is an error, which names the line. Lines are written once; only those that Spark doesn't
     read as the standard does meet the parser.
     """
-    from gradelake.sources.staging import written
+    from gradelake.sources.staging import counted
 
     keep = [c for c in lines.columns if c != text_col]
-    first = written(lines.select(*keep, strict_variant(text_col).alias("row"), F.when(strict_variant(text_col).isNull(), F.coalesce(text_col, F.lit(""))).alias("_text")), "parsed")
+    read = lines.select(*keep, strict_variant(text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_text", F.when(F.col("row").isNull(), F.col("_text")))
+    first, seen = counted(read, "parsed", odd=F.count_if(F.col("_text").isNotNull()))
     plain = first.where("_text is null").select(*keep, "row", F.lit(None).cast("string").alias("whole"))
     rest = first.where("_text is not null").drop("row")
-    if rest.isEmpty():
+    if not seen["odd"]:
         return plain
     schema = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in keep)
 

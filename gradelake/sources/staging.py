@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 _made: list[str] = []
@@ -35,6 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Write df once, and count while it is written: no second read for the numbers."""
+    seen = Observation()
+    out = written(df.observe(seen, *(c.alias(k) for k, c in counts.items())), name)
+    return out, {k: v or 0 for k, v in seen.get.items()}
+
+
 def release(spark: SparkSession) -> int:
     """Delete all tables written so, once the results that read them are written. Returns how many."""
     n = len(_made)

@@ -99,16 +99,21 @@ def flattened(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return one.select(F.col("e.id").alias("event_id"), F.coalesce("e.eventType", "e.type").alias("event_type"), F.col("e.subject").alias("subject"))
 
 
-def event_batches(stream: DataFrame, handle, checkpoint: str, size: int = 100, order: str | None = None) -> None:
+def event_batches(stream: DataFrame, handle, checkpoint: str, size: int = 100, order: str | None = None, partition: str | None = None) -> None:
     """Hand events on in batches of at most ``size``: handle(rows, number of the micro-batch), where the column ``batch`` of rows numbers them.
 
-    Consecutive events by ``order``, a unique key, share a batch; without it, those that stand together in a file do.
+    Consecutive events by ``order``, a unique key, share a batch; without it, those that stand together in a file do. With
+    ``partition``, a batch holds events of one partition, and each has its own numbers from 0.
     """
 
     def each(rows: DataFrame, number: int) -> None:
         key = order or "_n"
         numbered = rows if order else rows.withColumn("_n", F.monotonically_increasing_id())
-        handle(chunks(numbered, key, size).withColumnRenamed("chunk", "batch").drop("_n"), number)
+        if partition is None:
+            out = chunks(numbered, key, size).withColumnRenamed("chunk", "batch")
+        else:
+            out = starting_ranks(in_ranges(numbered, partition, key), [partition]).withColumn("batch", F.floor(F.col("_nth") / size)).drop("_nth")
+        handle(out.drop("_n"), number)
 
     _finish(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
 

@@ -35,6 +35,8 @@ class Template:
     least: float = 1.0
     #: Words by which these places, and that of the second phrase, may be off.
     slack: int = 0
+    #: Whether the words around must say that it is the license of something; for short names.
+    context: bool = False
 
 
 def split_words(text: str) -> list[bytes]:
@@ -45,24 +47,50 @@ def split_words(text: str) -> list[bytes]:
 BASE = (Template("cc-by", "cc by"), Template("gpl", "general public license"), Template("reserved", "all rights reserved"))
 #: Names that licenses go by.
 NAMES = (
-    Template("mit", "mit license"),
+    Template("mit", "mit license", context=True),
+    Template("mit", "mit licence", context=True),
     Template("apache-2.0", "apache license version 2 0"),
     Template("apache-2.0", "apache license 2 0"),
+    Template("apache-2.0", "apache 2 0 license", context=True),
+    Template("apache-2.0", "apache 2 0 licence", context=True),
+    Template("apache-2.0", "apache licence version 2 0"),
     Template("gpl-3.0", "gnu general public license version 3"),
     Template("gpl-2.0", "gnu general public license version 2"),
+    Template("gpl-3.0", "gplv3", context=True),
+    Template("gpl-2.0", "gplv2", context=True),
+    Template("gpl-3.0", "gpl v3", context=True),
+    Template("gpl-2.0", "gpl v2", context=True),
     Template("lgpl", "lesser general public license"),
+    Template("lgpl", "lgplv3", context=True),
     Template("agpl", "affero general public license"),
+    Template("agpl", "agplv3", context=True),
     Template("mpl-2.0", "mozilla public license"),
-    Template("bsd", "bsd license"),
-    Template("isc", "isc license"),
+    Template("bsd", "bsd license", context=True),
+    Template("bsd", "bsd licence", context=True),
+    Template("isc", "isc license", context=True),
     Template("bsl-1.0", "boost software license"),
     Template("epl", "eclipse public license"),
     Template("cc-by-nc", "cc by nc"),
     Template("cc-by-sa", "cc by sa"),
     Template("cc-by-nd", "cc by nd"),
+    Template("cc-by-sa", "creative commons attribution sharealike"),
+    Template("cc-by-nc", "creative commons attribution noncommercial"),
+    Template("cc-by", "creative commons attribution 4 0"),
     Template("cc0", "cc0 1 0"),
     Template("public-domain", "into the public domain"),
 )
+#: Identifiers of licenses, as words, by their label.
+IDENTIFIERS = {
+    "mit": ("mit",), "apache-2.0": ("apache 2 0",), "gpl-3.0": ("gpl 3 0",), "gpl-2.0": ("gpl 2 0",), "lgpl": ("lgpl 2 1", "lgpl 3 0"), "agpl": ("agpl 3 0",), "mpl-2.0": ("mpl 2 0",), "bsd": ("bsd 2 clause", "bsd 3 clause"),
+    "isc": ("isc",), "bsl-1.0": ("bsl 1 0",), "epl": ("epl 2 0",), "zlib": ("zlib",), "unlicense": ("unlicense",), "cc0": ("cc0 1 0",), "cc-by": ("cc by 4 0",), "cc-by-sa": ("cc by sa 4 0",),
+}
+#: The line that names the license of a file.
+MARKS = tuple(Template(label, f"spdx license identifier {x}") for label, xs in IDENTIFIERS.items() for x in xs)
+#: Words up to NEAR words before a name that say it is a license given, words as near behind it that do, and words that deny it.
+LEADS = tuple(b"under licensed licenced license licence licenses released distributed terms covered".split())
+AFTER = tuple(b"copyright permission".split())
+DENIED = tuple(b"no not without never non".split())
+NEAR, DENIED_NEAR, HEAD = 6, 4, 3
 #: Texts of licenses and the notices that go into files.
 TEXTS = (
     Template(
@@ -116,7 +144,7 @@ TEXTS = (
         ("creative commons attribution 4 0 international",), 0.4, 8,
     ),
 )
-NOTICES = (*NAMES, *TEXTS)
+NOTICES = (*NAMES, *MARKS, *TEXTS)
 #: Rare words of a template that are indexed; names have fewer.
 RARE = 12
 
@@ -143,7 +171,7 @@ class Index:
                 # Without any of the rarest words, the weight of the rest falls short.
                 self.postings.setdefault(words[k], []).append((i, r, k, over <= (1 - t.least) * total + 1e-9))
                 over += w
-            self.templates.append((t.label, phrases, [_find(words, p) for p in phrases], order, weight, total, t.least, t.slack))
+            self.templates.append((t.label, phrases, [_find(words, p) for p in phrases], order, weight, total, t.least, t.slack, t.context))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[str, float]]:
         """Base places (start, template) and the best score of each label found."""
@@ -160,7 +188,7 @@ class Index:
                 if proposes:
                     proposed.setdefault(i, set()).add(p - k)
         for i, starts in proposed.items():
-            label, phrases, at, _, weight, total, least, slack = self.templates[i]
+            label, phrases, at, _, weight, total, least, slack, context = self.templates[i]
             mine = near[i]
             if sum(weight[r] for r in mine) < least * total - 1e-9:
                 continue
@@ -168,6 +196,8 @@ class Index:
             for start in {s + d for s in starts for d in range(-slack, slack + 1)} if slack else starts:
                 if not self._stands(words, start + at[0], phrases[0]):
                     continue
+                if context and not self._given(words, start, len(phrases[0])):
+                    continue
                 if len(phrases) > 1 and not any(self._stands(words, start + at[1] + d, phrases[1]) for d in range(-slack, slack + 1)):
                     continue
                 part = sum(weight[r] for r, where in mine.items() if any(start + d in where for d in range(-slack, slack + 1))) / total
@@ -177,6 +207,14 @@ class Index:
                         found.append((start, i))
         return sorted(found), scores
 
+    @staticmethod
+    def _given(words: list[bytes], at: int, n: int) -> bool:
+        """Whether a name of n words is that of a license given, at the head of a text or by the words around it."""
+        before = words[max(0, at - NEAR) : at]
+        if not set(before[-DENIED_NEAR:]).isdisjoint(DENIED):
+            return False
+        return at <= HEAD or not set(before).isdisjoint(LEADS) or not set(words[at + n : at + n + NEAR]).isdisjoint(AFTER)
+
     @staticmethod
     def _stands(words: list[bytes], at: int, phrase: list[bytes]) -> bool:
         return at >= 0 and words[at : at + len(phrase)] == phrase
@@ -233,20 +271,24 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def _words_of(xs) -> str:
+    return "[" + ", ".join(f"'{x.decode()}'" for x in xs) + "]"
+
+
 def _template_rows() -> str:
-    listed = lambda xs: "[" + ", ".join(f"'{x.decode()}'" for x in xs) + "]"
+    listed = _words_of
     rows = []
     for i, t in enumerate((*BASE, *NOTICES)):
         words, phrases = split_words(t.text), [split_words(x) for x in t.phrases or (t.text,)]
         off = [_find(words, p) for p in phrases] + [0]
         more = listed(phrases[1]) if len(phrases) > 1 else "CAST([] AS VARCHAR[])"
-        rows.append(f"({i}, '{t.label}', {listed(words)}, {listed(phrases[0])}, {off[0]}, {more}, {off[1]}, {t.least}::DOUBLE, {t.slack}, {str(i < len(BASE)).lower()})")
+        rows.append(f"({i}, '{t.label}', {listed(words)}, {listed(phrases[0])}, {off[0]}, {more}, {off[1]}, {t.least}::DOUBLE, {t.slack}, {str(i < len(BASE)).lower()}, {str(t.context).lower()})")
     return ", ".join(rows)
 
 
 #: The templates as rows; the first phrase is looked for at every word, without the index.
 OP5_SQL = rf"""
-WITH t(id, label, words, phrase, off, more, off2, need, slack, base) AS (VALUES {_template_rows()}),
+WITH t(id, label, words, phrase, off, more, off2, need, slack, base, context) AS (VALUES {_template_rows()}),
 d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 v AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM t),
 f AS (SELECT word, count(*) AS df FROM (SELECT k, unnest(list_distinct(w)) AS word FROM d) SEMI JOIN v USING (word) GROUP BY word),
@@ -258,7 +300,9 @@ m AS (SELECT t.*, rw, rp, ri, total, k, w, p - off AS s FROM p JOIN t ON w[p] =
 found AS (
     SELECT k, label, base, need, s - 1 AS start,
         list_sum(list_transform(range(1, len(rw) + 1), lambda j: CASE WHEN s + rp[j] + slack >= 1 AND list_contains(list_slice(w, greatest(s + rp[j] - slack, 1), s + rp[j] + slack), rw[j]) THEN ri[j] ELSE 0 END)) / total AS part
-    FROM m WHERE len(more) = 0 OR len(list_filter(range(-slack, slack + 1), lambda x: s + off2 + x >= 1 AND list_slice(w, s + off2 + x, s + off2 + x + len(more) - 1) = more)) > 0
+    FROM m WHERE (len(more) = 0 OR len(list_filter(range(-slack, slack + 1), lambda x: s + off2 + x >= 1 AND list_slice(w, s + off2 + x, s + off2 + x + len(more) - 1) = more)) > 0)
+        AND (NOT context OR (NOT list_has_any(CASE WHEN s > 1 THEN list_slice(w, greatest(s - {DENIED_NEAR}, 1), s - 1) ELSE [] END, {_words_of(DENIED)})
+            AND (s <= {HEAD} + 1 OR list_has_any(list_slice(w, greatest(s - {NEAR}, 1), s - 1), {_words_of(LEADS)}) OR list_has_any(list_slice(w, s + len(phrase), s + len(phrase) + {NEAR} - 1), {_words_of(AFTER)}))))
 ),
 ok AS (SELECT * FROM found WHERE part >= need - 1e-9),
 g AS (

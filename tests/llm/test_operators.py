@@ -225,6 +225,18 @@ def test_license_method_labels(spark):
     assert [r["labels"] for r in license_scan(df).orderBy("doc_id").collect()] == list(given.values())
 
 
+def test_license_names_need_their_context(spark):
+    from gradelake.llm.license_scan import license_scan
+
+    given = {
+        "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0 or so": "apache-2.0", "It is released under the GPLv3.": "gpl-3.0", "It comes under the MIT licence": "mit", "under the Apache 2.0 license": "apache-2.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa", "We discussed at length the MIT License dispute at court; this is no license.": "", "Words of all kinds, but this text is not under the MIT License at all": "",
+        "MIT License Copyright 2020": "mit", "So it says in the end here: MIT License. Copyright 2020 by me": "mit", "All that we said of GPLv3 there was idle talk": "", "a list of things we have bsd license plates and more": "", "x y z w v License: BSD License": "bsd",
+    }
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id bigint, text string")
+    assert [r["labels"] for r in license_scan(df).orderBy("doc_id").collect()] == list(given.values())
+
+
 def test_license_against_sql_on_notices(spark):
     """The index and the SQL, which knows none, on cut, changed and mixed texts."""
     from gradelake.llm.license_scan import NOTICES, OP5_SQL

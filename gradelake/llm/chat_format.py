@@ -34,11 +34,11 @@ def chat_format(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     Turns are ordered by turn, then role, then text, nulls first, so ties and repeated rows give one
     result; repeated rows are kept as turns. Null roles and texts count as empty; a null conversation id is
     one conversation. Other columns are ignored. No rows: no conversations. A conversation becomes one
-    string, so the longest one must fit into an executor's memory.
+    string, so the longest one must fit into an executor's memory; a text may be as long as that allows.
     """
     turns = df.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("_s"),
+        F.col(f"`{conv}`").alias("conv_id"),
+        F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).alias("_s"),
     )
     rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("_s")).alias("_t"))
     # Turns of one role that follow each other become a block: its role and the array of its texts.

@@ -112,14 +112,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     occur, spans the merged ranges [s, e) of hit words, digest the SHA-256 of the text where there is a hit.
     contaminated: n_hit > 0 and least * n_hit >= n_words. Null and empty texts have no words; items without
     words have no window; null ids are kept (a null item id is left out of items). Repeated rows and copies
-    are looked up once and returned as often as they stand. Empty tables give no rows, or no hits.
+    are looked up once and returned as often as they stand. Empty tables give no rows, or no hits. A text may be of any
+    length: work is linear in its words.
     """
     table = windows(benchmark.select("item_id", "text"), window)
     # (window + 1) div 2 blocks and one window for each gram at most, and the ids that are sent with them.
     size = table.agg(F.count(F.lit(1)).alias("grams"), F.sum(F.size("items")).alias("ids")).first()
     small = size["grams"] * ((window + 1) // 2 + 1) + (size["ids"] or 0) <= most_hashes
     table = staged(table.coalesce(8) if small else table, "windows")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     rows = (_hits if small else _joined_hits)(rows, table)
     rows = rows.select("doc_id", F.col("_n").cast("bigint").alias("n_words"), F.expr("if(size(_hits) > 0, sha2(_text, 256), null)").alias("digest"), "_hits")
     rows = staged(rows, "hits")
@@ -164,8 +165,8 @@ def _rows(docs: DataFrame, text_col: str) -> DataFrame:
 def without_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns, whatever their names.
 
-    Null and empty texts have no words and stay; rows of equal texts stay or go together; empty tables give
-    no rows, or leave all.
+    Null and empty texts have no words and stay; rows of equal texts stay or go together, repeated rows and null ids
+    like any other; empty tables give no rows, or leave all. A text may be of any length.
     """
     rows = _rows(docs, text_col)
     bad = _by_digest(contamination(rows.select(F.lit(0).alias("doc_id"), "text"), benchmark, **options).where("contaminated"))

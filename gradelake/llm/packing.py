@@ -84,7 +84,7 @@ def tokenized(df: DataFrame, vocabulary: str, size: int, end_id: int, id_col: st
     """One row per piece: id_col, piece, start, length, ids_crc32 and, if with_ids, ids."""
     with open(vocabulary, "rb") as f:  # the file is small and on the driver; executors get its content
         content = df.sparkSession.sparkContext.broadcast(f.read())
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
@@ -207,13 +207,18 @@ def pack(df: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2, id_c
     A document is its ids followed by end_id; only documents longer than ``size`` are cut, into pieces of
     ``size`` with the shorter one first. Null texts count as empty and become the end id alone; null or
     repeated document ids are packed like any other row; other columns are ignored; an empty table gives an
-    empty result. Numbers of sequences start at 0 and the pieces of one fill it without gaps from 0.
+    empty result. Numbers of sequences start at 0 and the pieces of one fill it without gaps from 0. A text may be as
+    long as one task can hold its ids.
     """
     return packed(staged(tokenized(df, vocabulary, size, end_id, id_col, text_col, with_ids), "pieces"), size)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """The packed token arrays: sequence_id, ids, doc_ids, lengths, from pack(..., with_ids=True). A sequence has at most ``size`` ids."""
+    """The packed token arrays: sequence_id, ids, doc_ids, lengths, from pack(..., with_ids=True).
+
+    A sequence has at most ``size`` ids, in the order of their places; pieces of null, empty and repeated rows are in it
+    like any other, long texts in several sequences. No pieces: no sequences.
+    """
     rows = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
     return pieces.groupBy("sequence_id").agg(rows.alias("_r")).select("sequence_id", F.expr("flatten(transform(_r, x -> x.ids))").alias("ids"), F.expr("transform(_r, x -> x.doc_id)").alias("doc_ids"), F.expr("transform(_r, x -> x.length)").alias("lengths"))
 

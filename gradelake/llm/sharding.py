@@ -86,6 +86,10 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     return _assigned(df, id_col, text_col, limit, []).select("doc_id", "bytes", "shard", F.length("shard").alias("depth"))
 
 
+#: Tasks that shards are written by at most.
+MOST_TASKS = 100_000
+
+
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> str:
     """Write all columns as Parquet, one folder and one file for each shard: path/shard=<bits>/. A shard fits its limit, and so one task.
 
@@ -96,7 +100,9 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     while name in taken:
         name = f"shard_{int(name.partition('_')[2] or 0) + 1}"
     out = _assigned(df, id_col, text_col, limit, df.columns).select("row.*", F.col("shard").alias(name))
-    out.repartition(name).write.mode("overwrite").partitionBy(name).parquet(path)
+    # As many tasks as shards, so that each is written by itself, however many there are.
+    shards = _assigned(df, id_col, text_col, limit, []).select("shard").distinct().count()
+    out.repartition(max(1, min(shards, MOST_TASKS)), name).write.mode("overwrite").partitionBy(name).parquet(path)
     return name
 
 

@@ -54,8 +54,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, fp) for each row: fp is the fingerprint as a signed long.
+
+    Null, empty and wordless texts have the fingerprint 0. Null and repeated ids are kept, rows of equal texts have equal
+    fingerprints, other columns are ignored, and an empty table gives no rows. A text may be of any length.
+    """
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def each(batches):
         for batch in batches:

@@ -100,12 +100,12 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
     """(doc_id, n_tokens, score) for each row: pieces of the best segmentation and its log score.
 
     Null and empty texts have 0 tokens and score 0. Null and repeated ids are kept; other columns are
-    ignored. A text may be of any length; memory is linear in its longest run without a space.
+    ignored, and an empty table gives no rows. A text may be of any length; memory is linear in its longest run without a space.
     """
     pieces = unigram_vocabulary(model_file)
     key = hash(tuple(pieces))
     vocabulary = df.sparkSession.sparkContext.broadcast(pieces)  # as large as the file
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def each(batches):
         if key not in _counters:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gradelake.llm.centroids import clustered
 from gradelake.llm.chat_format import chat_format, read_back
 from gradelake.llm.decontamination import contamination, without_documents, without_spans
 from gradelake.llm.html_extract import extract
@@ -10,9 +11,11 @@ from gradelake.llm.license_scan import license_scan
 from gradelake.llm.line_dedup import line_dedup
 from gradelake.llm.packing import pack, public_vocabulary, sequences
 from gradelake.llm.quality_rules import quality_rules
+from gradelake.llm.resampling import resampled
 from gradelake.llm.sharding import sharded
 from gradelake.llm.simhash import near_duplicates
 from gradelake.llm.token_counts import token_counts
+from gradelake.llm.topk import top_k
 
 LONG = "word and " * 30_000 + "\n" + "é漢🤦 " * 10_000
 ROWS = [(1, "a b c\nd\ne\nf"), (1, "a b c\nd\ne\nf"), (1, "other text"), (None, "a b c\nd\ne\nf"), (None, None), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (5, LONG), (6, "\x00\x7f\n\n\n")]
@@ -139,3 +142,22 @@ def test_written_shards(spark, tmp_path, more):
     assert back.columns == df.columns and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     assert name == ("shard_2" if "shard" in more else "shard")
     assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "s").glob(f"{name}=*"))
+
+
+def test_columns_of_any_name(spark):
+    """Names with dots and spaces, for ids and texts."""
+    plain = spark.createDataFrame([(1, "a b c d"), (2, None)], "i bigint, t string")
+    df = plain.toDF("my.id", "my text.of it")
+    by = {"id_col": "my.id", "text_col": "my text.of it"}
+    assert {r.doc_id for r in near_duplicates(df, **by).collect()} == {1, 2}
+    assert {r.doc_id for r in contamination(df, bench(spark), **by).collect()} == {1, 2}
+    assert {r.doc_id for r in pack(df, public_vocabulary(), **by).collect()} == {1, 2}
+    assert {r.doc_id for r in token_counts(df, model(), **by).collect()} == {1, 2}
+    assert {r.doc_id for r in license_scan(df, **by).collect()} == {1, 2}
+    assert {r.doc_id for r in sharded(df, **by).collect()} == {1, 2}
+    turns = spark.createDataFrame([(1, 0, "user", "x")], "c bigint, t int, r string, x string").toDF("c.c", "t.t", "r.r", "x.x")
+    assert chat_format(turns, "c.c", "t.t", "r.r", "x.x").first().conv_id == 1
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (50, [2.0, 1.0])], "a bigint, b array<float>").toDF("a.a", "b b")
+    assert top_k(vectors, F.col("vec_id") % 50 == 0, "a.a", "b b").count() == 2
+    assert clustered(vectors, "a.a", "b b", dims=2).count() == 2
+    assert resampled(df, bench(spark), **by).count() == 2

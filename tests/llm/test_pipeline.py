@@ -103,5 +103,5 @@ def test_nulls_and_no_rows(spark):
     for given in (rows, []):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, spark.createDataFrame(given, schema), SF).collect()
-            want = {"quality rules": 0, "line dedup": 4, "SimHash near-dedup": 1, "benchmark decontamination": 4, "best-fit packing": 4}[name]
+            want = {"quality rules": 0, "line dedup": 4, "near-dedup by min-wise hashing": 1, "benchmark decontamination": 4, "best-fit packing": 4}[name]
             assert len(out) == (want if given else 0), name

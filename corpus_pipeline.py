@@ -14,6 +14,7 @@ from gradelake.llm.line_dedup import cleaned
 from gradelake.llm.packing import pack, public_vocabulary
 from gradelake.llm.quality_rules import quality_rules
 from gradelake.llm.shared import staged
+from gradelake.llm.simhash import near_duplicates
 
 #: Ids of documents to leave out that are sent to all executors at most; beyond, the documents are shuffled.
 MOST_SENT = 500_000
@@ -49,11 +50,14 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, five words at similarity 0.8: the one with the smallest id (then text hash).
 
+    Groups of the fingerprints and min-wise keys propose the pairs, and both are checked by the whole sets of shingles.
     Wordless and null texts are one group. Of rows that repeat id and text one stays; a null id counts as the
     smallest. Other columns stay as they are; an empty table gives no rows.
     """
     rows = _rows(docs).withColumn("t", F.xxhash64("text"))
-    groups = staged(similar(rows.select(F.struct("doc_id", "t").alias("doc_id"), "text")), "groups")
+    named = rows.select(F.struct("doc_id", "t").alias("doc_id"), "text")
+    alike = staged(near_duplicates(named).select(F.col("doc_id.t").alias("t"), F.xxhash64("component_id").alias("h")).distinct(), "alike")
+    groups = staged(similar(named, proposed=alike), "groups")
     gone = groups.where("not (doc_id <=> component_id)").select("doc_id").distinct()
     gone = staged(gone.select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.t").alias("h")), "gone")
     if gone.count() <= MOST_SENT:

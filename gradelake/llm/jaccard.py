@@ -2,7 +2,7 @@
 
 A text's set of shingle hashes gives ``BANDS`` keys of ``ROWS`` minima each (min-wise hashing); two texts at
 similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.997 at 0.8, 0.12 at 0.5, 0.002 at 0.3. Texts
-that share a key are compared, first by small bitmaps of the parity of shingles per bit, which differ in no more
+that share a key, or a group that the caller proposes, are compared, first by small bitmaps of the parity of shingles per bit, which differ in no more
 bits than the sets do in shingles, then by their whole sets, so no link is below the similarity. Texts with equal
 sets are one entry. Shingles and sets are told apart by 64-bit hashes.
 
@@ -175,11 +175,12 @@ def _verified(pairs: DataFrame, entries: DataFrame, texts: DataFrame, shingle: i
     return out
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, proposed: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id), one row for each row of df.
 
     component_id is the smallest doc_id in the connected component of pairs whose similarity is at least
-    ``least``. Wordless texts are alike. Null ids and repeated rows are as in ``simhash.near_duplicates``; an
+    ``least``. ``proposed`` has (t, h): the texts with the xxhash64 t are in a group h of another method, and those of one group
+    are compared like those of a key. Wordless texts are alike. Null ids and repeated rows are as in ``simhash.near_duplicates``; an
     empty table gives no rows. A text may be of any length.
     """
     p, q = least
@@ -187,6 +188,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     rows = staged(_keyed(texts, shingle), "keyed")
     every = staged(rows.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("t", "n", "bits", "short", "keys"))), "every")
     places = every.select(F.explode("keys").alias("h"), "sid")
+    if proposed is not None:
+        # Texts with equal sets are one entry here, but can be in several groups.
+        places = places.union(staged(rows.select("t", "sid").distinct().join(proposed, "t").select("h", "sid").distinct(), "proposed"))
     sizes = staged(places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
     shared = staged(places.join(sizes, "h"), "shared")
     scores = staged(shared.groupBy("sid").agg(F.sum("c").alias("score")), "scores")

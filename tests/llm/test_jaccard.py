@@ -8,6 +8,7 @@ import numpy as np
 import corpus_pipeline
 from gradelake.llm import jaccard
 from gradelake.llm.jaccard import similar
+from gradelake.llm.simhash import near_duplicates
 
 
 def plain(texts):
@@ -74,3 +75,20 @@ def test_pipeline_stage_finds_differing_copies(spark):
     assert len(set(want.values())) < len(texts)
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()} == set(want.values())
+
+
+def test_pipeline_stage_finds_copies_by_fingerprints_alone(spark, monkeypatch):
+    """No two texts share a min-wise key here. Near copies within three bits are found; texts alike in bits only stay."""
+    monkeypatch.setattr(jaccard, "band_keys", lambda h, factors: np.array([h.sum()], np.uint64))
+    rng, texts = random.Random(3), {}
+    for g in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), " ".join([*words, "end"])
+    for k in (90, 91):
+        texts[k] = "a b c d e f g " * 300 + " ".join(f"w{rng.randrange(5000)}" for _ in range(30))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    root = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    near = [g for g in range(6) if root[2 * g + 1] == 2 * g]
+    assert near and root[91] == 90
+    want = set(texts) - {2 * g + 1 for g in near}
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()} == want

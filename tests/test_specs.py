@@ -112,3 +112,12 @@ def test_each_rule(spark, old, new, want):
 def test_an_empty_spec_is_no_crash(spark):
     assert {r[0] for r in broken(spark, "")} >= {"one panel", "a known language"}
     assert entries(spark.createDataFrame([("p", None)], "path string, value string")).collect() == []
+
+
+def test_specs_are_judged_one_by_one(spark):
+    """No rows of all specs are gathered in a task: nothing is shuffled or joined, at any number of specs."""
+    files = spark.createDataFrame([(i, SPEC if i % 2 else SPEC.replace("- diff", "- other")) for i in range(40)], "path bigint, value string")
+    out = broken_rules(files, RULES)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Aggregate "))
+    assert sorted(map(tuple, out.collect())) == [(i, "first evidence is diff", 0, 1) for i in range(0, 40, 2)]

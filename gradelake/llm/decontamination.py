@@ -21,16 +21,22 @@ from gradelake.llm.shared import staged
 WINDOW = 13
 MOST_HASHES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SPLIT = r"r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_BETWEEN = r"r'[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _low(text: str) -> str:
+    """SQL for a text with A-Z in lower case; `translate` makes an object for each character, so ASCII goes another way."""
+    return f"if(octet_length({text}) = char_length({text}), lower({text}), translate({text}, '{_UPPER}', '{_LOWER}'))"
 
 
 def words(text: str) -> str:
-    """SQL for the words of a text, A-Z in lower case."""
-    return f"array_remove(split(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), {_SPLIT}, -1), '')"
+    """SQL for the words of a text, A-Z in lower case. A text that isn't all ASCII is split first, since few of its words need `translate`."""
+    text = f"coalesce({text}, '')"
+    return f"array_remove(if(octet_length({text}) = char_length({text}), split(lower({text}), {_BETWEEN}, -1), transform(split({text}, {_BETWEEN}, -1), x -> {_low('x')})), '')"
 
 
 def _hash(array: str, at: str, n: int) -> str:
-    return f"xxhash64({', '.join(f'{array}[{at} + {k}]' for k in range(n))})"
+    return f"xxhash64(slice({array}, {at} + 1, {n}))"
 
 
 def _let(value: str, name: str, body: str) -> str:

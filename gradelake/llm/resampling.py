@@ -4,11 +4,11 @@ Features are runs of one to three words; a feature's bucket is its CRC-32 modulo
 logarithm of how much more frequent it is in the target than in the documents; a document's weight is the sum of
 its features' gains. Gumbel noise by a hash of the id is added, and the highest scores are drawn.
 
-Each task has a DuckDB of its own, in memory and on one thread: SQL unnests the words of some documents, windows over
-them give the n-grams, and a registered function gives zlib's CRC. Counts of buckets are written to Parquet, of each
-document and, at the end of a task, of all its documents. Spark sums the latter into gains, scores the former and
-ranks the scores in ranges of their order. Texts are worked on in pieces of bounded size, with the two words
-after a piece beside it, so that no n-gram is lost where a text is cut.
+Only DataFrame and SQL functions. The buckets of the runs that start at each word are written once, a row for each word.
+Spark counts them for the gains, sums the gains by text, and ranks the scores in ranges of their order. Texts are split
+in pieces of bounded size, with the two words after a piece beside it, so that no run is lost where a text is cut.
+
+``bucket_counts`` gives the same counts of a few texts in one process, by DuckDB. No query uses it; tests do.
 """
 
 from __future__ import annotations
@@ -20,21 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.llm.decontamination import words
 from gradelake.llm.shared import dropped, staged
 
 BUCKETS, LONGEST_RUN = 10_000, 3
 SEED, LEAST_WORDS, PERCENT = 42, 20, 5
-#: Characters of texts that one SQL statement works on, about; longer texts are cut.
+#: Characters of a text that are split into words at once, about; longer texts are cut.
 PIECE = 1 << 18
-#: Documents whose counts are summed at once.
-SUMMED = 512
 #: Documents that one range of ranks holds at most, about.
 RANGE = 1 << 20
 
+_IN, _BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # texts are cut as they are, with capitals
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = f"regexp_extract_all(translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}')"
 #: Buckets of the runs that start at each word of a piece; a run that ends beyond the text has none.
@@ -43,9 +42,7 @@ WITH lists AS MATERIALIZED (SELECT doc, piece, {_WORDS % "body"} AS own, {_WORDS
 words AS (SELECT doc, piece, len(own) AS n, unnest(own || more) AS w, generate_subscripts(own || more, 1) AS i FROM lists),
 runs AS (SELECT doc, n, i, w, lead(w) OVER following AS w2, lead(w, 2) OVER following AS w3 FROM words WINDOW following AS (PARTITION BY doc, piece ORDER BY i))
 SELECT doc, bucket(w) AS b1, bucket(w || ' ' || w2) AS b2, bucket(w || ' ' || w2 || ' ' || w3) AS b3 FROM runs WHERE i <= n"""
-# Texts are cut as they are, with capitals.
-_SPACE = re.compile("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
-_NEXT = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_SPACE, _NEXT = re.compile(_BETWEEN), re.compile(f"{_IN}+")
 
 
 def _buckets(strings: pa.Array) -> pa.Array:
@@ -125,50 +122,32 @@ def bucket_counts(con, texts: list[str | None], size: int = PIECE) -> tuple[np.n
     return words, np.split(k % BUCKETS, cuts), np.split(n, cuts)
 
 
-def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``size`` bytes of text, a row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(sizes) // size
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
-def counted(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """The written table of counts: (doc_id, n_words, buckets, counts) for each row, and for each task a row with ``whole`` of all its texts."""
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _cut(text: str, size: int) -> str:
+    """SQL for the pieces of a text, as structs of ``body`` and ``after``, cut behind the word that ``size`` characters end in. No quantifier gives back what it took, so the pattern runs without recursion."""
+    found = lambda group: rf"regexp_extract_all({text}, r'(?s)(.{{1,{size}}}+{_IN}*+)(?={_BETWEEN}*+({_IN}*+){_BETWEEN}*+({_IN}*+))', {group})"
+    cut = f"zip_with({found(1)}, zip_with({found(2)}, {found(3)}, (a, b) -> concat(a, ' ', b)), (x, y) -> named_struct('body', x, 'after', y))"
+    return f"if(octet_length({text}) <= {size}, array(named_struct('body', {text}, 'after', '')), {cut})"
 
-    def each(batches):
-        con, total = database(), np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "whole", "n_words", "buckets", "counts"]
-        id_type = None
 
-        def made(ids, whole, words, buckets, counts):
-            return pa.RecordBatch.from_arrays([ids, pa.array([whole] * len(ids), pa.bool_()), pa.array(words, pa.int64()), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=names)
+def counted(df: DataFrame, id_col: str, text_col: str, name: str, size: int = PIECE) -> DataFrame:
+    """The written table of (row, doc_id, b1, b2, b3): for each word of a text the buckets of the runs of 1, 2 and 3 words that start there, null for those that end beyond the text.
 
-        for batch in batches:
-            id_type = batch.column("doc_id").type
-            for some in _slices(batch, PIECE):
-                words, buckets, counts = bucket_counts(con, some.column("text").to_pylist())
-                for b, c in zip(buckets, counts):
-                    total[b] += c
-                yield made(some.column("doc_id"), False, words, buckets, counts)
-        con.close()
-        if total.any():
-            there = np.flatnonzero(total)
-            yield made(pa.nulls(1, id_type), True, [0], [there], [total[there]])
-
-    return staged(rows.mapInArrow(each, f"doc_id {kind}, whole boolean, n_words bigint, buckets array<int>, counts array<bigint>"), name)
+    ``row`` tells the rows of df apart; a piece without words has a row of nulls.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    parts = rows.select("row", "doc_id", F.inline(F.expr(_cut("text", size)))).withColumn("own", F.expr(words("body")))
+    parts = parts.select("row", "doc_id", F.size("own").alias("n"), F.expr(f"if(after = '', own, concat(own, {words('after')}))").alias("w"))
+    runs = parts.select("row", "doc_id", F.inline_outer(F.expr("arrays_zip(slice(w, 1, n), slice(w, 2, n), slice(w, 3, n))")).alias("w1", "w2", "w3"))
+    runs = runs.select("row", "doc_id", "w1", F.expr("w1 || ' ' || w2").alias("two"), "w3")
+    bucket = lambda run: F.expr(f"int(crc32({run}) % {BUCKETS})")
+    return staged(runs.select("row", "doc_id", bucket("w1").alias("b1"), bucket("two").alias("b2"), bucket("two || ' ' || w3").alias("b3")), name)
 
 
 def _totals(counts: DataFrame) -> np.ndarray:
-    """How often each bucket is in all texts: BUCKETS sums of the tasks' rows."""
-    parts = counts.where("whole").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
+    """How often each bucket is in all texts."""
     out = np.zeros(BUCKETS, np.int64)
-    for r in parts.groupBy("x.buckets").agg(F.sum("x.counts").alias("n")).collect():
-        out[r.buckets] = r.n
+    for r in counts.select(F.explode(F.array("b1", "b2", "b3")).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r.bucket] = r.n
     return out
 
 
@@ -180,19 +159,10 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _weighted(counts: DataFrame, gain: np.ndarray) -> DataFrame:
     """(doc_id, n_words, n_features, weight) of each document."""
-    kind = counts.schema["doc_id"].dataType.simpleString()
-
-    def each(batches):
-        for whole in batches:
-            for k in range(0, whole.num_rows, SUMMED):
-                batch = whole.slice(k, SUMMED)
-                b, n = batch.column("buckets"), batch.column("counts").flatten().to_numpy()
-                at = np.concatenate([[0], np.cumsum(b.value_lengths().to_numpy())]).astype(np.int64)
-                sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[at])  # noqa: B023, E731
-                features, weight = sums(n), sums(n * gain[b.flatten().to_numpy()])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(features, pa.int64()), pa.array(weight, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
-
-    return counts.where("not whole").select("doc_id", "n_words", "buckets", "counts").mapInArrow(each, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint")
+    every = f"cast(split('{','.join(map(str, gain.tolist()))}', ',') as array<bigint>)"  # folded into one literal
+    own = counts.withColumn("gain", F.expr(" + ".join(f"coalesce({every}[{b}], 0)" for b in ("b1", "b2", "b3"))))
+    n_features = F.count("b1") + F.count("b2") + F.count("b3")
+    return own.groupBy("row", "doc_id").agg(F.count("b1").alias("n_words"), n_features.alias("n_features"), F.sum("gain").alias("weight")).drop("row")
 
 
 def _ordered(scored: DataFrame, n: int) -> DataFrame:

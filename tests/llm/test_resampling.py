@@ -9,7 +9,8 @@ import zlib
 import pytest
 
 from gradelake.llm import resampling
-from gradelake.llm.resampling import bucket_counts, database, pieces, resampled
+from gradelake.llm.resampling import bucket_counts, counted, database, pieces, resampled
+from gradelake.llm.shared import staged
 
 
 def words(text):
@@ -82,3 +83,28 @@ def test_many_pieces_are_summed(monkeypatch):
     text = " ".join(f"w{i % 50}" for i in range(3000))
     _, found, counts = bucket_counts(database(), [text], 20)
     assert dict(zip(found[0].tolist(), counts[0].tolist())) == dict(buckets(text))
+
+
+def test_no_python_in_tasks(spark, monkeypatch):
+    """Beside Python workers and the batches sent to them, an executor's memory passed its limit."""
+    plans = []
+    monkeypatch.setattr(resampling, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    out = resampled(frame(spark, [(i, "some words here " * 9) for i in range(50)]), frame(spark, TARGET, "item_id"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 5 and not any(re.search("InArrow|InPandas|Python", p) for p in plans)
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 1 << 20])
+def test_pieces_cut_by_spark_lose_no_run(spark, size):
+    texts = ["One two, three FOUR five-six seven.", None, "", "   ", "a", "a b", "...a    b    ....    c d e f", "é漢 ß x", "long" * 50 + " tail " + "." * 100 + " end", "a\U0001f600 b\n\U0001f600 " * 30]
+    got = counted(frame(spark, list(enumerate(texts))), "doc_id", "text", "counts", size).collect()
+    for i, x in enumerate(texts):
+        mine = [r for r in got if r.doc_id == i]
+        assert len({r.row for r in mine}) == 1 and sum(r.b1 is not None for r in mine) == len(words(x))
+        assert collections.Counter(b for r in mine for b in (r.b1, r.b2, r.b3) if b is not None) == buckets(x)
+
+
+def test_long_texts(spark):
+    texts = ["a\U0001f600" * 300_000 + " b c", "\U0001f600 x " * 200_000, "y. " * 300_000, " " * 600_000 + "z", "." * 600_000]
+    docs = list(enumerate(texts))
+    assert sorted(map(tuple, resampled(frame(spark, docs), frame(spark, TARGET, "item_id")).collect()), key=repr) == plain(docs, TARGET)
